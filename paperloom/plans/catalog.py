@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import archive, measures, pagequeries, retrieval, texts  # noqa: F401  they register their queries
+from . import archive, further, measures, pagequeries, retrieval, texts  # noqa: F401  they register their queries
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
