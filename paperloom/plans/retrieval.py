@@ -86,3 +86,71 @@ def d06_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     hits = S.exact(documents(spark, sf_dir), "doc_id", "text", "and the").join(documents(spark, sf_dir).select("doc_id", "file_name"), "doc_id")
     return S.top_per_file(hits, "file_name", "matches")
+
+
+@query()
+def b02_advanced_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents whose first line has the tokens of a filter, near or in order."""
+    first = F.element_at(F.split("text", "\n"), 1)
+    return table(spark, sf_dir, "documents").select("doc_id", fuzzy.advanced_text_match(F.lit("the of"), first).alias("found")).where("found")
+
+
+@query()
+def j05_boosted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Subject and body with their own weights."""
+    from .bindings import documents
+
+    d = documents(spark, sf_dir)
+    fields = {"subject": (S.postings(d, "doc_id", "subject"), 3.0), "body": (S.postings(d, "doc_id", "text"), 1.0)}
+    return S.boosted(fields, "doc_id", "licensed version")
+
+
+@query()
+def j08_fuzzy_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.fuzzy_postings(S.postings(table(spark, sf_dir, "documents"), "doc_id", "text"), "doc_id", "versoin licence")
+
+
+@query()
+def g19_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near documents of each benchmark item that don't hold it; the items are the queries."""
+    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("q"), "text")
+    positives = items.select("q", (F.col("q") * 3).alias("doc_id"))
+    return S.hard_negatives(items, table(spark, sf_dir, "documents"), positives)
+
+
+@query()
+def e16_suppressed_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = lines(spark, sf_dir).select("doc_id", F.col("pos").cast("long").alias("pos"), F.length("line").alias("score"), F.col("y0").alias("a"), F.col("y1").alias("b"))
+    return greedy.suppressed_intervals(own, "doc_id", "pos", "score", 0.5)
+
+
+def _boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines(spark, sf_dir).where("page = 0").select("doc_id", F.col("pos").cast("long").alias("pos"), "x0", "y0", "x1", "y1")
+
+
+@query()
+def e20_reading_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return greedy.reading_order(_boxes(spark, sf_dir), "doc_id", "pos")
+
+
+@query()
+def e21_xy_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return greedy.xy_cut(_boxes(spark, sf_dir), "doc_id", "pos")
+
+
+@query()
+def c18_detections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Boxes against the same moved a little."""
+    gold = _boxes(spark, sf_dir).withColumnRenamed("pos", "ord")
+    moved = gold.withColumn("x0", F.col("x0") + 20).withColumn("y1", F.col("y1") - F.col("ord") % 9)
+    return greedy.detections(gold, moved, "doc_id")
+
+
+@query()
+def a28_wire_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Messages of one string field, decoded without a schema."""
+    from ..sources import files
+
+    name = F.encode(F.left("text", F.lit(40)), "UTF-8")
+    message = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.unhex(F.lit("12")), F.unhex(F.lpad(F.hex(F.octet_length(name)), 2, "0")), name).alias("data"))
+    return files.decoded_messages(message, "doc_id", "data").select("doc_id", "field", "kind", F.decode("bytes", "UTF-8").alias("text"))

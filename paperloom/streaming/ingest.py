@@ -14,7 +14,7 @@ def file_stream(spark: SparkSession, path: str, schema: StructType, files: int =
 
 def windowed_counts(events: DataFrame, late: str = "10 minutes", size: str = "1 hour") -> DataFrame:
     """Events and their values by tumbling window and type; batch and stream alike."""
-    counted = events.withWatermark("ts", late).groupBy(F.window("ts", size).alias("w"), "event_type")
+    counted = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).groupBy(F.window("ts", size).alias("w"), "event_type")
     return counted.agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total")).select(F.col("w.start").alias("begin"), "event_type", "n", "total")
 
 
