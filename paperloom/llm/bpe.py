@@ -1,8 +1,10 @@
 """BPE encoding by a table of distinct words, decoding by a join of ids with pieces.
 
-Texts are split into words at places where the tokenizer itself always splits: white space, and between letters of
-the Latin-1 range and closing punctuation.  Each distinct word is encoded once, by the tokenizers library.  Ids go back
-to their positions in two ways: the most frequent words by a broadcast table of bounded size, all others by a join.
+Texts are split into words at places where the tokenizer itself always splits: ASCII white space, and between letters
+of the Latin-1 range and closing punctuation.  A table holds every distinct word of the corpus but the rarest, each encoded
+once by the tokenizers library, and is broadcast within a proven size.  A task gives each distinct word of its
+texts a number, looks the number up in the table, and joins ids back by position.  Words that are too rare
+for the table are encoded by the task, once for all their places in a slice of texts.
 """
 
 from __future__ import annotations
@@ -10,6 +12,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -18,22 +21,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import slices, small_batches, stage
-from .words import HEAD_WORDS, head, word_counts
+from .words import HEAD_WORDS, chunks, head, word_counts
 
 _LATIN = "A-Za-zÀ-ÖØ-öø-ÿ"
-_SPACE = " \\t\\r\\n"
-_WORD = re.compile(rf"(?<![^{_SPACE}])[{_LATIN}]+(?=[.,;:!?]+(?![^{_SPACE}]))|[^{_SPACE}]+")
-_IS_LATIN = re.compile(rf"[{_LATIN}]+")
+_WORD = re.compile(rf"([{_LATIN}]+)([.,;:!?]*)")
+#: Chunks whose ids a task remembers between slices.
+MEMORY = 1 << 17
 
 
-def split_words(text: str | None) -> list[str]:
-    """Words in order.  A word of Latin-1 letters and its closing punctuation are two words; any other run stays whole."""
-    return _WORD.findall(text) if text else []
-
-
-def fold(word: str) -> str:
-    """Lower case for words of Latin-1 letters only, as the tokenizer lower-cases too; others are left alone."""
-    return word.lower() if _IS_LATIN.fullmatch(word) else word
+def split_chunk(chunk: str) -> tuple[str, ...]:
+    """A chunk of Latin-1 letters and closing punctuation is a lower-case word and that punctuation; any other stays whole."""
+    m = _WORD.fullmatch(chunk)
+    return (chunk,) if not m else (m[1].lower(), m[2]) if m[2] else (m[1].lower(),)
 
 
 _LOADED: dict[str, object] = {}
@@ -69,50 +68,66 @@ def encoded_words(counts: DataFrame, path: str) -> DataFrame:
     return counts.mapInArrow(run, "word string, n long, ids array<int>")
 
 
-class _Head:
-    """Ids of the head's words as one flat array."""
-
-    def __init__(self, found: pa.Table) -> None:
-        self.at = {w: i for i, w in enumerate(found["word"].to_pylist())}
-        ids = found["ids"].combine_chunks()
-        self.flat = ids.flatten().to_numpy(zero_copy_only=False).astype(np.int32)
-        self.starts = ids.offsets.to_numpy()[:-1].astype(np.int64) - int(ids.offsets[0].as_py()) if len(ids) else np.zeros(0, np.int64)
-        self.sizes = pc.list_value_length(ids).to_numpy(zero_copy_only=False).astype(np.int64)
-
-    def ids(self, words: list[str]) -> tuple[np.ndarray, list[str]]:
-        """Ids in order, -1 where a word is not in the head, and those words in order."""
-        if not words:
-            return np.zeros(0, np.int32), []
-        coded = pa.array(words, pa.string()).dictionary_encode()
-        distinct = [fold(w) for w in coded.dictionary.to_pylist()]
-        where = np.array([self.at.get(w, -1) for w in distinct], np.int64)
-        index = coded.indices.to_numpy()
-        at = where[index]
-        known = at >= 0
-        sizes = np.where(known, self.sizes[at], 1) if len(self.sizes) else np.ones(len(at), np.int64)
-        starts = np.where(known, self.starts[at], 0) if len(self.starts) else np.zeros(len(at), np.int64)
-        shift = np.cumsum(sizes) - sizes
-        position = np.arange(int(sizes.sum())) - np.repeat(shift - starts, sizes)
-        out = self.flat[position] if len(self.flat) else np.full(len(position), -1, np.int32)
-        out[shift[~known]] = -1
-        return out, [distinct[i] for i in index[~known].tolist()]
-
-
-def _fill(ids: np.ndarray, rest: list[list[int]]) -> np.ndarray:
-    """The ids with every -1 replaced by the next of ``rest``."""
-    if not rest:
-        return ids
-    holes = np.flatnonzero(ids == -1)
-    sizes = np.ones(len(ids), np.int64)
-    sizes[holes] = [len(x) for x in rest]
-    out = np.repeat(ids, sizes)
-    out[out == -1] = [i for x in rest for i in x]
-    return out
+class Encoder:
+    """Encodes texts by a table of words (word, ids)."""
+
+    def __init__(self, table: pa.Table, path: str) -> None:
+        self.ids = dict(zip(table["word"].to_pylist(), map(tuple, table["ids"].to_pylist()), strict=True))
+        self.tokenizer, self.pieces = tokenizer(path), pieces(path)
+        self.seen: dict[str, tuple] = {}
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in one array, and where each text's begin and end."""
+        flat, bounds = chunks(texts)
+        if not len(flat):
+            return np.zeros(0, np.int32), np.zeros(len(texts) + 1, np.int64)
+        coded = flat.dictionary_encode()
+        distinct = coded.dictionary.to_pylist()
+        if len(self.seen) > MEMORY:
+            self.seen.clear()
+        new = {c: split_chunk(c) for c in distinct if c not in self.seen}
+        rare = list({w: None for words in new.values() for w in words if w not in self.ids})
+        own = {w: tuple(e.ids) for w, e in zip(rare, self.tokenizer.encode_batch(rare, add_special_tokens=False), strict=True)}
+        known = self.ids
+        self.seen.update((c, tuple(chain.from_iterable(known.get(w) or own.get(w, ()) for w in words))) for c, words in new.items())
+        lists = [self.seen[c] for c in distinct]
+        sizes = np.fromiter(map(len, lists), np.int64, len(lists))
+        ids = np.fromiter(chain.from_iterable(lists), np.int32, int(sizes.sum()))
+        at = coded.indices.to_numpy()
+        each = sizes[at]
+        ends = np.concatenate([[0], np.cumsum(each)])
+        shift = np.repeat((np.cumsum(sizes) - sizes)[at] - ends[:-1], each)
+        return ids[np.arange(int(ends[-1])) + shift], ends[bounds]
+
+    def decode(self, ids: np.ndarray, bounds: np.ndarray) -> list[str]:
+        """The pieces of each text's ids, joined by spaces as the library does for a tokenizer without a decoder."""
+        lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), self.pieces.take(pa.array(ids)))
+        return pc.binary_join(lists, " ").to_pylist()
+
+
+def _encoded(docs: DataFrame, path: str, head_words: int, schema: str, made) -> DataFrame:
+    spark = docs.sparkSession
+    small_batches(spark)
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    # Only words that can get into the table are encoded for it.
+    counts = stage(word_counts(docs, split_chunk), "bpe-counts")
+    chosen = head(counts, ["word", "n"], head_words)
+    table = encoded_words(spark.createDataFrame(chosen), path).select("word", "ids").toArrow()
+    shared = spark.sparkContext.broadcast(table)
+    names = [x.split()[0] for x in schema.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = Encoder(shared.value, path)
+        for batch in slices(batches):
+            ids, bounds = encoder.encode(batch.column("text"))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *made(ids, bounds, encoder.decode(ids, bounds))], names=names)
+
+    return docs.mapInArrow(run, schema)
 
 
 def encode(docs: DataFrame, path: str, head_words: int = HEAD_WORDS) -> DataFrame:
-    """(doc_id, ids array<int>, text decoded) for every row of ``docs``; see :func:`encode_digests` for the cases."""
-    return _encode(docs, path, head_words, "doc_id long, ids array<int>, decoded string", lambda ids, text: (ids.tolist(), text))
+    """(doc_id, ids, decoded) for every row of ``docs``; see :func:`encode_digests` for the cases."""
+    return _encoded(docs, path, head_words, "doc_id long, ids array<int>, decoded string", lambda ids, bounds, texts: [pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids)), pa.array(texts, pa.string())])
 
 
 def encode_digests(docs: DataFrame, path: str, head_words: int = HEAD_WORDS) -> DataFrame:
@@ -122,52 +137,9 @@ def encode_digests(docs: DataFrame, path: str, head_words: int = HEAD_WORDS) ->
     none, are encoded each on their own.  Columns besides doc_id and text are not used.  An empty table gives no rows.
     """
 
-    def made(ids: np.ndarray, text: str) -> tuple:
-        return len(ids), hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest(), hashlib.sha256(text.encode()).hexdigest()
-
-    return _encode(docs, path, head_words, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", made)
+    def made(ids: np.ndarray, bounds: np.ndarray, texts: list[str]) -> list[pa.Array]:
+        raw = ids.astype("<u4")
+        digests = [hashlib.sha256(raw[a:b].tobytes()).hexdigest() for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+        return [pa.array(np.diff(bounds)), pa.array(digests, pa.string()), pa.array([hashlib.sha256(t.encode()).hexdigest() for t in texts], pa.string())]
 
-
-def _encode(docs: DataFrame, path: str, head_words: int, schema: str, made) -> DataFrame:
-    spark = docs.sparkSession
-    small_batches(spark)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    counts = word_counts(docs, split_words, fold)
-    table = stage(encoded_words(counts, path), "bpe-words")
-    frequent = head(table, ["word", "ids"], head_words)
-    shared = spark.sparkContext.broadcast(frequent)
-    loaded: list[_Head] = []
-
-    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import zstandard
-
-        if not loaded:
-            loaded.append(_Head(shared.value))
-        pack = zstandard.ZstdCompressor(level=1)
-        for batch in slices(batches):
-            found = [loaded[0].ids(split_words(x.as_py())) for x in batch.column("text")]
-            keys = [hashlib.blake2b(f"{i} {t or ''}".encode(), digest_size=16).digest() for i, t in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(keys, pa.binary()), pa.array([pack.compress(i.tobytes()) for i, _ in found], pa.binary()), pa.array([r for _, r in found], pa.list_(pa.string()))],
-                names=["doc_id", "row_key", "packed", "rest"],
-            )
-
-    parts = docs.mapInArrow(partial, "doc_id long, row_key binary, packed binary, rest array<string>")
-    loose = parts.where(F.size("rest") > 0).select("row_key", F.posexplode("rest").alias("pos", "word"))
-    ids = loose.join(table.select("word", "ids"), "word").groupBy("row_key").agg(F.array_distinct(F.array_sort(F.collect_list(F.struct("pos", "ids")))).alias("found"))
-    whole = parts.select("doc_id", "row_key", "packed").join(ids, "row_key", "left").select("doc_id", "packed", F.col("found.ids").alias("found"))
-
-    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import zstandard
-
-        unpack, names = zstandard.ZstdDecompressor(), pieces(path)
-        for batch in batches:
-            rows = []
-            for packed, found in zip(batch.column("packed").to_pylist(), batch.column("found").to_pylist(), strict=True):
-                ids = _fill(np.frombuffer(unpack.decompress(packed), np.int32), found or [])
-                rows.append(made(ids, " ".join(names.take(pa.array(ids)).to_pylist())))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array([r[i] for r in rows], t) for i, t in enumerate(types))], names=fields)
-
-    fields = [x.split()[0] for x in schema.split(", ")]
-    types = [{"long": pa.int64(), "string": pa.string(), "array<int>": pa.list_(pa.int32())}[x.split()[1]] for x in schema.split(", ")][1:]
-    return whole.mapInArrow(finish, schema)
+    return _encoded(docs, path, head_words, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", made)

@@ -1,11 +1,13 @@
-"""Corpus-wide word tables: counting, a broadcast head of proven size, and an exact join for all other words."""
+"""Corpus-wide word tables: splitting by Arrow kernels, counting, and a head of proven size."""
 
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,8 +20,21 @@ HEAD_BYTES = 64
 HELD = 1 << 18
 
 
-def word_counts(docs: DataFrame, split: Callable[[str | None], list], fold: Callable = lambda w: w) -> DataFrame:
-    """(word string, n long) over all words of all texts; counted in each task first, then by one shuffle."""
+def chunks(texts: pa.Array, lower: bool = False) -> tuple[pa.Array, np.ndarray]:
+    """The runs of characters other than ASCII white space of all texts, in order, and where each text's begin and end.
+
+    With ``lower``, A-Z are lower-cased.  Null texts have none.
+    """
+    whole = pc.fill_null(texts, "")
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(whole) if lower else whole)
+    flat, offsets = lists.flatten(), lists.offsets.to_numpy()
+    full = pc.not_equal(flat, "")
+    before = np.concatenate([[0], np.cumsum(full.to_numpy(zero_copy_only=False))])
+    return flat.filter(full), before[offsets - offsets[0]] if len(offsets) else np.zeros(1, np.int64)
+
+
+def word_counts(docs: DataFrame, words_of: Callable[[str], Iterable[str]] = lambda chunk: (chunk,), lower: bool = False) -> DataFrame:
+    """(word string, n long) over all words of all chunks of all texts; counted in each task first, then by one shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: Counter = Counter()
@@ -28,14 +43,16 @@ def word_counts(docs: DataFrame, split: Callable[[str | None], list], fold: Call
             words = list(held)
             for i in range(0, len(words), 1 << 16):
                 part = words[i : i + (1 << 16)]
-                yield pa.RecordBatch.from_arrays([pa.array([fold(w) for w in part], pa.string()), pa.array([held[w] for w in part], pa.int64())], names=["word", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(part, pa.string()), pa.array([held[w] for w in part], pa.int64())], names=["word", "n"])
             held.clear()
 
-        for batch in batches:
-            for text in batch.column("text"):
-                held.update(split(text.as_py()))
-                if len(held) > HELD:
-                    yield from out()
+        for batch in slices(batches):
+            counted = pc.value_counts(chunks(batch.column("text"), lower)[0])
+            for chunk, n in zip(counted.field(0).to_pylist(), counted.field(1).to_pylist(), strict=True):
+                for word in words_of(chunk):
+                    held[word] += n
+            if len(held) > HELD:
+                yield from out()
         yield from out()
 
     small_batches(docs.sparkSession)
@@ -46,6 +63,3 @@ def head(counts: DataFrame, columns: list[str], words: int = HEAD_WORDS) -> pa.T
     """The ``words`` most frequent words of at most HEAD_BYTES bytes, ties by word; a top-k of bounded size."""
     short = counts.where(F.octet_length("word") <= HEAD_BYTES)
     return short.orderBy(F.desc("n"), "word").limit(words).select(*columns).toArrow()
-
-
-__all__ = ["HEAD_BYTES", "HEAD_WORDS", "head", "slices", "word_counts"]
