@@ -59,6 +59,12 @@ def marginal_bytes(candidate: str, before: str, after: str) -> int:
     return len(press.compress(candidate.encode())) - len(press.compress(b""))
 
 
+def mixed(run: str) -> bool:
+    """A secret mixes kinds of characters: letters and several digits, or both cases and a digit.  Words don't."""
+    digits = sum(c.isdigit() for c in run)
+    return 0 < digits < len(run) and (digits >= 3 or run != run.lower() and run != run.upper())
+
+
 def novel(text: str, taken: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """Candidates in sensitive contexts that the primed compressor can't shorten and that no other span touches."""
     found, spots = [], [m.end() for m in CONTEXT.finditer(text)]
@@ -72,8 +78,7 @@ def novel(text: str, taken: list[tuple[int, int]]) -> list[tuple[int, int]]:
         if at == len(spots):
             break
         run = m.group()
-        # A secret mixes kinds of characters; a long word does not.
-        if spots[at] > a or any(a < y and x < b for x, y in taken) or not (any(c.isdigit() for c in run) and any(c.isalpha() for c in run)):
+        if spots[at] > a or any(a < y and x < b for x, y in taken) or not mixed(run):
             continue
         if marginal_bytes(run, text[max(0, a - AROUND) : a], text[b : b + AROUND]) >= MIN_NOVELTY * (b - a):
             found.append((a, b))

@@ -68,7 +68,7 @@ def fingerprint(text: str | None, size: int = 3) -> int:
 
 def word_set_fingerprints(text: str | None) -> tuple[int, int]:
     """Fingerprints of the set of words, and of the set of five-word shingles; words without ASCII punctuation."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().translate(_PLAIN).split()
+    words = (text or "").lower().encode("utf-8", "surrogatepass").translate(_PLAIN).split()
     return majority([xxhash.xxh64_intdigest(w, SEED) for w in set(words)]), majority(list(set(shingle_hashes(words, 5))))
 
 
