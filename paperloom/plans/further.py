@@ -86,14 +86,14 @@ def b16_stamp_keyword(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines(spark, sf_dir).where(T.tokens("line") == T.tokens(F.lit("Anble  ANES."))).select("doc_id", "pos")
 
 
-@query(with_archive(f"SELECT doc_id, mark FROM (SELECT doc_id, mark, row_number() OVER (PARTITION BY doc_id ORDER BY pos, length(mark) DESC) AS r FROM lines, (SELECT unnest(['the', 'the of', 'and']) AS mark) m WHERE page = 0 AND x1 <= 300 AND contains(' ' || array_to_string({sql_tokens('line')}, ' ') || ' ', ' ' || mark || ' ')) WHERE r = 1"))
+@query(with_archive(f"SELECT doc_id, mark FROM (SELECT doc_id, mark, row_number() OVER (PARTITION BY doc_id ORDER BY pos, length(mark) DESC, mark) AS r FROM lines, (SELECT unnest(['the', 'the of', 'and']) AS mark) m WHERE page = 0 AND x1 <= 300 AND contains(' ' || array_to_string({sql_tokens('line')}, ' ') || ' ', ' ' || mark || ' ')) WHERE r = 1"))
 def b17_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first line of the page's corner with a mark; of several marks the longest."""
     marks = F.array(*map(F.lit, ("the", "the of", "and")))
     words = F.concat(F.lit(" "), F.array_join(T.tokens("line"), " "), F.lit(" "))
     found = F.filter(marks, lambda m: F.contains(words, F.concat(F.lit(" "), m, F.lit(" "))))
     hits = lines(spark, sf_dir).where("page = 0 and x1 <= 300").select("doc_id", "pos", F.explode(found).alias("mark"))
-    return M.top_k(hits, ["doc_id"], [F.col("pos"), F.length("mark").desc()], 1).select("doc_id", "mark")
+    return M.top_k(hits, ["doc_id"], [F.col("pos"), F.length("mark").desc(), F.col("mark")], 1).select("doc_id", "mark")
 
 
 @query("SELECT c_custkey, coalesce(nullif(trim(CASE WHEN c_custkey % 2 = 0 THEN '  ' ELSE 'override' END), ''), c_name) AS value FROM customer")
