@@ -22,7 +22,7 @@ def op1_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    read = warc.read_archives(spark, warc.write_archives(table(spark, sf_dir, "pages")))
+    read = warc.read_archives(spark, warc.write_archives(table(spark, sf_dir, "pages")), payloads=False)
     return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 

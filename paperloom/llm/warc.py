@@ -22,7 +22,9 @@ RECORD_END = "\r\n\r\n"
 #: Equal payloads of at least so many bytes are stored once.
 MIN_REVISIT_BYTES = 1000
 #: Rounds of pointer jumping in one job, between two writes of the pointers.
-ROUNDS = 3
+ROUNDS = 2
+#: Repeated payloads whose table is broadcast at most (under 100 bytes each); beyond it the pages are shuffled to it.
+MOST_BROADCAST = 300_000
 #: Records in one file; with more, a further file is begun.
 MOST_RECORDS = 100_000
 
@@ -33,7 +35,8 @@ def planned_records(pages: DataFrame, least: int = MIN_REVISIT_BYTES) -> DataFra
     known = full.withColumn("digest", F.sha1("html")).withColumn("bytes", F.octet_length("html").cast("long"))
     # Only payloads that repeat are joined: one row for each, so that a common one does not gather its pages anywhere.
     often = known.where(F.col("bytes") >= least).groupBy("digest", "bytes").agg(F.max("page_id").alias("top"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    both = known.join(often, ["digest", "bytes"], "left")
+    often = stage(often, "warc-repeated")
+    both = known.join(F.broadcast(often) if often.count() <= MOST_BROADCAST else often, ["digest", "bytes"], "left")
     again = F.col("top").isNotNull() & (F.col("page_id").isNull() | (F.col("page_id") < F.col("top")))
     return both.select("page_id", "url", "html", "digest", "bytes", F.when(again, F.lit("revisit")).otherwise(F.lit("response")).alias("type"), F.when(again, F.col("top")).alias("refers_to"))
 
@@ -72,29 +75,32 @@ def write_archives(pages: DataFrame, path: str | None = None, least: int = MIN_R
     return path
 
 
-def candidates(spark: SparkSession, path: str) -> DataFrame:
-    """(file, at, text, next): a row for each magic, its offset, all up to the following magic, and its successor's offset.
+def candidates(spark: SparkSession, paths: str | list[str], values: bool) -> DataFrame:
+    """(file, at, head, length, next, digest, value): a row for each magic, its offset, header, and its successor's offset.
 
     The pieces between magics are all bytes of a file, so offsets are sums of lengths: first over the blocks of a
-    file, then within a block.  A header that can't be parsed has no successor.
+    file, then within a block.  A header that can't be parsed has no successor.  ``digest`` is the payload's, if it
+    stands before the next magic; ``value``, all up to that magic, only if asked for.
     """
-    raw = spark.read.option("lineSep", MAGIC).text(path)
+    raw = spark.read.option("lineSep", MAGIC).text(paths)
     read = raw.select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("order"))
-    sized = stage(read.withColumn("size", F.octet_length("value").cast("long") + len(MAGIC)), "warc-pieces")
-    blocks = sized.groupBy("file", "block").agg(F.sum("size").alias("total"))
+    blank = F.expr("instr(value, '\r\n\r\n')")
+    head = F.when(blank > 0, F.expr("left(value, instr(value, '\r\n\r\n') + 1)"))
+    length = F.nullif(F.regexp_extract("head", r"(?im)^Content-Length:[ \t]*([0-9]{1,18})[ \t]*\r?$", 1), F.lit("")).cast("long")
+    begin = F.octet_length("head") + 2
+    parsed = read.withColumn("size", F.octet_length("value").cast("long") + len(MAGIC)).withColumn("head", head).withColumn("length", length)
+    digest = F.when(F.octet_length("value") >= begin + F.col("length"), F.expr("sha1(substr(cast(value as binary), octet_length(head) + 3, length))"))
+    kept = ["file", "block", "order", "size", "head", "length", digest.alias("digest"), *(["value"] if values else [])]
+    pieces = stage(parsed.select(*kept), "warc-pieces")
+    blocks = pieces.groupBy("file", "block").agg(F.sum("size").alias("total"))
     before = F.sum("total").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
     begun = blocks.withColumn("before", F.coalesce(before, F.lit(0)).cast("long")).drop("total")
     within = F.sum("size").over(Window.partitionBy("file", "block").orderBy("order").rowsBetween(Window.unboundedPreceding, -1))
-    placed = sized.withColumn("within", F.coalesce(within, F.lit(0)).cast("long")).join(begun, ["file", "block"])
+    placed = pieces.withColumn("within", F.coalesce(within, F.lit(0)).cast("long")).join(begun, ["file", "block"])
     # The first piece of a file is what stands before its first magic (nothing, in a whole archive); others follow one.
-    start = F.col("before") + F.col("within")
-    pieces = placed.select("file", (start - len(MAGIC)).alias("at"), "value").where("at >= 0")
-    blank = F.expr("instr(value, '\r\n\r\n')")
-    head = F.expr("left(value, instr(value, '\r\n\r\n') + 1)")
-    length = F.regexp_extract(head, r"(?im)^Content-Length:[ \t]*([0-9]{1,18})[ \t]*\r?$", 1)
-    parsed = pieces.select("file", "at", "value", F.when(blank > 0, head).alias("head"), F.when((blank > 0) & (length != ""), length.cast("long")).alias("length"))
-    end = F.col("at") + len(MAGIC) + F.octet_length("head") + 2 + F.col("length") + len(RECORD_END)
-    return parsed.select("file", "at", "value", "head", "length", end.alias("next"))
+    found = placed.withColumn("at", F.col("before") + F.col("within") - len(MAGIC)).where("at >= 0")
+    end = F.col("at") + len(MAGIC) + begin + F.col("length") + len(RECORD_END)
+    return found.select("file", "at", "head", "length", end.alias("next"), "digest", *(["value"] if values else []))
 
 
 def reachable(links: DataFrame) -> DataFrame:
@@ -119,36 +125,48 @@ def reachable(links: DataFrame) -> DataFrame:
             now = moved.join(hit, ["file", "at"], "left").select("file", "at", "to", (F.col("reached") | F.coalesce("hit", F.lit(False))).alias("reached"))
 
 
-def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    """(page_id, url, payload, payload_bytes, payload_digest, record_type, refers_to): the records of the archives at ``path``.
+def _fields(records: DataFrame) -> DataFrame:
+    """(page_id, url, record_type, refers_to, noted, ...) from the headers."""
+
+    def field(name: str) -> Column:
+        return F.regexp_extract("head", rf"(?im)^{name}:[ \t]*([^\r\n]*?)[ \t]*\r?$", 1)
+
+    def number(name: str) -> Column:
+        return F.nullif(F.regexp_extract(field(name), r"page:(-?\d+)>", 1), F.lit("")).cast("long")
+
+    rest = [c for c in records.columns if c != "head"]
+    return records.select(number("WARC-Record-ID").alias("page_id"), field("WARC-Target-URI").alias("url"), field("WARC-Type").alias("record_type"), number("WARC-Refers-To").alias("refers_to"), F.regexp_replace(field("WARC-Payload-Digest"), "^sha1:", "").alias("noted"), *rest)
 
-    The payload of a revisit is not stored with it: its bytes and digest are its response's, and payload is null.
+
+def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
+    """(page_id, url, payload_bytes, payload_digest, record_type, refers_to, payload): the records of the archives at ``path``.
+
+    Digests and lengths are of the stored payload.  That of a revisit is not stored with it: its length and digest
+    are its response's, and its payload is null.  Without ``payloads`` that column is left out, and texts are not moved.
     """
-    found = stage(candidates(spark, path), "warc-candidates")
+    found = stage(candidates(spark, path, payloads), "warc-candidates")
     kept = reachable(found.select("file", "at", "next")).withColumn("record", F.col("at"))
     # A candidate that is no record is part of the record before it.
     order = Window.partitionBy("file").orderBy("at")
-    marked = found.select("file", "at").join(kept, ["file", "at"], "left").withColumn("record", F.last("record", ignorenulls=True).over(order))
-    spread = marked.where("record is not null").groupBy("file", "record").agg(F.count(F.lit(1)).alias("n"))
-    whole = found.join(spread.where("n = 1").select("file", F.col("record").alias("at")), ["file", "at"]).select("file", "at", "head", "length", "value")
-    broken = marked.join(spread.where("n > 1").select("file", "record"), ["file", "record"]).join(found, ["file", "at"])
-    mended = broken.groupBy("file", "record").agg(F.array_sort(F.collect_list(F.struct("at", "value", "head", "length"))).alias("x")).select(
-        "file", F.col("record").alias("at"), F.expr("x[0].head").alias("head"), F.expr("x[0].length").alias("length"), F.array_join("x.value", MAGIC).alias("value")
-    )
-    records = whole.unionByName(mended)
-
-    def field(name: str) -> Column:
-        return F.regexp_extract("head", rf"(?im)^{name}:[ \t]*([^\r\n]*?)[ \t]*\r?$", 1)
-
-    payload = F.expr("substr(cast(value as binary), octet_length(head) + 3, length)")
-    ids = records.select(
-        F.regexp_extract(field("WARC-Record-ID"), r"page:(-?\d+)>", 1).alias("id"), field("WARC-Target-URI").alias("url"), field("WARC-Type").alias("record_type"),
-        F.regexp_extract(field("WARC-Refers-To"), r"page:(-?\d+)>", 1).alias("to"), F.regexp_replace(field("WARC-Payload-Digest"), "^sha1:", "").alias("noted"), payload.alias("payload"),
-    )
-    number = lambda c: F.when(F.col(c) != "", F.col(c).cast("long"))
-    rows = ids.select(number("id").alias("page_id"), "url", "record_type", number("to").alias("refers_to"), "noted", F.when(F.col("record_type") == "response", F.col("payload").cast("string")).alias("payload"))
-    own = rows.withColumn("payload_bytes", F.octet_length("payload").cast("long")).withColumn("payload_digest", F.sha1("payload"))
-    targets = own.where("record_type = 'response'").join(own.where("record_type = 'revisit'").select(F.col("refers_to").alias("page_id"), F.col("noted").alias("payload_digest")).distinct(), ["page_id", "payload_digest"], "left_semi")
-    sizes = targets.select(F.col("page_id").alias("refers_to"), F.col("payload_digest").alias("noted"), F.col("payload_bytes").alias("their_bytes")).distinct()
-    both = own.join(sizes, ["refers_to", "noted"], "left")
-    return both.select("page_id", "url", "payload", F.coalesce("payload_bytes", "their_bytes").alias("payload_bytes"), F.coalesce("payload_digest", F.when(F.col("their_bytes").isNotNull(), F.col("noted"))).alias("payload_digest"), "record_type", "refers_to")
+    marked = found.select("file", "at").join(kept, ["file", "at"], "left").withColumn("record", F.last("record", ignorenulls=True).over(order)).where("record is not null")
+    marked = stage(marked, "warc-records")
+    spread = marked.groupBy("file", "record").agg(F.count(F.lit(1)).alias("n"))
+    alone = spread.where("n = 1").select("file", F.col("record").alias("at"))
+    body = F.expr("substr(cast(value as binary), octet_length(head) + 3, length)")
+    own = found.join(alone, ["file", "at"])
+    records = own.select("head", "length", "digest", *([body.cast("string").alias("payload")] if payloads else []))
+    broken = marked.join(spread.where("n > 1").select("file", "record"), ["file", "record"])
+    if not broken.isEmpty():  # only their files are read again
+        files = [r[0] for r in broken.select("file").distinct().collect()]
+        texts = found if payloads else candidates(spark, files, True)
+        joined = broken.join(texts, ["file", "at"]).groupBy("file", "record").agg(F.array_sort(F.collect_list(F.struct("at", "value", "head", "length"))).alias("x"))
+        mended = joined.select(F.expr("x[0].head").alias("head"), F.expr("x[0].length").alias("length"), F.array_join("x.value", MAGIC).alias("value"))
+        records = records.unionByName(mended.select("head", "length", F.sha1(body).alias("digest"), *([body.cast("string").alias("payload")] if payloads else [])))
+    rows = stage(_fields(records), "warc-fields")
+    full = rows.where("record_type <> 'revisit'")
+    wanted = rows.where("record_type = 'revisit'").select(F.col("refers_to").alias("page_id"), F.col("noted").alias("digest")).distinct()
+    theirs = full.select("page_id", "digest", "length").join(wanted, ["page_id", "digest"], "left_semi").distinct().select(F.col("page_id").alias("to"), F.col("digest").alias("their_digest"), F.col("length").alias("their_length"))
+    both = rows.join(theirs, (F.col("refers_to") == F.col("to")) & (F.col("noted") == F.col("their_digest")), "left")
+    again = F.col("record_type") == "revisit"
+    out = both.select("page_id", "url", F.when(again, F.col("their_length")).otherwise(F.col("length")).alias("payload_bytes"), F.when(again, F.col("their_digest")).otherwise(F.col("digest")).alias("payload_digest"), "record_type", "refers_to", *([F.when(~again, F.col("payload")).alias("payload")] if payloads else []))
+    return out
