@@ -31,8 +31,8 @@ MIN_ANSWER = 0.8
 SHINGLE = 5
 #: Items in one block of the index.
 BLOCK = 8
-#: The index is broadcast; a benchmark of more bytes than this is refused rather than cut.
-MOST_BENCHMARK_BYTES = 256 << 20
+#: The index, some five times the benchmark, is broadcast; a benchmark of more bytes than this is refused rather than cut.
+MOST_BENCHMARK_BYTES = 64 << 20
 
 _WORDS = bytes(32 if c < 128 and not chr(c).isalnum() else c for c in range(256))
 
@@ -50,14 +50,16 @@ def question_and_answer(text: str) -> tuple[str, str]:
 
 @dataclass
 class Index:
-    """Terms have ids from 0; postings are sorted by term, then block, then item."""
+    """Terms have ids from 0.  A term's postings name the blocks that hold it, with its largest impact in each."""
 
     items: list
     terms: dict[bytes, int]
     most: np.ndarray  # by term: the largest impact over all items
-    block_most: np.ndarray  # by term and block
-    impact: dict[int, np.ndarray]  # by block: terms x items of the block, as (row of term or 0) in row_of
-    row_of: np.ndarray  # by block and term: the row in that block's impacts, 0 for none
+    starts: np.ndarray  # by term: where its postings begin; one more for the end
+    posted: np.ndarray  # by posting: the block
+    posted_most: np.ndarray  # by posting: the largest impact in the block
+    block_terms: list[np.ndarray]  # by block: its terms in order
+    impact: list[np.ndarray]  # by block: terms x items
     stride: int
     question: list[set]
     answer: list[set]
@@ -76,22 +78,27 @@ def build_index(items: list[tuple[int, str]], block: int = BLOCK) -> Index | Non
     terms = {w: i for i, w in enumerate(sorted(df))}
     n, mean = len(split), sum(len(w) for _, w, _ in split) / len(split)
     idf = {w: np.log(1 + (n - d + 0.5) / (d + 0.5)) for w, d in df.items()}
-    blocks = -(-n // block)
-    block_most = np.zeros((len(terms), blocks), np.float32)
-    row_of, impact = np.zeros((blocks, len(terms)), np.int32), {}
-    for b in range(blocks):
-        own = split[b * block : (b + 1) * block]
-        used = sorted({terms[x] for _, w, _ in own for x in w})
-        row_of[b, used] = np.arange(1, len(used) + 1)
-        impact[b] = np.zeros((len(used) + 1, len(own)), np.float32)
+    block_terms, impact = [], []
+    for b in range(0, n, block):
+        own = split[b : b + block]
+        used = np.array(sorted({terms[x] for _, w, _ in own for x in w}), np.int64)
+        row = {t: i for i, t in enumerate(used.tolist())}
+        made = np.zeros((len(used), len(own)), np.float32)
         for j, (_, w, _) in enumerate(own):
             score = {x: idf[x] * (tf := w.count(x)) * (K1 + 1) / (tf + K1 * (1 - B + B * len(w) / mean)) for x in set(w)}
             total = sum(score.values())
             for x, s in score.items():
-                impact[b][row_of[b, terms[x]], j] = s / total
-        block_most[used, b] = impact[b][1:].max(axis=1)
+                made[row[terms[x]], j] = s / total
+        block_terms.append(used)
+        impact.append(made)
+    flat = np.concatenate(block_terms)
+    order = np.argsort(flat, kind="stable")
+    largest = np.concatenate([m.max(axis=1) for m in impact])[order]
+    posted = np.repeat(np.arange(len(impact)), [len(t) for t in block_terms])[order]
+    starts = np.searchsorted(flat[order], np.arange(len(terms) + 1))
     pairs = [question_and_answer(t) for _, _, t in split]
-    return Index([i for i, _, _ in split], terms, block_most.max(axis=1), block_most, impact, row_of, max(32, *(len(w) for _, w, _ in split)), [shingles(words(q)) for q, _ in pairs], [set(words(a)) for _, a in pairs])
+    stride = max(32, *(len(w) for _, w, _ in split))
+    return Index([i for i, _, _ in split], terms, np.maximum.reduceat(largest, starts[:-1]), starts, posted, largest, block_terms, impact, stride, [shingles(words(q)) for q, _ in pairs], [set(words(a)) for _, a in pairs])
 
 
 def shingles(w: list[bytes], size: int = SHINGLE) -> set:
@@ -109,16 +116,29 @@ def search(index: Index, ids: np.ndarray, share: float = MIN_SHARE) -> list[tupl
     spread = np.unique(np.concatenate([np.minimum(half, passages - 1), np.maximum(half - 1, 0)]) * len(index.terms) + np.concatenate([terms, terms]))
     passage, term = np.divmod(spread, len(index.terms))
     # Pivot test: can all lists together reach the threshold?
-    able = np.flatnonzero(np.bincount(passage, index.most[term], passages) >= share)
-    if not len(able):
+    able = np.bincount(passage, index.most[term], passages) >= share - 1e-6
+    kept = able[passage]
+    if not kept.any():
         return []
-    starts = np.searchsorted(passage, np.arange(passages + 1))
+    passage, term = passage[kept], term[kept]
+    # Block test: the postings of each passage's terms add up their blocks' largest impacts.
+    n = index.starts[term + 1] - index.starts[term]
+    at = np.arange(int(n.sum())) + np.repeat(index.starts[term] - (np.cumsum(n) - n), n)
+    blocks = len(index.impact)
+    cell = np.repeat(passage, n) * blocks + index.posted[at]
+    if passages * blocks <= 8 * len(cell) + (1 << 16):
+        hopeful = np.flatnonzero(np.bincount(cell, index.posted_most[at]) >= share - 1e-6)
+    else:  # few of all cells have postings
+        keys, where = np.unique(cell, return_inverse=True)
+        hopeful = keys[np.bincount(where, index.posted_most[at]) >= share - 1e-6]
+    begin = np.searchsorted(passage, np.arange(passages + 1))
     found = []
-    for p in able.tolist():
-        own = term[starts[p] : starts[p + 1]]
-        for b in np.flatnonzero(index.block_most[own].sum(axis=0) >= share - 1e-6).tolist():
-            score = index.impact[b][index.row_of[b, own]].sum(axis=0)
-            found += [(p, b * BLOCK + j, float(score[j])) for j in np.flatnonzero(score >= share - 1e-6).tolist()]
+    for p, b in zip(*(x.tolist() for x in np.divmod(hopeful, blocks)), strict=True):
+        own = term[begin[p] : begin[p + 1]]
+        rows = np.searchsorted(index.block_terms[b], own)
+        rows = rows[index.block_terms[b][np.minimum(rows, len(index.block_terms[b]) - 1)] == own]
+        score = index.impact[b][rows].sum(axis=0)
+        found += [(p, b * BLOCK + j, float(score[j])) for j in np.flatnonzero(score >= share - 1e-6).tolist()]
     return found
 
 

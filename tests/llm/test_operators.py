@@ -289,8 +289,8 @@ def test_block_max_search_is_exhaustive():
     wanted = {}
     for p in range(-(-len(words) // index.stride) - 1):
         own = {index.terms[w] for w in words[p * index.stride : (p + 2) * index.stride] if w in index.terms}
-        for b, impact in index.impact.items():
-            for j, s in enumerate(sum(impact[index.row_of[b, t]] for t in own)):
+        for b, impact in enumerate(index.impact):
+            for j, s in enumerate(sum(impact[i] for i, t in enumerate(index.block_terms[b]) if t in own)):
                 if s >= 0.8 - 1e-6:
                     wanted[p, b * decontaminate.BLOCK + j] = s
     assert got.keys() == wanted.keys() and all(abs(got[k] - wanted[k]) < 1e-4 for k in got)
