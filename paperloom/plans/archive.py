@@ -38,13 +38,13 @@ def a18_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(with_archive("""SELECT d.doc_id FROM docs d LEFT JOIN (SELECT DISTINCT dossier_id, fonds FROM docs) s USING (dossier_id, fonds)
-WHERE d.status = 'indexed' AND contains(' ' || """ + sql_fold("d.subject") + """, 'the') AND d.doc_id BETWEEN 10 AND 800"""))
+WHERE d.status = 'indexed' AND contains(' ' || """ + sql_fold("d.subject") + """, 'the') AND d.n_chars BETWEEN 500 AND 8000"""))
 def b01_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Indexed documents whose folded subject contains a word, within a range."""
     d = documents(spark, sf_dir)
     dossiers = d.select("dossier_id", "fonds").distinct()
     both = d.join(dossiers, ["dossier_id", "fonds"], "left")
-    return both.where((F.col("status") == "indexed") & F.contains(T.fold("subject"), F.lit("the")) & F.col("doc_id").between(10, 800)).select("doc_id")
+    return both.where((F.col("status") == "indexed") & F.contains(T.fold("subject"), F.lit("the")) & F.col("n_chars").between(500, 8000)).select("doc_id")
 
 
 @query(with_archive(f"SELECT doc_id, len(list_filter({sql_tokens('subject')}, lambda t: length(t) >= 2 OR regexp_matches(t, '[0-9]')))::BIGINT AS n FROM docs"))
@@ -94,10 +94,10 @@ def b24_foreign_script(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.col("text").rlike(r"[\p{IsCyrillic}\p{IsGreek}\p{IsArabic}]").alias("foreign_script"))
 
 
-@query(with_archive("""SELECT l.doc_id, l.pos, l.line, d.file_name, d.dossier_id FROM lines l JOIN docs d USING (doc_id) WHERE d.status <> 'deleted' AND length(l.line) >= 12 AND l.pos < 3"""))
+@query(with_archive("""SELECT l.doc_id, l.pos, l.line, d.file_name, d.dossier_id FROM lines l JOIN docs d USING (doc_id) WHERE d.status <> 'deleted' AND length(l.line) >= 12"""))
 def c01_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hits with the attributes of their documents; short lines are left out."""
-    hits = lines(spark, sf_dir).where((F.length("line") >= 12) & (F.col("pos") < 3)).select("doc_id", "pos", "line")
+    hits = lines(spark, sf_dir).where(F.length("line") >= 12).select("doc_id", "pos", "line")
     return hits.join(documents(spark, sf_dir).where("status <> 'deleted'").select("doc_id", "file_name", "dossier_id"), "doc_id")
 
 

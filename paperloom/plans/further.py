@@ -12,10 +12,10 @@ from .bindings import documents, lines, sql_fold, sql_tokens, table, with_archiv
 from .registry import query
 
 
-@query("WITH old AS (SELECT event_type AS k, count(*)::BIGINT AS v FROM events WHERE event_id < 300 GROUP BY 1), new AS (SELECT * FROM (VALUES ('click', 1::BIGINT), ('brand-new', 2::BIGINT)) t(k, v)) SELECT * FROM old UNION ALL SELECT * FROM new WHERE k NOT IN (SELECT k FROM old)")
+@query("WITH old AS (SELECT event_type AS k, count(*)::BIGINT AS v FROM events WHERE event_type <> 'view' GROUP BY 1), new AS (SELECT * FROM (VALUES ('click', 1::BIGINT), ('brand-new', 2::BIGINT)) t(k, v)) SELECT * FROM old UNION ALL SELECT * FROM new WHERE k NOT IN (SELECT k FROM old)")
 def a03_seeded(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Defaults are added only for keys that are missing."""
-    old = table(spark, sf_dir, "events").where("event_id < 300").groupBy(F.col("event_type").alias("k")).agg(F.count(F.lit(1)).alias("v"))
+    old = table(spark, sf_dir, "events").where("event_type <> 'view'").groupBy(F.col("event_type").alias("k")).agg(F.count(F.lit(1)).alias("v"))
     new = spark.createDataFrame([("click", 1), ("brand-new", 2)], "k string, v long")
     return old.unionByName(new.join(old.select("k"), "k", "left_anti"))
 
@@ -155,13 +155,13 @@ def d16_oracle_candidate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.max_by("l_linenumber", rank).alias("best"), F.max("l_quantity").alias("f1"))
 
 
-_GRIDS = "(SELECT doc_id, pos AS r, unnest(range(len(string_split(line, ' | '))))::INT AS c, unnest(string_split(line, ' | ')) AS cell FROM lines WHERE contains(line, ' | ') AND page = 0)"
+_GRIDS = "(SELECT doc_id, pos AS r, unnest(range(len(string_split(line, ' | '))))::INT AS c, unnest(string_split(line, ' | ')) AS cell FROM lines WHERE contains(line, ' | '))"
 
 
 @query(with_archive(f"SELECT a.doc_id, round(avg((coalesce(a.cell, '') = coalesce(b.cell, ''))::INT), 9)::DOUBLE AS exact FROM {_GRIDS} a FULL JOIN {_GRIDS} b ON a.doc_id = b.doc_id AND a.r = b.r AND a.c = b.c + 1 WHERE a.doc_id IS NOT NULL GROUP BY a.doc_id"))
 def d28_cell_grids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Equal cells of two grids, one shifted by a column."""
-    rows = lines(spark, sf_dir).where(F.contains("line", F.lit(" | ")) & (F.col("page") == 0))
+    rows = lines(spark, sf_dir).where(F.contains("line", F.lit(" | ")))
     cells = rows.select("doc_id", F.col("pos").alias("r"), F.posexplode(F.split("line", r" \| ")).alias("c", "cell"))
     other = cells.select("doc_id", "r", (F.col("c") + 1).alias("c"), F.col("cell").alias("theirs"))
     both = cells.join(other, ["doc_id", "r", "c"], "left")
@@ -215,9 +215,9 @@ def g06_line_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return own.select("doc_id", "page", F.col("pos").alias("first"), F.explode(F.sequence("pos", "end")).alias("last"))
 
 
-@query("SELECT doc_id, array_to_string(list_sort(list_distinct(regexp_extract_all(left(text, 300), '[A-Za-z]+'))), ' ') AS words FROM documents")
+@query("SELECT doc_id, array_to_string(list_sort(list_distinct(regexp_extract_all(text, '[A-Za-z]+'))), ' ') AS words FROM documents")
 def g18_ordered_unique(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(F.array_sort(F.array_distinct(F.regexp_extract_all(F.left("text", F.lit(300)), F.lit("([A-Za-z]+)"), F.lit(1)))), " ").alias("words"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(F.array_sort(F.array_distinct(F.regexp_extract_all("text", F.lit("([A-Za-z]+)"), F.lit(1)))), " ").alias("words"))
 
 
 @query("SELECT DISTINCT text FROM benchmark UNION SELECT DISTINCT text FROM conversations WHERE turn = 0")

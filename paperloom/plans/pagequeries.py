@@ -21,7 +21,7 @@ BY = ["doc_id", "page"]
 
 def planted(spark: SparkSession, sf_dir: str) -> DataFrame:
     turn = ((F.col("pos") + F.col("doc_id") * 7) % 26).cast("int")
-    text = F.when(turn < len(PLANTED), F.get(F.array(*map(F.lit, PLANTED)), turn)).otherwise(F.left("line", F.lit(100)))
+    text = F.when(turn < len(PLANTED), F.get(F.array(*map(F.lit, PLANTED)), turn)).otherwise(F.col("line"))
     x = (turn % 5) * 0.12
     return lines(spark, sf_dir).select("doc_id", "page", F.col("pos").alias("ord"), text.alias("text"), x.alias("x0"), (F.col("pos") % 40 / 40.0).alias("y0"), (x + 0.3 + turn % 3 * 0.15).alias("x1"))
 
@@ -36,7 +36,7 @@ def _sql() -> str:
     array = "[" + ", ".join("'" + t + "'" for t in PLANTED) + "]"
     role = contains(P.ROLE_KEYWORDS)
     return f"""
-planted AS (SELECT doc_id, page, pos AS ord, CASE WHEN turn < {len(PLANTED)} THEN ({array})[turn + 1] ELSE left(line, 100) END AS text, (turn % 5) * 0.12::DOUBLE AS x0, (pos % 40) / 40.0::DOUBLE AS y0, (turn % 5) * 0.12::DOUBLE + 0.3::DOUBLE + (turn % 3) * 0.15::DOUBLE AS x1
+planted AS (SELECT doc_id, page, pos AS ord, CASE WHEN turn < {len(PLANTED)} THEN ({array})[turn + 1] ELSE line END AS text, (turn % 5) * 0.12::DOUBLE AS x0, (pos % 40) / 40.0::DOUBLE AS y0, (turn % 5) * 0.12::DOUBLE + 0.3::DOUBLE + (turn % 3) * 0.15::DOUBLE AS x1
   FROM (SELECT *, ((pos + doc_id * 7) % 26)::INT AS turn FROM lines)),
 folded AS (SELECT *, trim(regexp_replace({sql_fold('text')}, '[\\s ]+', ' ', 'g')) AS n, (x0 + x1) / 2 AS cx, greatest(0.0::DOUBLE, x1 - x0) AS width,
   CASE WHEN length(regexp_replace(text, '\\P{{L}}', '', 'g')) > 0 THEN length(regexp_replace(text, '\\P{{Lu}}', '', 'g')) / length(regexp_replace(text, '\\P{{L}}', '', 'g'))::DOUBLE ELSE 0 END AS up FROM planted),

@@ -45,9 +45,9 @@ def h04_fuzzy_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", fuzzy.fuzzy_frequency(F.col("text"), F.lit("general licence")).alias("matches"))
 
 
-@query("SELECT c_custkey, damerau_levenshtein(c_mktsegment, left(c_name, 10))::BIGINT AS distance FROM customer")
+@query("SELECT c_custkey, damerau_levenshtein(c_mktsegment, c_name)::BIGINT AS distance FROM customer")
 def h07_edit_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "customer").select("c_custkey", fuzzy.damerau_distance("c_mktsegment", F.left("c_name", F.lit(10))).alias("distance"))
+    return table(spark, sf_dir, "customer").select("c_custkey", fuzzy.damerau_distance("c_mktsegment", "c_name").alias("distance"))
 
 
 @query()
@@ -125,17 +125,18 @@ def e16_suppressed_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lines(spark, sf_dir).where("page = 0").select("doc_id", F.col("pos").cast("long").alias("pos"), "x0", "y0", "x1", "y1")
+    sheet = F.concat(F.col("doc_id").cast("string"), F.lit("/"), F.col("page").cast("string"))
+    return lines(spark, sf_dir).select(sheet.alias("sheet"), F.col("pos").cast("long").alias("pos"), "x0", "y0", "x1", "y1")
 
 
 @query()
 def e20_reading_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return greedy.reading_order(_boxes(spark, sf_dir), "doc_id", "pos")
+    return greedy.reading_order(_boxes(spark, sf_dir), "sheet", "pos")
 
 
 @query()
 def e21_xy_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return greedy.xy_cut(_boxes(spark, sf_dir), "doc_id", "pos")
+    return greedy.xy_cut(_boxes(spark, sf_dir), "sheet", "pos")
 
 
 @query()
@@ -143,7 +144,7 @@ def c18_detections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Boxes against the same moved a little."""
     gold = _boxes(spark, sf_dir).withColumnRenamed("pos", "ord")
     moved = gold.withColumn("x0", F.col("x0") + 20).withColumn("y1", F.col("y1") - F.col("ord") % 9)
-    return greedy.detections(gold, moved, "doc_id")
+    return greedy.detections(gold, moved, "sheet")
 
 
 @query()
@@ -151,6 +152,6 @@ def a28_wire_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Messages of one string field, decoded without a schema."""
     from ..sources import files
 
-    name = F.encode(F.left("text", F.lit(40)), "UTF-8")
-    message = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.unhex(F.lit("12")), F.unhex(F.lpad(F.hex(F.octet_length(name)), 2, "0")), name).alias("data"))
-    return files.decoded_messages(message, "doc_id", "data").select("doc_id", "field", "kind", F.decode("bytes", "UTF-8").alias("text"))
+    name = F.encode("c_name", "UTF-8")
+    message = table(spark, sf_dir, "customer").select("c_custkey", F.concat(F.unhex(F.lit("12")), F.unhex(F.lpad(F.hex(F.octet_length(name)), 2, "0")), name).alias("data"))
+    return files.decoded_messages(message, "c_custkey", "data").select("c_custkey", "field", "kind", F.decode("bytes", "UTF-8").alias("text"))

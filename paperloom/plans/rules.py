@@ -142,18 +142,18 @@ def f02_fuzzy_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.top_k(best, ["user_id", "event_type"], [F.col("value").desc(), F.col("event_id")], 1).orderBy(F.col("value").desc(), "event_id").limit(100).select("event_id", "user_id")
 
 
-@query("WITH g AS (SELECT doc_id, list_sort(list_distinct(string_split(left(text, 60), ' '))) AS w FROM documents) SELECT a.doc_id, len(list_intersect(a.w, b.w)) > len(a.w) * 0.2 AS target FROM g a JOIN g b ON b.doc_id = a.doc_id + 1")
+@query("WITH g AS (SELECT doc_id, list_sort(list_distinct(string_split(text, ' '))) AS w FROM documents) SELECT a.doc_id, len(list_intersect(a.w, b.w)) > len(a.w) * 0.2 AS target FROM g a JOIN g b ON b.doc_id = a.doc_id + 1")
 def g09_candidate_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Candidates that share enough words with their gold value."""
-    g = table(spark, sf_dir, "documents").select("doc_id", F.array_distinct(F.split(F.left("text", F.lit(60)), " ")).alias("w"))
+    g = table(spark, sf_dir, "documents").select("doc_id", F.array_distinct(F.split("text", " ")).alias("w"))
     gold = g.select((F.col("doc_id") - 1).alias("doc_id"), F.col("w").alias("v"))
     return g.join(gold, "doc_id").select("doc_id", (F.size(F.array_intersect("w", "v")) > F.size("w") * 0.2).alias("target"))
 
 
-@query("SELECT conv_id, turn, i::INT AS i, token, (sum(length(token)) OVER (PARTITION BY conv_id, turn ORDER BY i) - length(token))::BIGINT AS start FROM (SELECT conv_id, turn, unnest(range(len(t))) AS i, unnest(t) AS token FROM (SELECT conv_id, turn, regexp_extract_all(left(text, 120), '[\\p{L}\\p{N}_]+|[^\\p{L}\\p{N}_\\s]') AS t FROM conversations))")
+@query("SELECT conv_id, turn, i::INT AS i, token, (sum(length(token)) OVER (PARTITION BY conv_id, turn ORDER BY i) - length(token))::BIGINT AS start FROM (SELECT conv_id, turn, unnest(range(len(t))) AS i, unnest(t) AS token FROM (SELECT conv_id, turn, regexp_extract_all(text, '[\\p{L}\\p{N}_]+|[^\\p{L}\\p{N}_\\s]') AS t FROM conversations))")
 def g15_split_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words and marks with the characters before them."""
-    t = F.regexp_extract_all(F.left("text", F.lit(120)), F.lit(r"([\p{L}\p{N}_]+|[^\p{L}\p{N}_\s])"), F.lit(1))
+    t = F.regexp_extract_all("text", F.lit(r"([\p{L}\p{N}_]+|[^\p{L}\p{N}_\s])"), F.lit(1))
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.posexplode(t).alias("i", "token"))
     w = Window.partitionBy("conv_id", "turn").orderBy("i")
     return rows.select("conv_id", "turn", "i", "token", (F.sum(F.length("token")).over(w) - F.length("token")).alias("start"))

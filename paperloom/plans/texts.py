@@ -95,10 +95,10 @@ def h23_type_of_number(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""SELECT c.conv_id, c.turn, levenshtein(a, b)::DOUBLE / greatest(length(a), 1) AS cer, greatest(0.0, 1.0 - levenshtein(a, b)::DOUBLE / greatest(length(a), 1)) AS accuracy
-FROM (SELECT x.conv_id, x.turn, regexp_replace(strip_accents(left(x.text, 200)), '[^ -~]', '', 'g') AS a, regexp_replace(strip_accents(left(y.text, 200)), '[^ -~]', '', 'g') AS b FROM conversations x JOIN conversations y ON y.conv_id = x.conv_id AND y.turn = x.turn + 1) c""")
+FROM (SELECT x.conv_id, x.turn, regexp_replace(strip_accents(x.text), '[^ -~]', '', 'g') AS a, regexp_replace(strip_accents(y.text), '[^ -~]', '', 'g') AS b FROM conversations x JOIN conversations y ON y.conv_id = x.conv_id AND y.turn = x.turn + 1) c""")
 def d31_character_error(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Edit distance over the reference's length, for each turn and the one after it."""
-    plain = F.regexp_replace(T.strip_accents(F.left("text", F.lit(200))), "[^ -~]", "")
+    plain = F.regexp_replace(T.strip_accents("text"), "[^ -~]", "")
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", plain.alias("a"))
     following = turns.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("a").alias("b"))
     cer = F.levenshtein("a", "b") / F.greatest(F.length("a"), F.lit(1))
@@ -188,14 +188,14 @@ def i32_text_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.length("text").cast("long").alias("chars"), left("[^0-9]").alias("digits"), left(r"\P{Lu}").alias("capitals"), left("[^,;:.]").alias("stops"), (left(r"[^\n]") + 1).alias("n_lines"))
 
 
-@query("SELECT doc_id, CASE WHEN doc_id % 20 < 6 THEN (['find ', 'look for ', 'documents on ', 'search ', 'where is ', 'show '])[doc_id % 20 + 1] || left(text, 20) ELSE left(text, 20) END AS query FROM documents")
+@query("SELECT doc_id, CASE WHEN doc_id % 20 < 6 THEN (['find ', 'look for ', 'documents on ', 'search ', 'where is ', 'show '])[doc_id % 20 + 1] || s ELSE s END AS query FROM (SELECT doc_id, string_split(text, chr(10))[1] AS s FROM documents)")
 def m08_query_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Six templates in turn, for six of each twenty queries."""
     prefixes = F.array(*map(F.lit, ("find ", "look for ", "documents on ", "search ", "where is ", "show ")))
-    turn, head = (F.col("doc_id") % 20).cast("int"), F.left("text", F.lit(20))
+    turn, head = (F.col("doc_id") % 20).cast("int"), F.element_at(F.split("text", "\n"), 1)
     return table(spark, sf_dir, "documents").select("doc_id", F.when(turn < 6, F.concat(F.get(prefixes, turn), head)).otherwise(head).alias("query"))
 
 
-@query("SELECT doc_id, regexp_replace('Search for ' || left(text, 20), '^(?i)(search for|find|look for)\\s+', '') AS query FROM documents")
+@query("SELECT doc_id, regexp_replace('Search for ' || text, '^(?i)(search for|find|look for)\\s+', '') AS query FROM documents")
 def m09_strip_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", F.regexp_replace(F.concat(F.lit("Search for "), F.left("text", F.lit(20))), r"^(?i)(search for|find|look for)\s+", "").alias("query"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.regexp_replace(F.concat(F.lit("Search for "), "text"), r"^(?i)(search for|find|look for)\s+", "").alias("query"))
