@@ -31,11 +31,22 @@ def best_threshold(sweep: DataFrame, min_recall: float) -> DataFrame:
     return sweep.where(F.col("recall") >= min_recall).agg(F.max_by(F.struct("threshold", "f1", "recall"), rank).alias("x")).select("x.*")
 
 
-def area_under_curve(rows: DataFrame, gold: str, score: str) -> DataFrame:
-    """ROC area by rank sums over distinct scores, ties counted half: scores are summed first, so no row-wise window."""
+def area_under_curve(rows: DataFrame, gold: str, score: str, buckets: int = 4096) -> DataFrame:
+    """ROC area by rank sums over distinct scores, ties counted half.
+
+    Scores fall into ranges, so that a running sum never orders all of them in one task: first over the ranges, which
+    are few, then within each.
+    """
     by_score = rows.groupBy(F.col(score).alias("s")).agg(F.sum(F.col(gold).cast("long")).alias("p"), F.sum(1 - F.col(gold).cast("long")).alias("n"))
-    below = F.coalesce(F.sum("n").over(Window.orderBy("s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return by_score.withColumn("wins", F.col("p") * (below + F.col("n") / 2)).agg(F.try_divide(F.sum("wins"), F.sum("p") * F.sum("n")).alias("auc"))
+    ends = rows.agg(F.min(score).alias("low"), F.max(score).alias("high"))
+    share = F.coalesce(F.try_divide(F.col("s") - F.col("low"), F.col("high") - F.col("low")), F.lit(0.0))
+    ranged = by_score.crossJoin(F.broadcast(ends)).withColumn("range", F.floor(share * buckets))  # one row of ends
+    sums = ranged.groupBy("range").agg(F.sum("n").alias("own"))
+    before = sums.select("range", F.coalesce(F.sum("own").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    within = F.coalesce(F.sum("n").over(Window.partitionBy("range").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    both = ranged.withColumn("within", within).join(F.broadcast(before), "range")
+    wins = F.col("p") * (F.col("before") + F.col("within") + F.col("n") / 2)
+    return both.agg(F.try_divide(F.sum(wins), F.sum("p") * F.sum("n")).alias("auc"))
 
 
 def top_k(rows: DataFrame, by: list[str], order: list[Column], k: int) -> DataFrame:

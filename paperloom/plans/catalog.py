@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import archive, further, layout, measures, pagequeries, retrieval, rules, texts  # noqa: F401  they register their queries
+from . import archive, further, layout, lifecycle, measures, pagequeries, retrieval, rules, texts  # noqa: F401  they register their queries
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
