@@ -44,7 +44,7 @@ def fold(c: Column | str) -> Column:
 
 def tokens(c: Column | str) -> Column:
     """Folded runs of word characters."""
-    return F.regexp_extract_all(fold(c), F.lit(r"(?U)(\w+)"), F.lit(1))
+    return F.regexp_extract_all(fold(c), F.lit(r"([a-z0-9_\p{L}\p{N}]+)"), F.lit(1))
 
 
 def squeeze(c: Column | str) -> Column:
@@ -154,8 +154,15 @@ def safe_name(c: Column | str) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(c, r'[\\/:*?"<>|]+', "_"), r"\s+", " "))
 
 
-def sliding_words(c: Column | str, size: int = 250, overlap: int = 30) -> Column:
-    """Windows of ``size`` words that overlap by ``overlap``; none without words."""
-    words = F.filter(F.split(c, r"(?U)\s+"), lambda w: w != "")
+def words(c: Column | str) -> Column:
+    """Runs of characters other than white space."""
+    return F.filter(F.split(c, r"(?U)\s+"), lambda w: w != "")
+
+
+def sliding_words(words: Column, size: int = 250, overlap: int = 30) -> Column:
+    """Windows of ``size`` of a column of words that overlap by ``overlap``; none without words.
+
+    The words must be a column of their own: an expression would be computed anew for each window.
+    """
     starts = F.when(F.size(words) > 0, F.sequence(F.lit(0), F.size(words) - 1, F.lit(size - overlap))).otherwise(F.array().cast("array<int>"))
     return F.transform(starts, lambda i: F.array_join(F.slice(words, i + 1, size), " "))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as T
-from ..operators import merge
+from ..operators import merge, search
 from .bindings import documents, lines, sql_fold, sql_padded, sql_tokens, table, with_archive
 from .registry import query
 
@@ -246,4 +246,4 @@ def k14_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(with_archive(f"""SELECT doc_id, n::BIGINT AS match_total FROM (SELECT doc_id, (length(t) - length(replace(t, q, ''))) // length(q) AS n FROM (SELECT doc_id, {sql_padded('text')} AS t, {sql_padded("'of the'")} AS q FROM documents)) WHERE n > 0"""))
 def h03_phrase_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that contain a folded phrase, and how often."""
-    return table(spark, sf_dir, "documents").select("doc_id", T.phrase_count("text", "of the").alias("match_total")).where("match_total > 0")
+    return search.exact(table(spark, sf_dir, "documents"), "doc_id", "text", "of the").withColumnRenamed("matches", "match_total")

@@ -25,7 +25,7 @@ n AS (SELECT count(*) AS n_docs, avg(dl) AS mean FROM (SELECT doc_id, any_value(
 h AS (SELECT *, count(*) OVER (PARTITION BY token) AS df FROM p WHERE token IN ('licensed', 'gnu', 'version'))
 SELECT doc_id, round(sum(ln(1 + (n_docs - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / mean)))::DOUBLE, 6) AS score FROM h, n GROUP BY doc_id""")
 def j06_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scores = S.bm25(S.postings(table(spark, sf_dir, "documents"), "doc_id", "text"), "doc_id", "licensed GNU version")
+    scores = S.bm25_scan(table(spark, sf_dir, "documents"), "doc_id", "text", "licensed GNU version")
     return scores.select("doc_id", F.round("score", 6).alias("score"))
 
 

@@ -37,7 +37,8 @@ s AS (SELECT doc_id, w, unnest(range(0, len(w), 220)) AS i FROM w)
 SELECT doc_id, i::BIGINT AS start, array_to_string(w[i + 1 : i + 250], ' ') AS chunk FROM s""")
 def h11_sliding_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Windows of 250 words in steps of 220."""
-    windows = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(T.sliding_words("text")).alias("i", "chunk"))
+    split = table(spark, sf_dir, "documents").select("doc_id", T.words("text").alias("words"))
+    windows = split.select("doc_id", F.posexplode(T.sliding_words(F.col("words"))).alias("i", "chunk"))
     return windows.select("doc_id", (F.col("i") * 220).cast("long").alias("start"), "chunk")
 
 
