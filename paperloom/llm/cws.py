@@ -19,7 +19,7 @@ SAMPLES = 32
 #: Samples whose values one generated method computes; longer methods would not be compiled by the JVM.
 TOGETHER = 4
 #: Quantiles of doc_id that become literals in the plan; more ranges than these are cut evenly between two of them.
-BOUNDS = 512
+BOUNDS = 32
 #: Accuracy of those quantiles; only the balance of partitions depends on it.
 RELATIVE_ERROR = 0.001
 
@@ -49,25 +49,34 @@ def range_of_id(df: DataFrame, parts: int) -> Column:
     return F.when(F.col("doc_id").isNull(), F.lit(len(found) * finer + 1)).otherwise(number).cast("long")
 
 
-def led(df: DataFrame, value: str, name: str) -> DataFrame:
+def led(df: DataFrame, value: str, name: str, firsts: DataFrame) -> DataFrame:
     """``df`` (part, at, ...) with ``name``: ``value`` of the row with the next ``at``, of the next part's first, of the very first.
 
-    Each part's first row is handed to the part before it by a join with one row for each part.
+    ``firsts`` (giver, first) has each part's first value, which is handed to the part before it.
     """
-    firsts = df.where("at = 1").select(F.col("part").alias("giver"), F.col(value).alias("first"))
-    order = Window.partitionBy("bucket").orderBy("own")  # one number for each part, no texts
-    turn = df.where("at = 1").select(F.col("part").alias("own"), F.lit(0).alias("bucket")).select("own", F.coalesce(F.lead("own").over(order), F.min("own").over(Window.partitionBy("bucket"))).alias("to"))
+    order, all_parts = Window.partitionBy("bucket").orderBy("own"), Window.partitionBy("bucket")  # a row for each part
+    turn = firsts.select(F.col("giver").alias("own"), F.lit(0).alias("bucket")).select("own", F.coalesce(F.lead("own").over(order), F.min("own").over(all_parts)).alias("to"))
     handed = turn.join(firsts, F.col("to") == F.col("giver")).select("own", "first")
     within = F.lead(F.struct(value)).over(Window.partitionBy("part").orderBy("at"))
-    return df.withColumn("within", within).join(handed, F.col("part") == F.col("own")).withColumn(name, F.when(F.col("within").isNull(), F.col("first")).otherwise(F.col(f"within.{value}"))).drop("within", "first", "own")
+    both = df.withColumn("within", within).join(handed, F.col("part") == F.col("own"))
+    return both.withColumn(name, F.when(F.col("within").isNull(), F.col("first")).otherwise(F.col(f"within.{value}"))).drop("within", "first", "own")
+
+
+def first_texts(texts: DataFrame) -> DataFrame:
+    """(giver, first): the text of the largest doc_id of each part, written to the shared folder."""
+    tops = texts.groupBy("part").agg(F.max("doc_id").alias("top")).withColumnRenamed("part", "giver")
+    rows = texts.join(tops, (F.col("part") == F.col("giver")) & F.col("doc_id").eqNullSafe(F.col("top"))).select("giver", "text")
+    turn = F.row_number().over(Window.partitionBy("giver").orderBy(F.xxhash64("text")))
+    return stage(rows.withColumn("turn", turn).where("turn = 1").select("giver", F.col("text").alias("first")), "first-texts")
 
 
 def edited_texts(docs: DataFrame, parts: int) -> DataFrame:
     """(part, at, doc_id, text, edited): the last third of each text replaced by the start of the next document's."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    dealt = texts.withColumn("part", range_of_id(texts, parts)).repartition(parts, "part")
+    dealt = texts.withColumn("part", range_of_id(texts, parts))
+    firsts = first_texts(dealt)
     order = Window.partitionBy("part").orderBy(F.col("doc_id").desc_nulls_last(), F.xxhash64("text"))
-    both = led(dealt.withColumn("at", F.row_number().over(order)), "text", "following")
+    both = led(dealt.repartition(parts, "part").withColumn("at", F.row_number().over(order)), "text", "following", firsts)
     third = "int(length(text) div 3)"
     return both.select("part", "at", "doc_id", "text", F.expr(f"concat(left(text, length(text) - {third}), left(following, {third}))").alias("edited"))
 
@@ -137,10 +146,11 @@ def fingerprints(docs: DataFrame, samples: int = SAMPLES, parts: int | None = No
     Rows are ordered by doc_id descending, nulls last, ties by text; wholly repeated rows give a row each.  A single
     row is its own next.  An empty table gives no rows.  Columns besides doc_id and text are not used.
     """
-    parts = parts or 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = parts or 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     texts = edited_texts(docs, parts)
     facts = texts.select("part", "at", "doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"))
     none = F.lit("0000" * samples)
     both = facts.join(signatures(texts, samples), ["part", "at"], "left").select(*facts.columns, *[F.coalesce(c, none).alias(c) for c in ("fingerprint", "edited_fingerprint")])
-    whole = led(stage(both, "signatures"), "fingerprint", "next_fingerprint")
+    both = stage(both, "signatures")
+    whole = led(both, "fingerprint", "next_fingerprint", both.where("at = 1").select(F.col("part").alias("giver"), F.col("fingerprint").alias("first")))
     return whole.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", likeness("fingerprint", "edited_fingerprint", samples).alias("near_edited"), likeness("fingerprint", "next_fingerprint", samples).alias("near_next"))
