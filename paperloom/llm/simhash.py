@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, small_batches, stage, words_of
+from .common import components, slices, small_batches, stage, words_of
 
 BITS = 64
 SEED = 42
@@ -80,7 +80,7 @@ def _map_texts(df: DataFrame, of, names: list[str]) -> DataFrame:
     kept = [c for c in df.columns if c != "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             rows = [of(x.as_py()) for x in batch.column("text")]
             columns = [pa.array([r[i] for r in rows], pa.int64()) for i in range(len(names))]
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in kept] + columns, names=kept + names)
