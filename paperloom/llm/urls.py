@@ -20,10 +20,10 @@ LABELLED = tuple(
         "https://www.library.org/catalog/history/article-1024.html", "https://news.daily.org/world/2021/05/election-results", "https://en.encyclopedia.org/wiki/Photosynthesis",
         "https://docs.project.org/en/latest/tutorial/introduction.html", "https://www.university.edu/research/papers/2019/abstract", "https://blog.engineer.io/posts/how-to-write-tests",
         "https://museum.gov/collections/paintings/renaissance", "https://forum.garden.org/topic/4411-growing-tomatoes", "https://recipes.kitchen.org/bread/sourdough",
-        "https://www.health.gov/topics/sleep/guidelines", "https://journal.science.org/articles/2020/quantum-computing", "http://m.thonth.example.org/de/18299",
-        "https://blog.therat.example.org/en/35056", "http://ththon.example.org/es/28827/", "https://m.tionble.example.org/fr/28162", "http://reader.books.org/chapter/12/the-long-road",
+        "https://www.health.gov/topics/sleep/guidelines", "https://journal.science.org/articles/2020/quantum-computing", "https://gallery.arts.edu/exhibitions/2018/printmaking",
+        "https://transit.city.gov/routes/12/timetable", "http://birds.society.org/species/robin/", "https://manuals.radio.org/receiver/chapter-4", "http://reader.books.org/chapter/12/the-long-road",
         "https://archive.letters.org/1890/correspondence", "https://weather.service.gov/forecast/city/tomorrow", "https://schools.city.edu/lessons/geometry/triangles", "https://travel.notes.org/guide/mountains",
-        "http://ththtion.example.net/de/14870", "https://www.tionsh.example.net/en/9211", "https://opinion.weekly.org/essays/on-reading", "https://law.archive.gov/cases/1954/summary",
+        "https://census.data.gov/tables/2010/households", "https://www.observatory.edu/en/sky/9211", "https://opinion.weekly.org/essays/on-reading", "https://law.archive.gov/cases/1954/summary",
     )
 ) + tuple(
     (url, 1)
