@@ -86,3 +86,17 @@ def test_pipeline(spark):
     assert set(rows["decontamination"]) == set(rows["simhash_near_dedup"]) - leaked
     assert {r.doc_id for r in kept["bpe_encoding"].collect()} == set(rows["decontamination"])
     assert corpus_pipeline.run(spark, SF_DIR).count() == len(rows["decontamination"])
+
+
+def test_stages_take_odd_documents(spark):
+    """Nulls in any column, empty and very long texts, repeated rows, and no rows at all."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    odd = [(1, None, None, None, None), (2, "", "en", "s", 0), (3, "w " * 60000, "en", "s", 120000), (4, "a b c", None, "s", 5), (4, "a b c", None, "s", 5), (None, "some other words here", "en", None, 21)]
+    docs = spark.createDataFrame(odd, schema)
+    for name, step in corpus_pipeline.STAGES:
+        for rows in (docs, docs.limit(0)):
+            out = step(spark, rows, SF_DIR)
+            found = out.collect()
+            assert (name == "bpe_encoding" or out.columns == docs.columns) and len(found) <= rows.count()
+            if name in ("line_dedup", "decontamination", "bpe_encoding"):
+                assert len(found) == rows.count()
