@@ -22,6 +22,8 @@ TOGETHER = 4
 BOUNDS = 32
 #: Accuracy of those quantiles; only the balance of partitions depends on it.
 RELATIVE_ERROR = 0.001
+#: Ranges whose largest ids are broadcast at most, at some 30 bytes each; beyond it texts are shuffled to them.
+MOST_BROADCAST = 1_000_000
 
 _SPACES = r"[\x20\x09-\x0D]+"
 
@@ -62,10 +64,10 @@ def led(df: DataFrame, value: str, name: str, firsts: DataFrame) -> DataFrame:
     return both.withColumn(name, F.when(F.col("within").isNull(), F.col("first")).otherwise(F.col(f"within.{value}"))).drop("within", "first", "own")
 
 
-def first_texts(texts: DataFrame) -> DataFrame:
+def first_texts(texts: DataFrame, ranges: int) -> DataFrame:
     """(giver, first): the text of the largest doc_id of each part, written to the shared folder."""
     tops = texts.groupBy("part").agg(F.max("doc_id").alias("top")).withColumnRenamed("part", "giver")
-    rows = texts.join(tops, (F.col("part") == F.col("giver")) & F.col("doc_id").eqNullSafe(F.col("top"))).select("giver", "text")
+    rows = texts.join(F.broadcast(tops) if ranges <= MOST_BROADCAST else tops, (F.col("part") == F.col("giver")) & F.col("doc_id").eqNullSafe(F.col("top"))).select("giver", "text")
     turn = F.row_number().over(Window.partitionBy("giver").orderBy(F.xxhash64("text")))
     return stage(rows.withColumn("turn", turn).where("turn = 1").select("giver", F.col("text").alias("first")), "first-texts")
 
@@ -73,8 +75,10 @@ def first_texts(texts: DataFrame) -> DataFrame:
 def edited_texts(docs: DataFrame, parts: int) -> DataFrame:
     """(part, at, doc_id, text, edited): the last third of each text replaced by the start of the next document's."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    dealt = texts.withColumn("part", range_of_id(texts, parts))
-    firsts = first_texts(dealt)
+    # Several ranges to a partition, which then differ less in size.
+    ranges = 4 * parts
+    dealt = texts.withColumn("part", range_of_id(texts, ranges))
+    firsts = first_texts(dealt, ranges)
     order = Window.partitionBy("part").orderBy(F.col("doc_id").desc_nulls_last(), F.xxhash64("text"))
     both = led(dealt.repartition(parts, "part").withColumn("at", F.row_number().over(order)), "text", "following", firsts)
     third = "int(length(text) div 3)"
