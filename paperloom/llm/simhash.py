@@ -23,6 +23,19 @@ BITS = 64
 SEED = 42
 #: Members that are compared within one bucket; larger buckets are split by further bits, never cut.
 MOST_IN_BUCKET = 4096
+#: Words in a shingle of the near-duplicate stage, and the Jaccard similarity of shingle sets from which texts are near-duplicates.
+SHINGLE = 5
+SIMILAR = (4, 5)
+#: Least hashes are cut into bands; sets that agree in one band are compared.  At 0.8, (1 - 0.8 ** 5) ** 24, or 0.007 %, agree in none.
+BANDS = 24
+BAND_ROWS = 5
+#: Least hashes, of all 120, that a pair must share before its sets are compared within a bucket: five standard deviations under 0.8.
+SHARED = 74
+#: Members of one bucket that are compared with as many others at once.
+BLOCK = 256
+_DRAWN = np.random.default_rng(SEED).integers(0, 2**64, (2, BANDS * BAND_ROWS), np.uint64)
+_SALTS, _FACTORS = _DRAWN[0], _DRAWN[1] | np.uint64(1)
+_PLACE = np.random.default_rng(SEED + 1).integers(0, 2**64, SHINGLE, np.uint64) | np.uint64(1)
 
 
 def signed(x: int) -> int:
@@ -66,10 +79,48 @@ def fingerprint(text: str | None, size: int = 3) -> int:
     return majority(shingle_hashes(words_of(text), size))
 
 
-def word_set_fingerprints(text: str | None) -> tuple[int, int]:
-    """Fingerprints of the set of words, and of the set of five-word shingles; words without ASCII punctuation."""
+class _Hashes(dict):
+    """XXH64 of words, remembered within a bound."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= 1 << 18:
+            self.clear()
+        found = self[word] = xxhash.xxh64_intdigest(word, SEED)
+        return found
+
+
+def shingle_set(text: str | None, hashes: dict[bytes, int]) -> tuple[int, np.ndarray]:
+    """A hash of a text's sequence of words, and the sorted hashes of its set of five-word shingles.
+
+    Words are in lower case and without ASCII punctuation.  Fewer than five words are one shingle, none are no shingle.
+    """
     words = (text or "").lower().encode("utf-8", "surrogatepass").translate(_PLAIN).split()
-    return majority([xxhash.xxh64_intdigest(w, SEED) for w in set(words)]), majority(list(set(shingle_hashes(words, 5))))
+    whole = xxhash.xxh64_intdigest(b" ".join(words), SEED)
+    if len(words) < SHINGLE:
+        return whole, np.array([whole] if words else [], np.uint64)
+    each = np.array([hashes[w] for w in words], np.uint64)
+    n = len(each) - SHINGLE + 1
+    runs = sum((each[k : n + k] * _PLACE[k] for k in range(1, SHINGLE)), each[:n] * _PLACE[0])
+    return whole, np.unique(_mixed(runs))
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
+    return x ^ (x >> np.uint64(29))
+
+
+def least_hashes(shingles: np.ndarray) -> np.ndarray:
+    """For each of BANDS * BAND_ROWS hash functions its least value over the set: two sets share one with the chance of their Jaccard similarity."""
+    out = np.full(len(_SALTS), np.uint64(2**64 - 1))
+    for a in range(0, len(shingles), 1024):
+        x = (shingles[a : a + 1024, None] ^ _SALTS) * _FACTORS
+        out = np.minimum(out, (x ^ (x >> np.uint64(32))).min(axis=0))
+    return out
+
+
+def band_keys(least: np.ndarray) -> np.ndarray:
+    """A key for each band of least hashes."""
+    return _mixed((least.reshape(BANDS, BAND_ROWS) * _FACTORS[:BAND_ROWS]).sum(axis=1, dtype=np.uint64) + _SALTS[:BANDS])
 
 
 _PLAIN = bytes(32 if c < 128 and not chr(c).isalnum() else c for c in range(256))
@@ -176,17 +227,137 @@ def simhash_groups(docs: DataFrame, size: int = 3, radius: int = 3) -> DataFrame
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-def near_duplicates_removed(docs: DataFrame, radius: int = 5, second: int = 14) -> DataFrame:
+def _sketches(docs: DataFrame) -> DataFrame:
+    """(node, least, size, sketch, keys) of each distinct sequence of words: its smallest doc_id, shingles, least hashes and band keys."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = _Hashes()
+        for batch in slices(batches):
+            made = [shingle_set(t, hashes) for t in batch.column("text").to_pylist()]
+            drawn = [least_hashes(x) for _, x in made]
+            keys = [band_keys(d).view(np.int64) if len(x) else np.array([], np.int64) for (_, x), d in zip(made, drawn, strict=True)]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column("doc_id"), pa.array([signed(w) for w, _ in made], pa.int64()), pa.array([len(x) for _, x in made], pa.int64()),
+                    pa.array([d.astype(np.uint32).tobytes() for d in drawn], pa.binary()), pa.array(keys, pa.list_(pa.int64())),
+                ],
+                names=["doc_id", "node", "size", "sketch", "keys"],
+            )
+
+    small_batches(docs.sparkSession)
+    id_type = docs.schema["doc_id"].dataType.simpleString()
+    prints = docs.select("doc_id", "text").mapInArrow(run, f"doc_id {id_type}, node long, size long, sketch binary, keys array<long>")
+    return stage(prints.groupBy("node").agg(F.min("doc_id").alias("least"), *(F.first(c).alias(c) for c in ("size", "sketch", "keys"))), "sketches")
+
+
+def _shingle_sets(needed: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """(node, shingles) of the nodes ``needed``, from the texts of their smallest doc_id."""
+    ids = nodes.join(needed, "node", "left_semi").select(F.col("least").alias("__least")).distinct()
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = _Hashes()
+        for batch in slices(batches):
+            made = [shingle_set(t, hashes) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array([signed(w) for w, _ in made], pa.int64()), pa.array([x.tobytes() for _, x in made], pa.binary())], names=["node", "shingles"])
+
+    texts = docs.select("doc_id", "text").join(ids, F.col("doc_id").eqNullSafe(F.col("__least")), "left_semi").select("text")
+    return stage(texts.mapInArrow(sets, "node long, shingles binary").join(needed, "node", "left_semi").dropDuplicates(["node"]), "shingles")
+
+
+def similar(x: np.ndarray, y: np.ndarray) -> bool:
+    """Whether two sorted sets have a Jaccard similarity of 0.8 or more."""
+    part, whole = SIMILAR
+    shared = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
+    return whole * shared >= part * (len(x) + len(y) - shared)
+
+
+def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows (a, b, x, y), the pairs (a, b) whose sets of shingles x and y are similar."""
+    for batch in batches:
+        keep = [similar(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)) for x, y in zip(batch.column("x"), batch.column("y"), strict=True)]
+        yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+
+def _cross_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Over rows (key, band, lead, node, root, size, sketch, shingles) sorted by key: verified links across a bucket's components.
+
+    Pairs with the bucket's lead have been compared, and pairs that share an earlier band are compared there.  Components
+    that a link connects become one at once, so a bucket gives fewer links than it has members.
+    """
+    part, whole = SIMILAR
+
+    def links(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        lead, band = rows.column("lead")[0].as_py(), rows.column("band")[0].as_py()
+        node, root, size = (rows.column(c).to_numpy() for c in ("node", "root", "size"))
+        sketch = np.stack([np.frombuffer(x, np.uint32) for x in rows.column("sketch").to_pylist()])
+        sets = [np.frombuffer(x, np.uint64) for x in rows.column("shingles").to_pylist()]
+        root, out = root.copy(), []
+        for i in range(0, len(node), BLOCK):
+            for j in range(i, len(node), BLOCK):
+                a, b = slice(i, i + BLOCK), slice(j, j + BLOCK)
+                may = (root[a, None] != root[None, b]) & (node[a, None] != lead) & (node[None, b] != lead)
+                if i == j:
+                    may = np.triu(may, 1)
+                may &= (whole * size[a, None] >= part * size[None, b]) & (whole * size[None, b] >= part * size[a, None])
+                x, y = np.nonzero(may)
+                x, y = x + i, y + j
+                for k in range(0, len(x), 16384):
+                    u, v = x[k : k + 16384], y[k : k + 16384]
+                    same = sketch[u] == sketch[v]
+                    shared = same.sum(axis=1)
+                    first = same.reshape(-1, BANDS, BAND_ROWS).all(axis=2).argmax(axis=1)
+                    near = np.flatnonzero((shared >= SHARED) & (first == band))
+                    for at in near[np.argsort(-shared[near], kind="stable")]:
+                        p, q = u[at], v[at]
+                        if root[p] != root[q] and similar(sets[p], sets[q]):
+                            out.append((node[p], node[q]))
+                            root[root == root[q]] = root[p]
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(np.array(out)[:, k]) for k in range(2)], names=["a", "b"])
+
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        keys = batch.column("key").to_numpy()
+        cuts = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), len(keys)]
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            if held and b > a and held[0].column("key")[0].as_py() != keys[a]:
+                yield from links(pa.Table.from_batches(held))
+                held = []
+            if b > a:
+                held.append(batch.slice(a, b - a))
+    if held:
+        yield from links(pa.Table.from_batches(held))
+
+
+def near_duplicate_links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Links (a, b) of ``nodes`` with a Jaccard similarity of 0.8 or more that connect all such pairs which share a band.
+
+    First each member of a bucket is compared with the bucket's smallest.  Buckets that still have several components are
+    compared within.  Every link is verified by the whole sets; a bucket gives at most one for each member.
+    """
+    rows = nodes.select("node", F.posexplode("keys").alias("band", "key"))
+    leads = rows.groupBy("key").agg(F.min("node").alias("lead"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "lead")
+    members = stage(rows.join(leads, "key"), "buckets")
+    sets = _shingle_sets(members.select("node").distinct(), nodes, docs)
+    pairs = members.where("node <> lead").select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct()
+    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
+    links = stage(both.select("a", "b", "x", "y").mapInArrow(_verified, "a long, b long"), "near-links")
+    rooted = members.join(components(links), "node", "left").select("key", "band", "lead", "node", F.coalesce("root", "node").alias("root"))
+    several = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("n")).where("low < high and n > 2").select("key")
+    left = rooted.join(several, "key", "left_semi").join(nodes.select("node", "size", "sketch"), "node").join(sets, "node")
+    left = left.select("key", "band", "lead", "node", "root", "size", "sketch", "shingles")
+    return links.unionByName(left.repartition("key").sortWithinPartitions("key").mapInArrow(_cross_links, "a long, b long"))
+
+
+def near_duplicates_removed(docs: DataFrame) -> DataFrame:
     """``docs`` with one document of each near-duplicate group: the one with the smallest doc_id.
 
-    Candidates are found by the fingerprint of the set of words (``radius`` bits) and verified by the fingerprint of the
-    set of five-word shingles (``second`` bits; a Jaccard similarity of 0.8 gives 10 on average).  Documents
-    with a null doc_id stay only if all of their group have none; rows that share a doc_id stay or go together.
+    Texts are near-duplicates if their sets of five-word shingles have a Jaccard similarity of 0.8 or more, and over chains of
+    such texts.  Documents with a null doc_id stay only if all of their group have none; rows that share a doc_id stay
+    or go together.
     """
-    ids = docs.select("doc_id", "text")
-    prints = stage(_map_texts(ids, lambda t: tuple(map(signed, word_set_fingerprints(t))), ["fp", "fp2"]), "fingerprints")
-    nodes = prints.groupBy("fp", "fp2").agg(F.min("doc_id").alias("least")).withColumn("node", F.xxhash64("fp", "fp2"))
-    roots = components(fingerprint_links(nodes, radius, second))
+    nodes = _sketches(docs)
+    roots = components(near_duplicate_links(docs, nodes))
     rooted = nodes.join(roots, "node", "left").select("least", F.coalesce("root", "node").alias("root"))
     kept = rooted.groupBy("root").agg(F.min("least").alias("__kept"))
     return docs.join(kept.select("__kept"), F.col("doc_id").eqNullSafe(F.col("__kept")), "left_semi")

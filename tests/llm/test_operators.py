@@ -115,6 +115,39 @@ def test_near_duplicates(docs, spark):
     assert simhash.near_duplicates_removed(docs.limit(0)).count() == 0
 
 
+def _shingles(text):
+    w = re.sub(r"[!-/:-@\[-`{-~]", " ", (text or "").lower()).split()
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
+def test_near_duplicates_are_those_of_the_exact_similarity(spark):
+    rng = random.Random(8)
+    vocabulary = [f"w{i}" for i in range(400)]
+    texts = []
+    for _ in range(40):  # copies with ever more words changed: similarities on both sides of 0.8, and chains
+        base = rng.choices(vocabulary, k=rng.randint(60, 250))
+        for _ in range(6):
+            texts.append(" ".join(base))
+            for at in rng.sample(range(len(base)), max(1, len(base) // 60)):
+                base[at] = rng.choice(vocabulary)
+    sets = [_shingles(t) for t in texts]
+    parent = list(range(len(texts)))
+
+    def top(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    similar = [(i, j) for j in range(len(texts)) for i in range(j) if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])]
+    for i, j in similar:
+        a, b = sorted((top(i), top(j)))
+        parent[b] = a
+    assert 40 < len(similar) < 600
+    rng.shuffle(order := list(range(len(texts))))
+    found = simhash.near_duplicates_removed(spark.createDataFrame([(i, texts[i]) for i in order], "doc_id long, text string").repartition(3))
+    assert sorted(r.doc_id for r in found.collect()) == sorted({top(i) for i in range(len(texts))})
+
+
 def test_bpe_is_the_librarys(docs):
     path = tokenizer_path()
     t = bpe.tokenizer(path)
