@@ -67,6 +67,11 @@ def test_components(spark):
     assert found == {i: 100 for i in range(100, 161)} | {5: 5, 6: 5, 7: 5}
 
 
+def test_components_of_many_edges(spark):
+    edges = spark.range(1_000_000).selectExpr("2 * id + 1 as a", "2 * id as b")
+    assert components(edges).selectExpr("count(1)", "sum(node - root)").first()[:] == (2_000_000, 1_000_000)
+
+
 def _linked(prints: dict, radius: int) -> dict:
     parent = {f: f for f in set(prints.values())}
 
