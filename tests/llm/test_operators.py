@@ -283,6 +283,24 @@ def test_quality(docs, spark):
     assert quality.scored(docs, labels).count() == len(ROWS) and quality.scored(docs.limit(0), labels).count() == 0
 
 
+def test_quality_threshold_is_that_of_all_labelled_documents(spark):
+    rng = random.Random(4)
+    words = ["alpha", "beta", "gamma", "delta", "epsilon", "zeta", "eta", "theta"]
+    rows = [(i, " ".join(w.upper() if rng.random() < (0.35 if i % 2 else 0.65) + rng.gauss(0, 0.1) else w for w in rng.choices(words, k=40)), i % 2) for i in range(400)]
+    texts = spark.createDataFrame(rows, "doc_id long, text string, quality long").repartition(3).cache()
+    model = quality.trained(texts, texts, 40)
+    raw = {i: model.raw(quality.features(t)[None])[0] for i, t, _ in rows}
+    train = [(raw[i], y) for i, _, y in rows if zlib.crc32(str(i).encode()) % 5]
+    good = sum(y for _, y in train)
+    balance = lambda cut: sum(r >= cut for r, y in train if y) / good + sum(r < cut for r, y in train if not y) / (len(train) - good)
+    assert balance(model.cut) < max(map(balance, raw.values())) - 0.005
+    found = quality.scored(texts, texts, 40).collect()
+    placed = min(raw[r.doc_id] for r in found if r.predicted)
+    assert abs(balance(placed) - max(map(balance, [r for r, _ in train]))) < 0.01 and all((r.score >= quality.CUT) == bool(r.predicted) for r in found)
+    kept = quality.accepted(texts, texts, 40)
+    assert kept.columns == texts.columns and {r.doc_id for r in kept.collect()} == {r.doc_id for r in found if r.predicted}
+
+
 def test_urls(spark):
     cases = {
         "http://A.COM/x": ("a.com", "/x", "com/", "allow"), "https://example.com/en/1?q": ("example.com", "/en/1", "example.com/en/", "block"), "http://www.example.com/en/": ("www.example.com", "/en/", "www.example.com/en/", "allow"),
