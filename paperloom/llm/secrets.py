@@ -3,13 +3,17 @@
 A candidate is a run of token characters in a sensitive context (a word such as key, secret or credential shortly before
 it).  The compressor is primed with a dictionary of code and identifiers and the text around the candidate; the
 candidate's marginal bytes, beyond those of an empty input, measure how new it is.  Words, identifiers and anything that
-stands elsewhere nearby cost few bytes a character, random strings cost about their entropy.
+stands elsewhere nearby cost few bytes a character, random strings cost about their entropy.  Words that neither the
+dictionary nor the text holds cost the compressor as much as random letters, so letters are also coded by pairs, by a
+model of the dictionary's words and the text around: words take fewer bits than a uniform code, random letters more.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -34,6 +38,9 @@ CONTEXT_CHARS = 48
 AROUND = 400
 #: Marginal bytes for each character from which a candidate is new; random letters and digits take 0.75 and more, hex 0.5.
 MIN_NOVELTY = 0.62
+#: Bits under a uniform code of 26 letters that a candidate's pairs of letters must save to be taken for words.
+MIN_SAVED = 4
+LETTERS = re.compile(r"[a-z]+")
 
 #: Code and identifiers that prime the compressor.
 IDENTIFIERS = b"""
@@ -51,6 +58,18 @@ ConnectionTimeoutException IllegalArgumentException NullPointerException Runtime
 max_length min_length batch_size learning_rate hidden_size num_layers dropout_rate vocab_size embedding_dim
 """
 
+#: Words of prose, for the pairs of letters.
+PROSE = """
+the and that have with this from they which would there their what about when make like time just know take people into year your good some could them other than then now look only come over think also back after work first well even want because these give most information communication development international understanding responsibility environment government organization administration characteristics representative
+und der die das nicht eine auch sich mit dem werden wurde nach über durch zwischen gesellschaft entwicklung verantwortung möglichkeit wissenschaft geschwindigkeit veröffentlichung zusammenarbeit unternehmen verwaltung schlüssel sicherheit
+les des une est dans pour que qui sur avec plus par tout faire comme nous vous mais leur développement gouvernement connaissance particulièrement organisation établissement environnement responsabilité naturellement
+los las una por con para como pero más este entre cuando también desde todo nosotros desarrollo conocimiento gobierno responsabilidad administración universidad naturalmente establecimiento información comunicación
+"""
+_PAIRS = Counter(x for w in LETTERS.findall((PROSE + IDENTIFIERS.decode().replace("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", "")).lower()) for x in zip(w, w[1:], strict=False))
+_FIRST: Counter = Counter()
+for (_x, _), _n in _PAIRS.items():
+    _FIRST[_x] += _n
+
 
 def marginal_bytes(candidate: str, before: str, after: str) -> int:
     """Bytes that the candidate adds to a frame primed with the dictionary and the text around it."""
@@ -59,10 +78,18 @@ def marginal_bytes(candidate: str, before: str, after: str) -> int:
     return len(press.compress(candidate.encode())) - len(press.compress(b""))
 
 
-def mixed(run: str) -> bool:
-    """A secret mixes kinds of characters: letters and several digits, or both cases and a digit.  Words don't."""
-    digits = sum(c.isdigit() for c in run)
-    return 0 < digits < len(run) and (digits >= 3 or run != run.lower() and run != run.upper())
+def _pairs(words: str) -> Counter:
+    return Counter(x for w in LETTERS.findall(words.lower()) for x in zip(w, w[1:], strict=False))
+
+
+def saved_bits(candidate: str, around: str) -> float:
+    """Bits that the candidate's letters, each coded after the letter before it, take less than in a uniform code."""
+    seen, near, runs = _PAIRS, _pairs(around), _pairs(candidate)
+    near_first: Counter = Counter()
+    for (x, _), n in near.items():
+        near_first[x] += n
+    bits = sum(n * -math.log2((seen[x, y] + near[x, y] + 0.3) / (_FIRST[x] + near_first[x] + 0.3 * 26)) for (x, y), n in runs.items())
+    return runs.total() * math.log2(26) - bits
 
 
 def novel(text: str, taken: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -78,9 +105,12 @@ def novel(text: str, taken: list[tuple[int, int]]) -> list[tuple[int, int]]:
         if at == len(spots):
             break
         run = m.group()
-        if spots[at] > a or any(a < y and x < b for x, y in taken) or not mixed(run):
+        if spots[at] > a or any(a < y and x < b for x, y in taken):
+            continue
+        before, after = text[max(0, a - AROUND) : a], text[b : b + AROUND]
+        if marginal_bytes(run, before, after) < MIN_NOVELTY * (b - a):
             continue
-        if marginal_bytes(run, text[max(0, a - AROUND) : a], text[b : b + AROUND]) >= MIN_NOVELTY * (b - a):
+        if saved_bits(run, f"{before} {after}") < MIN_SAVED:
             found.append((a, b))
     return found
 

@@ -269,6 +269,18 @@ def test_secrets(docs, spark):
     assert secrets.scanned(docs).count() == len(ROWS)
 
 
+def test_secrets_of_every_kind_of_characters():
+    rng = random.Random(6)
+    lower, upper, digits = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+    before = "Keep calm, everybody said, and never lose the private key "
+    reported = lambda x: any(s[0] == "novel" for s in secrets.scan(f"{before}{x} in the prose"))
+    for letters, n in ((lower + upper, 20), (lower, 24), (upper, 20), (digits, 20), (lower + upper + digits, 16), (lower + upper + digits, 20)):
+        assert sum(reported("".join(rng.choices(letters, k=n))) for _ in range(100)) >= 95, (letters, n)
+    for word in ("responsibilities", "counterproductive", "misunderstandings", "Geschwindigkeitsbegrenzung", "desafortunadamente", "constitutionnellement", "authentication_handler", "configuration-manager"):
+        assert not reported(word), word
+
+
+
 def test_quality(docs, spark):
     rng = random.Random(2)
     words = ["alpha", "beta", "gamma", "delta", "epsilon", "zeta", "eta", "theta"]
