@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows in one Arrow batch; with whole texts the default of 10,000 rows is too much memory for a worker.
@@ -20,9 +21,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors see, from ``spark.checkpoint.dir``; a folder of our own only where that is unset."""
+    """The folder all executors see, from ``spark.checkpoint.dir``; a folder of our own only where that is unset and all is one machine."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.conf.get("spark.master", "local")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = f"file://{tempfile.mkdtemp(prefix='paperloom-')}"
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -33,7 +36,25 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.staged_at = path
+    return out
+
+
+def unstage(df: DataFrame) -> None:
+    """Deletes the folder of a staged table that nothing reads any more."""
+    path = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(df.staged_at)
+    path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def packed(docs: DataFrame, **named: Column) -> DataFrame:
+    """The columns ``named``, and all of ``docs``' own in a struct ``row``, where their names clash with none of ours."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *[c.alias(n) for n, c in named.items()])
+
+
+def unpacked(rows: DataFrame, names: list[str], **instead: Column) -> DataFrame:
+    """The columns ``names`` out of ``row``, in order; those in ``instead`` are given anew."""
+    return rows.select(*[instead.get(n, F.col(f"row.`{n}`")).alias(n) for n in names])
 
 
 def small_batches(spark: SparkSession) -> None:
@@ -82,8 +103,9 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         low = lowest(large)
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("a"), F.col("m").alias("b"))
         step = small.unionByName(low.select(F.col("u").alias("a"), F.col("m").alias("b"))).where("a <> b").distinct()
-        now = stage(step, name)
+        before, now = now, stage(step, name)
         marked = mark(now)
+        unstage(before)
         if marked == was:
             break
         was = marked

@@ -8,16 +8,16 @@ some v is orthogonal to all of them and its mask hides every difference.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from itertools import accumulate
+from collections.abc import Iterable, Iterator
+from itertools import accumulate, islice
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, slices, small_batches, stage, words_of
+from .common import components, packed, slices, small_batches, stage, unpacked, words_of
 
 BITS = 64
 SEED = 42
@@ -31,8 +31,12 @@ BANDS = 24
 BAND_ROWS = 5
 #: Least hashes, of all 120, that a pair must share before its sets are compared within a bucket: five standard deviations under 0.8.
 SHARED = 74
-#: Members of one bucket that are compared with as many others at once.
+#: Members of one bucket whose sets one task holds, and as many others; larger buckets are compared in pairs of such parts.
+MOST_IN_PART = 2048
+#: Members of one part that are compared with as many others at once.
 BLOCK = 256
+#: Hashes whose bits are counted at once.
+AT_ONCE = 1 << 16
 _DRAWN = np.random.default_rng(SEED).integers(0, 2**64, (2, BANDS * BAND_ROWS), np.uint64)
 _SALTS, _FACTORS = _DRAWN[0], _DRAWN[1] | np.uint64(1)
 _PLACE = np.random.default_rng(SEED + 1).integers(0, 2**64, SHINGLE, np.uint64) | np.uint64(1)
@@ -55,24 +59,25 @@ def submasks(mask: int, radius: int) -> list[int]:
     return [mask | sum(1 << i for i in rest[p :: radius + 1]) for p in range(radius + 1)]
 
 
-def majority(hashes: list[int]) -> int:
+def majority(hashes: Iterable[int]) -> int:
     """Bit i is 1 if it is set in over half of the hashes; none: zero."""
-    if not hashes:
-        return 0
-    bits = np.unpackbits(np.array(hashes, dtype=">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * bits > len(hashes)).tobytes(), "big")
+    bits, n, hashes = np.zeros(BITS, np.int64), 0, iter(hashes)
+    while part := list(islice(hashes, AT_ONCE)):
+        bits += np.unpackbits(np.array(part, dtype=">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+        n += len(part)
+    return int.from_bytes(np.packbits(2 * bits > n).tobytes(), "big")
 
 
-def shingle_hashes(words: list[bytes], size: int) -> list[int]:
+def shingle_hashes(words: list[bytes], size: int) -> Iterable[int]:
     """XXH64 of every run of ``size`` words joined by spaces, repeats included; the whole sequence if it is shorter."""
     if not words:
-        return []
+        return ()
     joined, ends = b" ".join(words), [e + i for i, e in enumerate(accumulate(map(len, words)))]
     if len(words) <= size:
         return [xxhash.xxh64_intdigest(joined, SEED)]
     starts = [0, *(e + 1 for e in ends[: len(words) - size])]
     digest = xxhash.xxh64_intdigest
-    return [digest(joined[a:b], SEED) for a, b in zip(starts, ends[size - 1 :], strict=True)]
+    return (digest(joined[a:b], SEED) for a, b in zip(starts, ends[size - 1 :], strict=True))
 
 
 def fingerprint(text: str | None, size: int = 3) -> int:
@@ -140,18 +145,16 @@ def _map_texts(df: DataFrame, of, names: list[str]) -> DataFrame:
     return df.mapInArrow(run, ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if f.name != "text"] + [f"{n} long" for n in names]))
 
 
-def _bucket_edges(radius: int, second: int | None):
-    """Over rows (mask, key, fp, fp2, node) sorted by bucket: links each member to the first it is connected with there."""
+def _bucket_edges(radius: int):
+    """Over rows (mask, key, fp, node) sorted by bucket: links each member to the first it is connected with there."""
 
-    def links(fp: np.ndarray, fp2: np.ndarray, node: np.ndarray, out: list) -> None:
+    def links(fp: np.ndarray, node: np.ndarray, out: list) -> None:
         left = np.arange(len(fp))
         while len(left):
             root, queue, left = left[0], [left[0]], left[1:]
             while queue and len(left):
                 i = queue.pop()
                 near = np.bitwise_count(fp[left] ^ fp[i]) <= radius
-                if second is not None:
-                    near &= np.bitwise_count(fp2[left] ^ fp2[i]) <= second
                 if near.any():
                     found = left[near]
                     out.append((node[found], np.full(len(found), node[root])))
@@ -161,7 +164,7 @@ def _bucket_edges(radius: int, second: int | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
         for batch in batches:
-            part = np.stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(5)])
+            part = np.stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(4)])
             held = part if held is None else np.concatenate([held, part], axis=1)
             ends = np.flatnonzero((held[0, 1:] != held[0, :-1]) | (held[1, 1:] != held[1, :-1])) + 1
             if not len(ends):
@@ -174,33 +177,32 @@ def _bucket_edges(radius: int, second: int | None):
 
     def emit(rows: np.ndarray, cuts: np.ndarray) -> Iterator[pa.RecordBatch]:
         bounds, out = [0, *cuts.tolist(), rows.shape[1]], []
-        fp, fp2, node = rows[2].view(np.uint64), rows[3].view(np.uint64), rows[4]
+        fp, node = rows[2].view(np.uint64), rows[3]
         for a, b in zip(bounds, bounds[1:], strict=False):
             if b - a > 1:
-                links(fp[a:b], fp2[a:b], node[a:b], out)
+                links(fp[a:b], node[a:b], out)
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([x[i] for x in out])) for i in range(2)], names=["a", "b"])
 
     return run
 
 
-def fingerprint_links(nodes: DataFrame, radius: int = 3, second: int | None = None, most: int = MOST_IN_BUCKET) -> DataFrame:
-    """Edges (a, b) that connect all of ``nodes`` (node, fp, fp2; distinct) whose ``fp`` differ in ``radius`` bits or fewer.
+def fingerprint_links(nodes: DataFrame, radius: int = 3, most: int = MOST_IN_BUCKET) -> DataFrame:
+    """Edges (a, b) that connect all of ``nodes`` (node, fp; the fp distinct) whose ``fp`` differ in ``radius`` bits or fewer.
 
-    With ``second``, the pair's ``fp2`` must also be within that many bits.  A bucket gives at most one edge per
-    member.  Buckets with more than ``most`` members are split again by submasks, which keep the guarantee, until they fit:
+    A bucket gives at most one edge per member.  Buckets with more than ``most`` members are split again by submasks, which keep the guarantee, until they fit:
     distinct fingerprints that agree in all but 12 bits are at most 4096.
     """
     spark = nodes.sparkSession
     level = masks(radius)
     made = F.explode(F.array(*[F.lit(signed(m)) for m in level]))
-    rows = nodes.select("fp", "fp2", "node", made.alias("mask")).withColumn("key", F.expr("fp & mask"))
+    rows = nodes.select("fp", "node", made.alias("mask")).withColumn("key", F.expr("fp & mask"))
     edges = None
     while True:
         counts = rows.groupBy("mask", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-        full = stage(rows.join(counts, ["mask", "key"]).select("mask", "key", "fp", "fp2", "node", "n"), "buckets")
-        fit = full.where((F.col("n") <= most) | (F.expr("bit_count(~mask)") <= 12)).select("mask", "key", "fp", "fp2", "node")
-        found = fit.repartition("mask", "key").sortWithinPartitions("mask", "key").mapInArrow(_bucket_edges(radius, second), "a long, b long")
+        full = stage(rows.join(counts, ["mask", "key"]).select("mask", "key", "fp", "node", "n"), "buckets")
+        fit = full.where((F.col("n") <= most) | (F.expr("bit_count(~mask)") <= 12)).select("mask", "key", "fp", "node")
+        found = fit.repartition("mask", "key").sortWithinPartitions("mask", "key").mapInArrow(_bucket_edges(radius), "a long, b long")
         edges = found if edges is None else edges.unionByName(found)
         hot = full.where((F.col("n") > most) & (F.expr("bit_count(~mask)") > 12))
         if hot.isEmpty():
@@ -208,7 +210,7 @@ def fingerprint_links(nodes: DataFrame, radius: int = 3, second: int | None = No
         finer = {m: submasks(m, radius) for m in level}
         level = sorted({s for x in finer.values() for s in x})
         split = spark.createDataFrame([(signed(m), signed(s)) for m, x in finer.items() for s in x], "mask long, finer long")
-        rows = hot.join(split, "mask").select("fp", "fp2", "node", F.col("finer").alias("mask")).withColumn("key", F.expr("fp & mask"))
+        rows = hot.join(F.broadcast(split), "mask").select("fp", "node", F.col("finer").alias("mask")).withColumn("key", F.expr("fp & mask"))
 
 
 def simhash_groups(docs: DataFrame, size: int = 3, radius: int = 3) -> DataFrame:
@@ -219,7 +221,7 @@ def simhash_groups(docs: DataFrame, size: int = 3, radius: int = 3) -> DataFrame
     nothing else is in it.  Columns besides doc_id and text are not used.
     """
     prints = stage(_map_texts(docs.select("doc_id", "text"), lambda t: (signed(fingerprint(t, size)),), ["fp"]), "fingerprints")
-    nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("least")).select(F.col("fp").alias("node"), "fp", F.lit(0).cast("long").alias("fp2"), "least")
+    nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("least")).select(F.col("fp").alias("node"), "fp", "least")
     roots = components(fingerprint_links(nodes, radius))
     rooted = nodes.join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
@@ -227,8 +229,16 @@ def simhash_groups(docs: DataFrame, size: int = 3, radius: int = 3) -> DataFrame
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
+def _document() -> Column:
+    """What names a document: whether it has no doc_id, the doc_id, and a hash of its text."""
+    return F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("tie"))
+
+
 def _sketches(docs: DataFrame) -> DataFrame:
-    """(node, least, size, sketch, keys) of each distinct sequence of words: its smallest doc_id, shingles, least hashes and band keys."""
+    """(node, least, size, sketch, keys) of each distinct sequence of words: its first document, number of shingles, least hashes and band keys.
+
+    A document is (doc_id is null, doc_id, hash of the text); the first is the least of these.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = _Hashes()
@@ -238,21 +248,21 @@ def _sketches(docs: DataFrame) -> DataFrame:
             keys = [band_keys(d).view(np.int64) if len(x) else np.array([], np.int64) for (_, x), d in zip(made, drawn, strict=True)]
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column("doc_id"), pa.array([signed(w) for w, _ in made], pa.int64()), pa.array([len(x) for _, x in made], pa.int64()),
+                    batch.column("doc"), pa.array([signed(w) for w, _ in made], pa.int64()), pa.array([len(x) for _, x in made], pa.int64()),
                     pa.array([d.astype(np.uint32).tobytes() for d in drawn], pa.binary()), pa.array(keys, pa.list_(pa.int64())),
                 ],
-                names=["doc_id", "node", "size", "sketch", "keys"],
+                names=["doc", "node", "size", "sketch", "keys"],
             )
 
     small_batches(docs.sparkSession)
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    prints = docs.select("doc_id", "text").mapInArrow(run, f"doc_id {id_type}, node long, size long, sketch binary, keys array<long>")
-    return stage(prints.groupBy("node").agg(F.min("doc_id").alias("least"), *(F.first(c).alias(c) for c in ("size", "sketch", "keys"))), "sketches")
+    prints = docs.select(_document().alias("doc"), "text").mapInArrow(run, f"doc struct<none:boolean,id:{id_type},tie:bigint>, node long, size long, sketch binary, keys array<long>")
+    return stage(prints.groupBy("node").agg(F.min("doc").alias("least"), *(F.first(c).alias(c) for c in ("size", "sketch", "keys"))), "sketches")
 
 
 def _shingle_sets(needed: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
-    """(node, shingles) of the nodes ``needed``, from the texts of their smallest doc_id."""
-    ids = nodes.join(needed, "node", "left_semi").select(F.col("least").alias("__least")).distinct()
+    """(node, shingles) of the nodes ``needed``, from the texts of their first documents."""
+    ids = nodes.join(needed, "node", "left_semi").select("least")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = _Hashes()
@@ -260,7 +270,7 @@ def _shingle_sets(needed: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataF
             made = [shingle_set(t, hashes) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array([signed(w) for w, _ in made], pa.int64()), pa.array([x.tobytes() for _, x in made], pa.binary())], names=["node", "shingles"])
 
-    texts = docs.select("doc_id", "text").join(ids, F.col("doc_id").eqNullSafe(F.col("__least")), "left_semi").select("text")
+    texts = docs.select(_document().alias("doc"), "text").join(ids, F.col("doc") == F.col("least"), "left_semi").select("text")
     return stage(texts.mapInArrow(sets, "node long, shingles binary").join(needed, "node", "left_semi").dropDuplicates(["node"]), "shingles")
 
 
@@ -279,16 +289,18 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _cross_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Over rows (key, band, lead, node, root, size, sketch, shingles) sorted by key: verified links across a bucket's components.
+    """Over rows (key, parts, part, band, lead, node, root, size, sketch, shingles) sorted by key and parts: verified links across a bucket's components.
 
-    Pairs with the bucket's lead have been compared, and pairs that share an earlier band are compared there.  Components
-    that a link connects become one at once, so a bucket gives fewer links than it has members.
+    A group holds two parts of a bucket, or one of them, and its pairs are one of each.  Pairs with the bucket's lead have
+    been compared, and pairs that share an earlier band are compared there.  Components that a link connects become one at
+    once, so a group gives fewer links than it has members.
     """
     part, whole = SIMILAR
 
     def links(rows: pa.Table) -> Iterator[pa.RecordBatch]:
         lead, band = rows.column("lead")[0].as_py(), rows.column("band")[0].as_py()
-        node, root, size = (rows.column(c).to_numpy() for c in ("node", "root", "size"))
+        node, root, size, own = (rows.column(c).to_numpy() for c in ("node", "root", "size", "part"))
+        across = own.min() < own.max()
         sketch = np.stack([np.frombuffer(x, np.uint32) for x in rows.column("sketch").to_pylist()])
         sets = [np.frombuffer(x, np.uint64) for x in rows.column("shingles").to_pylist()]
         root, out = root.copy(), []
@@ -298,6 +310,8 @@ def _cross_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 may = (root[a, None] != root[None, b]) & (node[a, None] != lead) & (node[None, b] != lead)
                 if i == j:
                     may = np.triu(may, 1)
+                if across:
+                    may &= own[a, None] != own[None, b]
                 may &= (whole * size[a, None] >= part * size[None, b]) & (whole * size[None, b] >= part * size[a, None])
                 x, y = np.nonzero(may)
                 x, y = x + i, y + j
@@ -317,10 +331,10 @@ def _cross_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     held: list[pa.RecordBatch] = []
     for batch in batches:
-        keys = batch.column("key").to_numpy()
-        cuts = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), len(keys)]
+        keys = np.stack([batch.column("key").to_numpy(), batch.column("parts").to_numpy()])
+        cuts = [0, *(np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1).tolist(), keys.shape[1]]
         for a, b in zip(cuts, cuts[1:], strict=False):
-            if held and b > a and held[0].column("key")[0].as_py() != keys[a]:
+            if held and b > a and [held[0].column(c)[0].as_py() for c in ("key", "parts")] != keys[:, a].tolist():
                 yield from links(pa.Table.from_batches(held))
                 held = []
             if b > a:
@@ -329,11 +343,12 @@ def _cross_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from links(pa.Table.from_batches(held))
 
 
-def near_duplicate_links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+def near_duplicate_links(docs: DataFrame, nodes: DataFrame, most: int = MOST_IN_PART) -> DataFrame:
     """Links (a, b) of ``nodes`` with a Jaccard similarity of 0.8 or more that connect all such pairs which share a band.
 
     First each member of a bucket is compared with the bucket's smallest.  Buckets that still have several components are
-    compared within.  Every link is verified by the whole sets; a bucket gives at most one for each member.
+    compared within, those of more than ``most`` members in pairs of parts, each pair a group of its own, so a group never holds
+    more than two parts.  Every link is verified by the whole sets; a group gives at most one for each member.
     """
     rows = nodes.select("node", F.posexplode("keys").alias("band", "key"))
     leads = rows.groupBy("key").agg(F.min("node").alias("lead"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "lead")
@@ -343,21 +358,27 @@ def near_duplicate_links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
     links = stage(both.select("a", "b", "x", "y").mapInArrow(_verified, "a long, b long"), "near-links")
     rooted = members.join(components(links), "node", "left").select("key", "band", "lead", "node", F.coalesce("root", "node").alias("root"))
-    several = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("n")).where("low < high and n > 2").select("key")
-    left = rooted.join(several, "key", "left_semi").join(nodes.select("node", "size", "sketch"), "node").join(sets, "node")
-    left = left.select("key", "band", "lead", "node", "root", "size", "sketch", "shingles")
-    return links.unionByName(left.repartition("key").sortWithinPartitions("key").mapInArrow(_cross_links, "a long, b long"))
+    several = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("n")).where("low < high and n > 2")
+    # Parts are dealt by hash; a member goes to the groups of its part with every part, numbered by the two.
+    several = several.select("key", F.ceil(F.col("n") / most).cast("long").alias("cut"))
+    left = rooted.join(several, "key").withColumn("part", F.pmod(F.xxhash64("node"), F.col("cut")))
+    left = left.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("cut") - 1))).withColumn("parts", F.least("part", "other") * F.col("cut") + F.greatest("part", "other"))
+    left = left.join(nodes.select("node", "size", "sketch"), "node").join(sets, "node")
+    left = left.select("key", "parts", "part", "band", "lead", "node", "root", "size", "sketch", "shingles")
+    return links.unionByName(left.repartition("key", "parts").sortWithinPartitions("key", "parts").mapInArrow(_cross_links, "a long, b long"))
 
 
-def near_duplicates_removed(docs: DataFrame) -> DataFrame:
-    """``docs`` with one document of each near-duplicate group: the one with the smallest doc_id.
+def near_duplicates_removed(docs: DataFrame, most: int = MOST_IN_PART) -> DataFrame:
+    """``docs`` with one row of each near-duplicate group: that with the smallest doc_id, nulls last, ties by the text's hash.
 
     Texts are near-duplicates if their sets of five-word shingles have a Jaccard similarity of 0.8 or more, and over chains of
-    such texts.  Documents with a null doc_id stay only if all of their group have none; rows that share a doc_id stay
-    or go together.
+    such texts; case and ASCII punctuation don't count.  Texts of fewer than five words are one shingle; null and empty texts,
+    and those without words, are duplicates of each other.  Of rows that share doc_id and text one stays.  Other columns
+    pass through, whatever their names; an empty table gives no rows.
     """
     nodes = _sketches(docs)
-    roots = components(near_duplicate_links(docs, nodes))
+    roots = components(near_duplicate_links(docs, nodes, most))
     rooted = nodes.join(roots, "node", "left").select("least", F.coalesce("root", "node").alias("root"))
-    kept = rooted.groupBy("root").agg(F.min("least").alias("__kept"))
-    return docs.join(kept.select("__kept"), F.col("doc_id").eqNullSafe(F.col("__kept")), "left_semi")
+    kept = rooted.groupBy("root").agg(F.min("least").alias("least")).select("least")
+    rows = packed(docs, doc=_document()).join(kept, F.col("doc") == F.col("least"), "left_semi")
+    return unpacked(rows.groupBy("doc").agg(F.first("row").alias("row")), docs.columns)

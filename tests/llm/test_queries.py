@@ -67,21 +67,21 @@ def test_pipeline(spark):
     model = quality.trained(spark.read.parquet(f"{SF_DIR}/documents.parquet"), spark.read.parquet(f"{SF_DIR}/labels.parquet"))
     assert rows["quality_classifier"] == {i: t for i, t in texts.items() if model.score(quality.features(t)[None])[0] >= quality.CUT}
     assert rows["line_dedup"].keys() == rows["quality_classifier"].keys()
-    # Brute force of the near-duplicates: all pairs by both fingerprints.
-    prints = {i: simhash.word_set_fingerprints(t) for i, t in rows["line_dedup"].items()}
-    top = {i: i for i in prints}
+    # Brute force of the near-duplicates: the exact similarity of all pairs of five-word shingle sets.
+    sets = {i: frozenset(simhash.shingle_set(t, simhash._Hashes())[1].tolist()) for i, t in rows["line_dedup"].items()}
+    top = {i: i for i in sets}
 
     def find(i):
         while top[i] != i:
             i = top[i]
         return i
 
-    for i, (a, c) in prints.items():
-        for j, (b, d) in prints.items():
-            if i < j and (a ^ b).bit_count() <= 5 and (c ^ d).bit_count() <= 14:
+    for i, a in sets.items():
+        for j, b in sets.items():
+            if i < j and (a == b or a and b and 5 * len(a & b) >= 4 * (len(a) + len(b) - len(a & b))):
                 x, y = sorted((find(i), find(j)))
                 top[y] = x
-    assert set(rows["simhash_near_dedup"]) == {find(i) for i in prints}
+    assert set(rows["simhash_near_dedup"]) == {find(i) for i in sets}
     leaked = {r.doc_id for r in decontaminate.leaks(kept["simhash_near_dedup"], spark.read.parquet(f"{SF_DIR}/benchmark.parquet")).collect()}
     assert set(rows["decontamination"]) == set(rows["simhash_near_dedup"]) - leaked
     assert {r.doc_id for r in kept["bpe_encoding"].collect()} == set(rows["decontamination"])
