@@ -47,9 +47,10 @@ def unstage(df: DataFrame) -> None:
     path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def packed(docs: DataFrame, **named: Column) -> DataFrame:
-    """The columns ``named``, and all of ``docs``' own in a struct ``row``, where their names clash with none of ours."""
-    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *[c.alias(n) for n, c in named.items()])
+def packed(docs: DataFrame, without: tuple[str, ...] = (), **named: Column) -> DataFrame:
+    """The columns ``named``, and ``docs``' own but those ``without`` in a struct ``row``, where their names clash with none of ours."""
+    own = [F.col(f"`{c}`") for c in docs.columns if c not in without]
+    return docs.select(F.struct(*own, F.lit(0).alias("")).alias("row"), *[c.alias(n) for n, c in named.items()])
 
 
 def unpacked(rows: DataFrame, names: list[str], **instead: Column) -> DataFrame:

@@ -76,7 +76,7 @@ def deduplicated(docs: DataFrame, min_sites: int = MIN_SITES, removed: str | Non
     """
     names = [c for c in docs.columns if c != removed]
     gone = repeated_places(docs.select("doc_id", "text", "source"), min_sites, most).select(F.col("doc_id").alias("d"), F.col("tie").alias("t"), "gone")
-    rows = packed(docs.select(*[F.col(f"`{c}`") for c in names]), id=F.col("doc_id"), text=F.col("text"), tie=F.xxhash64("text"))
+    rows = packed(docs, ("text",), id=F.col("doc_id"), text=F.col("text"), tie=F.xxhash64("text"))
     both = rows.join(gone, F.col("id").eqNullSafe(F.col("d")) & (F.col("tie") == F.col("t")), "left")
     both = both.withColumn("lines", F.when(F.col("gone").isNotNull(), F.split("text", "\n")))
     kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), "gone"), lambda i: F.element_at(F.col("lines"), i + 1))

@@ -399,9 +399,94 @@ def test_language_model(docs):
     assert maxent.scored(docs.limit(0)).count() == 0
 
 
-def test_leaves_are_a_distribution():
+def _naive_model(texts, depth):
+    """Weights, tree and leaf totals by loops over single tokens; texts are lists of words with the end token."""
+    counts = Counter(w for t in texts for w in t)
+    words = sorted(counts, key=lambda w: (-counts[w], w))
+    v = maxent.Vocabulary(words, [counts[w] for w in words], depth)
+    leaf = {w: int(v.leaf[i]) for w, i in v.at.items()}
+    tokens, types = np.zeros(v.leaves), np.zeros(v.leaves)
+    for w, n in counts.items():
+        tokens[leaf[w]] += n
+        types[leaf[w]] += leaf[w] >= v.own
+    shape = maxent.Shape(tokens, depth, maxent.LEAST_ROWS)
+    weights = [np.zeros((n, 16)) for n in shape.rows]
+
+    def steps_of(text):
+        """(level, node, choice, rows) of each token of a text, by token."""
+        crc = [maxent.word_hash(w.encode()) for w in text]
+        around = maxent.contexts(np.array(crc), np.array([len(text) - 1]))
+        for i, w in enumerate(text):
+            at = leaf.get(w, v.own + crc[i] % (v.leaves - v.own))
+            digits = [at // 16 ** (depth - 1 - k) % 16 for k in range(depth)]
+            nodes = [at // 16 ** (depth - k) for k in range(depth)]
+            yield [(k, nodes[k], digits[k], [int(r[0]) for r in shape.places(around[:, i : i + 1], np.array([nodes[k]]), k)]) for k in range(depth)]
+
+    def chances(level, node, rows):
+        z = shape.base[level][node].astype(float) + sum(weights[level][r] for r in rows)
+        return np.exp(z) / np.exp(z).sum()
+
+    for rate in maxent.STEPS:
+        seen, likely = ([np.full((n, 16), 0.0) for n in shape.rows] for _ in range(2))
+        for text in texts:
+            for level, node, choice, rows in (x for token in steps_of(text) for x in token):
+                p = chances(level, node, rows)
+                for r in rows:
+                    seen[level][r, choice] += 1
+                    likely[level][r] += p
+        for level in range(depth):
+            base = np.exp(shape.base[level].astype(float))[shape.row_nodes(level)]
+            own = base * np.exp(weights[level])
+            own /= own.sum(axis=1, keepdims=True)
+            weights[level] = weights[level] + rate * np.log((seen[level] + maxent.EASE * base) / (likely[level] + maxent.EASE * own))
+
+    def score(text):
+        total = 0.0
+        for w, token in zip(text, steps_of(text), strict=True):
+            at = leaf.get(w, v.own + maxent.word_hash(w.encode()) % (v.leaves - v.own))
+            total += sum(np.log10(chances(level, node, rows)[choice]) for level, node, choice, rows in token)
+            total += np.log10((counts[w] + 1 if at >= v.own else 1) / (tokens[at] + types[at] + 1 if at >= v.own else 1))
+        return total
+
+    return score
+
+
+def test_language_model_is_the_naive_ones_whatever_the_layout(spark):
+    rng = random.Random(12)
+    vocabulary = [f"w{i}" for i in range(600)]
+    follow = {w: rng.sample(vocabulary, 4) for w in vocabulary}
+    texts = []
+    for _ in range(90):
+        words = [rng.choice(vocabulary)]
+        while len(words) < 80:
+            words.append(rng.choice(follow[words[-1]]))
+        texts.append(" ".join(words))
+    rows = [*enumerate(texts), (500, None), (501, "never seen words"), (502, "")]
+    split = lambda t: [*(t or "").split(), " "]
+    held = lambda i: zlib.crc32(str(i).encode()) % 7 == 2
+    naive = _naive_model([split(t) for i, t in rows if not held(i)], 2)
+    wanted = {i: naive(split(t)) for i, t in rows}
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    for parts in (1, 4, 32):
+        found = maxent.scored(frame.repartition(parts)).collect()
+        for r in found:
+            assert r.score == pytest.approx(wanted[r.doc_id], rel=1e-5), r.doc_id
+        out = [r for r in found if r.held_out and r.n_tokens == 81]
+        assert len(out) > 5 and sum(r.score for r in out) > sum(r.base_score for r in out) + 0.2 * sum(r.n_tokens for r in out)
+
+
+def test_words_and_the_unknown_are_a_distribution():
     rng = np.random.default_rng(0)
-    weights = rng.normal(size=(2, maxent.ROWS, maxent.CLASSES)).astype(np.float32)
-    context = maxent.contexts(rng.integers(0, 1 << 32, 3).astype(np.uint64), np.zeros(3, np.int64))[2:]
-    total = 10 ** maxent.log10_leaf(weights, np.arange(maxent.LEAVES), np.repeat(context, maxent.LEAVES, axis=0))
-    assert total.sum() == pytest.approx(1, abs=1e-4)
+    words = [f"w{i}" for i in range(700)]
+    counts = rng.integers(1, 50, 700)
+    v = maxent.Vocabulary(words, counts.tolist(), 2)
+    tokens, types = np.bincount(v.leaf[:-1], counts, v.leaves), np.bincount(v.leaf[:-1], minlength=v.leaves) * (np.arange(v.leaves) >= v.own)
+    shape = maxent.Shape(tokens, 2, 1 << 13)
+    weights = [rng.normal(size=(n, 16)).astype(np.float32) for n in shape.rows]
+    context = maxent.contexts(rng.integers(0, 1 << 31, 5), np.array([4]))[:, 2:3]
+    leaves = 10 ** maxent.log10_leaf(shape, weights, np.arange(v.leaves), np.repeat(context, v.leaves, axis=1))
+    assert leaves.sum() == pytest.approx(1, abs=1e-4)
+    shared = np.arange(v.leaves) >= v.own
+    known = np.where(shared[v.leaf[:-1]], (counts + 1) / (tokens + types + 1)[v.leaf[:-1]], (counts + 1) / (tokens + 1)[v.leaf[:-1]])
+    unknown = np.where(shared, 1 / (tokens + types + 1), 0)
+    assert (leaves[v.leaf[:-1]] * known).sum() + (leaves * unknown).sum() == pytest.approx(1, abs=1e-4)
