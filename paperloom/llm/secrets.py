@@ -1,15 +1,17 @@
 """Secret scans: fixed patterns, and strings that a primed zstandard compressor finds new.
 
-A candidate is a run of token characters in a sensitive context (a word such as key, secret or credential shortly before
-it).  The compressor is primed with a dictionary of code and identifiers and the text around the candidate; the
+A candidate is a run of token characters, dots and password marks too, in a sensitive context (a word such as key, secret or
+credential shortly before it).  The compressor is primed with a dictionary of code and identifiers and the text around the candidate; the
 candidate's marginal bytes, beyond those of an empty input, measure how new it is.  Words, identifiers and anything that
 stands elsewhere nearby cost few bytes a character, random strings cost about their entropy.  Words that neither the
 dictionary nor the text holds cost the compressor as much as random letters, so letters are also coded by pairs, by a
-model of the dictionary's words and the text around: words take fewer bits than a uniform code, random letters more.
+model of the dictionary's words and the text around: words take fewer bits than a uniform code, random letters more.  A
+candidate whose characters hold too few bits, such as a date or a number, is no secret however new it is.
 """
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import math
 import re
@@ -29,8 +31,11 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
 KINDS = ("assign", "access", "hex", "novel")
 
-#: A run of so many token characters may be a secret.
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+#: A run of so many token characters may be a secret; closing marks of a sentence aren't part of it.
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_=.!@#$%^&*~-]{9,}[A-Za-z0-9+/_=@#$%^&*~-]")
+#: Bits that a candidate's characters hold at least: each one of its kind, and each change of kind; marks that join words none.
+MIN_BITS = 47
+HELD = tuple((re.compile(p), bits) for p, bits in ((r"[A-Za-z]", math.log2(26)), (r"[0-9]", math.log2(10)), (r"[!@#$%^&*~]", 4.0), (r"(?<=[a-z])[A-Z0-9]|(?<=[A-Z])[a-z0-9]|(?<=[0-9])[A-Za-z]", 1.0)))
 #: Words that make the context before a candidate sensitive, within so many characters.
 CONTEXT = re.compile(r"passw|passphrase|secret|token|credential|private|api.?key|access.?key|auth|bearer|signature|\bkey\b|\bpwd\b", re.IGNORECASE | re.ASCII)
 CONTEXT_CHARS = 48
@@ -92,11 +97,17 @@ def saved_bits(candidate: str, around: str) -> float:
     return runs.total() * math.log2(26) - bits
 
 
+def held_bits(candidate: str) -> float:
+    """Bits of a uniform code for the candidate's characters."""
+    return sum(bits * len(kind.findall(candidate)) for kind, bits in HELD)
+
+
 def novel(text: str, taken: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Candidates in sensitive contexts that the primed compressor can't shorten and that no other span touches."""
+    """Candidates in sensitive contexts that the primed compressor can't shorten and that no span of ``taken`` touches."""
     found, spots = [], [m.end() for m in CONTEXT.finditer(text)]
     if not spots:
         return found
+    starts, ends = sorted(a for a, _ in taken), sorted(b for _, b in taken)
     at = 0
     for m in CANDIDATE.finditer(text):
         a, b = m.span()
@@ -105,7 +116,8 @@ def novel(text: str, taken: list[tuple[int, int]]) -> list[tuple[int, int]]:
         if at == len(spots):
             break
         run = m.group()
-        if spots[at] > a or any(a < y and x < b for x, y in taken):
+        # Spans that begin before b are touched unless they also end by a.
+        if spots[at] > a or bisect.bisect_left(starts, b) > bisect.bisect_right(ends, a) or held_bits(run) < MIN_BITS:
             continue
         before, after = text[max(0, a - AROUND) : a], text[b : b + AROUND]
         if marginal_bytes(run, before, after) < MIN_NOVELTY * (b - a):
