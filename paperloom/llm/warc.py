@@ -3,18 +3,21 @@
 Archives are uncompressed WARC 1.0 files of whatever size: a file is split by Spark's text reader at the record magic, so
 several tasks read one file.  Every magic is only a candidate, since payloads may contain it too.  Each candidate
 parses its own header and names its successor's offset; the records are those that pointer jumping reaches from the
-start of the file.
+start of the file.  Links within one split are followed in its task, so that only links over splits are jumped.
 """
 
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import shared_dir, stage
+from .common import shared_dir, stage, unstage
 
 #: Fixed values of the format.
 MAGIC = "WARC/1.0\r\n"
@@ -76,11 +79,11 @@ def write_archives(pages: DataFrame, path: str | None = None, least: int = MIN_R
 
 
 def candidates(spark: SparkSession, paths: str | list[str], values: bool) -> DataFrame:
-    """(file, at, head, length, next, digest, value): a row for each magic, its offset, header, and its successor's offset.
+    """(file, block, base, at, head, length, next, digest, value): a row for each magic, its offset, header, and its successor's offset.
 
     The pieces between magics are all bytes of a file, so offsets are sums of lengths: first over the blocks of a
-    file, then within a block.  A header that can't be parsed has no successor.  ``digest`` is the payload's, if it
-    stands before the next magic; ``value``, all up to that magic, only if asked for.
+    file, whose sums are ``base``, then within a block.  A header that can't be parsed has no successor.  ``digest`` is the
+    payload's, if it stands before the next magic; ``value``, all up to that magic, only if asked for.
     """
     raw = spark.read.option("lineSep", MAGIC).text(paths)
     read = raw.select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("order"))
@@ -94,30 +97,90 @@ def candidates(spark: SparkSession, paths: str | list[str], values: bool) -> Dat
     pieces = stage(parsed.select(*kept), "warc-pieces")
     blocks = pieces.groupBy("file", "block").agg(F.sum("size").alias("total"))
     before = F.sum("total").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
-    begun = blocks.withColumn("before", F.coalesce(before, F.lit(0)).cast("long")).drop("total")
+    begun = blocks.withColumn("base", F.coalesce(before, F.lit(0)).cast("long")).drop("total")
     within = F.sum("size").over(Window.partitionBy("file", "block").orderBy("order").rowsBetween(Window.unboundedPreceding, -1))
     placed = pieces.withColumn("within", F.coalesce(within, F.lit(0)).cast("long")).join(begun, ["file", "block"])
     # The first piece of a file is what stands before its first magic (nothing, in a whole archive); others follow one.
-    found = placed.withColumn("at", F.col("before") + F.col("within") - len(MAGIC)).where("at >= 0")
+    found = placed.withColumn("at", F.col("base") + F.col("within") - len(MAGIC)).where("at >= 0")
     end = F.col("at") + len(MAGIC) + begin + F.col("length") + len(RECORD_END)
-    return found.select("file", "at", "head", "length", end.alias("next"), "digest", *(["value"] if values else []))
+    return found.select("file", "block", "base", "at", "head", "length", end.alias("next"), "digest", *(["value"] if values else []))
+
+
+def _by_block(rows: DataFrame, of, schema: str) -> DataFrame:
+    """Over rows (file, block, at, next, ...), sorted, what ``of`` makes of the columns of each block: numbers of one split."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            names = list(zip(batch.column("file").to_pylist(), batch.column("block").to_pylist(), strict=True))
+            cuts = [0, *(i for i in range(1, len(names)) if names[i] != names[i - 1]), len(names)]
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                if held and b > a and (held[0].column("file")[0].as_py(), held[0].column("block")[0].as_py()) != names[a]:
+                    yield of(pa.Table.from_batches(held))
+                    held = []
+                if b > a:
+                    held.append(batch.slice(a, b - a))
+        if held:
+            yield of(pa.Table.from_batches(held))
+
+    return rows.repartition("file", "block").sortWithinPartitions("file", "block", "at").mapInArrow(run, schema)
+
+
+def _numbers(rows: pa.Table, name: str) -> np.ndarray:
+    """A column of offsets; nulls are -1."""
+    return rows.column(name).combine_chunks().fill_null(-1).to_numpy()
+
+
+def _exits(rows: pa.Table) -> pa.RecordBatch:
+    """(file, block, at, exit): where the chain from each candidate leaves its block; -1: it ends within."""
+    at, step = _numbers(rows, "at"), _numbers(rows, "next")
+    last, out = at[-1], np.full(len(at), -1, np.int64)
+    to = np.searchsorted(at, step)
+    for i in range(len(at) - 1, -1, -1):
+        if step[i] > last:
+            out[i] = step[i]
+        elif step[i] > at[i] and at[to[i]] == step[i]:
+            out[i] = out[to[i]]
+    first = rows.combine_chunks().to_batches()[0]
+    return pa.RecordBatch.from_arrays([first.column("file"), first.column("block"), pa.array(at), pa.array(out)], names=["file", "block", "at", "exit"])
+
+
+def _walked(rows: pa.Table) -> pa.RecordBatch:
+    """(file, at, record): of each candidate from the entry on, the record that it belongs to; records are those of the chain."""
+    at, step, entry = _numbers(rows, "at"), _numbers(rows, "next"), _numbers(rows, "entry")[0]
+    chain, now = [], entry
+    while True:
+        i = int(np.searchsorted(at, now))
+        if i == len(at) or at[i] != now:
+            break
+        chain.append(i)
+        if step[i] <= now:
+            break
+        now = step[i]
+    record = np.full(len(at), -1, np.int64)
+    record[chain] = at[chain]
+    record = np.maximum.accumulate(record)
+    first = rows.combine_chunks().to_batches()[0]
+    return pa.RecordBatch.from_arrays([first.column("file"), first.column("block"), pa.array(at), pa.array(record, mask=record < 0)], names=["file", "block", "at", "record"])
 
 
 def reachable(links: DataFrame) -> DataFrame:
     """The (file, at) of ``links`` (file, at, next) that the chain from each file's start reaches, by pointer jumping.
 
-    Each round every candidate learns whether it is reached and doubles its pointer, so a file of n records takes log2 n
+    Each round every candidate learns whether it is reached and doubles its pointer, so n links take log2 n
     rounds.  A file must begin with a record.
     """
     known = links.select("file", F.col("at").alias("next"), F.lit(True).alias("known"))
     now = links.join(known, ["file", "next"], "left").select("file", "at", F.when(F.col("known"), F.col("next")).alias("to"), (F.col("at") == 0).alias("reached"))
-    reached = -1
+    reached, before = -1, None
     while True:
         now = stage(now, "warc-chain")
+        if before:
+            unstage(before)
         found = now.where("reached").count()
         if found == reached:
             return now.where("reached").select("file", "at")
-        reached = found
+        reached, before = found, now
         for _ in range(ROUNDS):
             further = now.select("file", F.col("at").alias("to"), F.col("to").alias("further"))
             hit = now.where("reached and to is not null").select("file", F.col("to").alias("at"), F.lit(True).alias("hit"))
@@ -125,6 +188,29 @@ def reachable(links: DataFrame) -> DataFrame:
             now = moved.join(hit, ["file", "at"], "left").select("file", "at", "to", (F.col("reached") | F.coalesce("hit", F.lit(False))).alias("reached"))
 
 
+def records_of(found: DataFrame) -> DataFrame:
+    """(file, at, record): for each candidate of ``found`` in the reach of the files' chains the record that it is, or is part of.
+
+    Chains are followed within each block first.  Pointer jumping then goes from block to block, over those candidates alone
+    at which some chain enters a block; each block that is reached is walked once more from its entry.
+    """
+    links = found.select("file", "block", "at", "next")
+    exits = stage(_by_block(links, _exits, "file string, block long, at long, exit long"), "warc-exits")
+    entered = exits.where("exit >= 0").select("file", F.col("exit").alias("at")).unionByName(exits.where("at = 0").select("file", "at")).distinct()
+    doors = exits.join(entered, ["file", "at"], "left_semi").select("file", "at", F.when(F.col("exit") >= 0, F.col("exit")).alias("next"))
+    reached = reachable(doors)
+    # A block that no chain enters lies within the payload of the record before it.
+    entries = exits.join(reached, ["file", "at"], "left_semi").groupBy("file", "block").agg(F.min("at").alias("entry"))
+    walked = _by_block(links.join(entries, ["file", "block"]), _walked, "file string, block long, at long, record long")
+    inside = links.join(entries, ["file", "block"], "left_anti").select("file", "block", "at", F.lit(None).cast("long").alias("record"))
+    walked = stage(walked.unionByName(inside), "warc-walked")
+    # Candidates before a block's entry belong to the last record of the blocks before it.
+    ends = walked.groupBy("file", "block").agg(F.max("record").alias("last"))
+    order = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    carried = ends.select("file", "block", F.last("last", ignorenulls=True).over(order).alias("carried"))
+    return walked.join(carried, ["file", "block"]).select("file", "at", F.coalesce("record", "carried").alias("record")).where("record is not null")
+
+
 def _fields(records: DataFrame) -> DataFrame:
     """(page_id, url, record_type, refers_to, noted, ...) from the headers."""
 
@@ -142,13 +228,14 @@ def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> Data
     """(page_id, url, payload_bytes, payload_digest, record_type, refers_to, payload): the records of the archives at ``path``.
 
     Digests and lengths are of the stored payload.  That of a revisit is not stored with it: its length and digest
-    are its response's, and its payload is null.  Without ``payloads`` that column is left out, and texts are not moved.
+    are its response's, and its payload is null.  A file that doesn't begin with a record gives none; a cut or damaged file
+    gives the records up to the damage, the last of them with what is left of its payload and no digest if that is short.
+    Repeated records give a row each, a folder without records none.  Without ``payloads`` that column is left out, and
+    texts are not moved.
     """
     found = stage(candidates(spark, path, payloads), "warc-candidates")
-    kept = reachable(found.select("file", "at", "next")).withColumn("record", F.col("at"))
     # A candidate that is no record is part of the record before it.
-    order = Window.partitionBy("file").orderBy("at")
-    marked = found.select("file", "at").join(kept, ["file", "at"], "left").withColumn("record", F.last("record", ignorenulls=True).over(order)).where("record is not null")
+    marked = records_of(found)
     marked = stage(marked, "warc-records")
     spread = marked.groupBy("file", "record").agg(F.count(F.lit(1)).alias("n"))
     alone = spread.where("n = 1").select("file", F.col("record").alias("at"))
