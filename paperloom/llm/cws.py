@@ -9,6 +9,8 @@ sum(min weight) / sum(max weight).  A term is a word in lower case; its weight i
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -18,10 +20,12 @@ from .common import stage
 SAMPLES = 32
 #: Samples whose values one generated method computes; longer methods would not be compiled by the JVM.
 TOGETHER = 4
-#: Quantiles of doc_id that become literals in the plan; more ranges than these are cut evenly between two of them.
-BOUNDS = 32
-#: Accuracy of those quantiles; only the balance of partitions depends on it.
-RELATIVE_ERROR = 0.001
+#: Bytes of text in one partition, about.
+PART_BYTES = 48 << 20
+#: Ranges of doc_id at most whose bounds are quantiles of their own; more ranges are cut evenly between two of them.
+BOUNDS = 4096
+#: Bounds that are searched one by one, after a binary choice among lists of so many.
+LISTED = 64
 #: Ranges whose largest ids are broadcast at most, at some 30 bytes each; beyond it texts are shuffled to them.
 MOST_BROADCAST = 1_000_000
 
@@ -40,15 +44,20 @@ def range_of_id(df: DataFrame, parts: int) -> Column:
     """A number of about ``parts`` balanced ranges of doc_id that falls as doc_id rises; nulls have the highest."""
     known = df.where("doc_id is not null")
     cuts = min(parts, BOUNDS)
-    found = sorted(set(known.approxQuantile("doc_id", [i / cuts for i in range(cuts + 1)], RELATIVE_ERROR)))
+    found = sorted(set(known.approxQuantile("doc_id", [i / cuts for i in range(cuts + 1)], 1 / (8 * cuts))))
     if len(found) < 2:
         return F.when(F.col("doc_id").isNull(), F.lit(1)).otherwise(F.lit(0)).cast("long")
-    at = _below(found[1:-1])
+    inner = found[1:-1]
+    lists = [inner[i : i + LISTED] for i in range(0, len(inner), LISTED)]
+    which = _below([x[0] for x in lists[1:]])
+    own = F.element_at(F.from_json(F.lit(json.dumps(lists or [[]])), "array<array<double>>"), which + 1)
+    at = which * LISTED + F.size(F.filter(own, lambda x: x <= F.col("doc_id")))
     finer = -(-parts // cuts)
-    low, high = F.element_at(F.array(*map(F.lit, found)), at + 1), F.element_at(F.array(*map(F.lit, found)), at + 2)
-    step = F.least(F.lit(finer - 1), F.greatest(F.lit(0), F.floor((F.col("doc_id") - low) / (high - low) * finer)))
-    number = F.lit(len(found) * finer) - (at * finer + step if finer > 1 else at * finer)
-    return F.when(F.col("doc_id").isNull(), F.lit(len(found) * finer + 1)).otherwise(number).cast("long")
+    if finer > 1:
+        ends = F.from_json(F.lit(json.dumps(found)), "array<double>")
+        low, high = F.element_at(ends, at + 1), F.element_at(ends, at + 2)
+        at = at * finer + F.least(F.lit(finer - 1), F.greatest(F.lit(0), F.floor((F.col("doc_id") - low) / (high - low) * finer)))
+    return F.when(F.col("doc_id").isNull(), F.lit(len(found) * finer + 1)).otherwise(F.lit(len(found) * finer) - at).cast("long")
 
 
 def led(df: DataFrame, value: str, name: str, firsts: DataFrame) -> DataFrame:
@@ -75,12 +84,10 @@ def first_texts(texts: DataFrame, ranges: int) -> DataFrame:
 def edited_texts(docs: DataFrame, parts: int) -> DataFrame:
     """(part, at, doc_id, text, edited): the last third of each text replaced by the start of the next document's."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    # Several ranges to a partition, which then differ less in size.
-    ranges = 4 * parts
-    dealt = texts.withColumn("part", range_of_id(texts, ranges))
-    firsts = first_texts(dealt, ranges)
+    dealt = texts.withColumn("part", range_of_id(texts, parts))
+    firsts = first_texts(dealt, parts)
     order = Window.partitionBy("part").orderBy(F.col("doc_id").desc_nulls_last(), F.xxhash64("text"))
-    both = led(dealt.repartition(parts, "part").withColumn("at", F.row_number().over(order)), "text", "following", firsts)
+    both = led(dealt.repartitionByRange(parts, "part").withColumn("at", F.row_number().over(order)), "text", "following", firsts)
     third = "int(length(text) div 3)"
     return both.select("part", "at", "doc_id", "text", F.expr(f"concat(left(text, length(text) - {third}), left(following, {third}))").alias("edited"))
 
@@ -150,7 +157,9 @@ def fingerprints(docs: DataFrame, samples: int = SAMPLES, parts: int | None = No
     Rows are ordered by doc_id descending, nulls last, ties by text; wholly repeated rows give a row each.  A single
     row is its own next.  An empty table gives no rows.  Columns besides doc_id and text are not used.
     """
-    parts = parts or 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    if parts is None:
+        size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+        parts = max(2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // PART_BYTES))
     texts = edited_texts(docs, parts)
     facts = texts.select("part", "at", "doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"))
     none = F.lit("0000" * samples)
