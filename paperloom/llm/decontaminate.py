@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, small_batches
+from .common import packed, slices, small_batches, unpacked
 
 K1 = 1.2
 B = 0.75
@@ -31,8 +31,10 @@ MIN_ANSWER = 0.8
 SHINGLE = 5
 #: Items in one block of the index.
 BLOCK = 8
-#: The index, some five times the benchmark, is broadcast; a benchmark of more bytes than this is refused rather than cut.
+#: The index, some five times the items, is broadcast; a benchmark of more bytes is searched in several passes of about so many.
 MOST_BENCHMARK_BYTES = 64 << 20
+#: Items of up to so many words share an index, and so the length of its passages; longer ones have a further index each.
+LENGTHS = (256, 2048, 16384)
 
 _WORDS = bytes(32 if c < 128 and not chr(c).isalnum() else c for c in range(256))
 
@@ -65,6 +67,13 @@ class Index:
     answer: list[set]
 
 
+def build_indexes(items: list[tuple[int, str]]) -> list[Index]:
+    """An index for each class of lengths, so that one long item doesn't make the passages of all others long."""
+    sizes = [sum(len(words(t)) > most for most in LENGTHS) for _, t in items]
+    made = [build_index([x for x, own in zip(items, sizes, strict=True) if own == k]) for k in range(len(LENGTHS) + 1)]
+    return [x for x in made if x]
+
+
 def build_index(items: list[tuple[int, str]], block: int = BLOCK) -> Index | None:
     """The index of items (item_id, text) with words; none if no item has any.  Similar items share a block by their rarest words."""
     split = [(i, words(t), t) for i, t in items if t and words(t)]
@@ -149,40 +158,58 @@ def verified(index: Index, item: int, passage: list[bytes]) -> tuple[float, floa
     return (len(q & have) / len(q) if q else 1.0), (len(a & bag) / len(a) if a else 1.0)
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, share: float = MIN_SHARE) -> DataFrame:
+def matches(rows: DataFrame, benchmark: DataFrame, share: float, most: int) -> DataFrame:
+    """(doc, item_id, score, question_overlap, answer_overlap): every item that a row of ``rows`` (doc, text) leaks, by its best passage."""
+    spark = rows.sparkSession
+    small_batches(spark)
+    size = benchmark.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    passes = max(1, -(-size // most))
+    schema = f"doc {rows.schema['doc'].dataType.simpleString()}, item_id long, score double, question_overlap double, answer_overlap double"
+    found = None
+    for turn in range(passes):
+        share_of = benchmark.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == turn)
+        items = share_of.select(F.col("item_id").cast("long"), "text").orderBy("item_id", "text").collect()  # about ``most`` bytes
+        shared = spark.sparkContext.broadcast(build_indexes([(r[0], r[1]) for r in items if r[1]]))
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            for batch in slices(batches) if shared.value else ():
+                hits = []
+                for at, text in enumerate(batch.column("text").to_pylist()):
+                    w = words(text)
+                    for index in shared.value:
+                        ids = np.fromiter(map(index.terms.get, w, [-1] * len(w)), np.int32, len(w))
+                        best: dict[int, tuple] = {}
+                        for p, item, score in search(index, ids, share):
+                            q, a = verified(index, item, w[p * index.stride : (p + 2) * index.stride])
+                            if q >= MIN_QUESTION and a >= MIN_ANSWER:
+                                best[item] = max(best.get(item, (0.0, 0.0, 0.0)), (score, q, a))
+                        hits += [(at, index.items[i], *x) for i, x in best.items()]
+                if hits:
+                    doc = batch.column("doc").take(pa.array([h[0] for h in hits]))
+                    rest = [pa.array([h[i] for h in hits], pa.int64() if i == 1 else pa.float64()) for i in range(1, 5)]
+                    yield pa.RecordBatch.from_arrays([doc, *rest], names=["doc", "item_id", "score", "question_overlap", "answer_overlap"])
+
+        own = rows.select("doc", "text").mapInArrow(run, schema)
+        found = own if found is None else found.unionByName(own)
+    return found
+
+
+def leaks(docs: DataFrame, benchmark: DataFrame, share: float = MIN_SHARE, most: int = MOST_BENCHMARK_BYTES) -> DataFrame:
     """(doc_id, item_id, score, question_overlap, answer_overlap): every item that a document leaks, by its best passage.
 
-    Null and empty texts leak nothing; items without words are never leaked.  Repeated rows give a row each.  An empty
-    benchmark or table gives no rows.  Columns besides doc_id, item_id and text are not used.
+    Null and empty texts leak nothing; items without words are never leaked.  Repeated rows, of either table, give a row
+    each.  A benchmark of more than ``most`` bytes is dealt by hash to several indexes, each item to one, whose weights are
+    those of its own share; every document is searched in all.  An empty benchmark or table gives no rows.  Columns
+    besides doc_id, item_id and text are not used.
     """
-    spark = docs.sparkSession
-    size = benchmark.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    if size > MOST_BENCHMARK_BYTES:
-        raise ValueError(f"the benchmark has {size} bytes; at most {MOST_BENCHMARK_BYTES} can be broadcast")
-    items = benchmark.select(F.col("item_id").cast("long"), "text").orderBy("item_id", "text").collect()
-    shared = spark.sparkContext.broadcast(build_index([(r[0], r[1]) for r in items]))
-    small_batches(spark)
+    return matches(docs.select(F.col("doc_id").cast("long").alias("doc"), "text"), benchmark, share, most).withColumnRenamed("doc", "doc_id")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = shared.value
-        for batch in slices(batches) if index else ():
-            rows = []
-            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                w = words(text)
-                ids = np.fromiter(map(index.terms.get, w, [-1] * len(w)), np.int32, len(w))
-                best: dict[int, tuple] = {}
-                for p, item, score in search(index, ids, share):
-                    q, a = verified(index, item, w[p * index.stride : (p + 2) * index.stride])
-                    if q >= MIN_QUESTION and a >= MIN_ANSWER:
-                        best[item] = max(best.get(item, (0.0, 0.0, 0.0)), (score, q, a))
-                rows += [(doc, index.items[i], *x) for i, x in best.items()]
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate([pa.int64()] * 2 + [pa.float64()] * 3)], names=["doc_id", "item_id", "score", "question_overlap", "answer_overlap"])
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, item_id long, score double, question_overlap double, answer_overlap double")
-
-
-def decontaminated(docs: DataFrame, benchmark: DataFrame, share: float = MIN_SHARE) -> DataFrame:
-    """``docs`` without the documents that leak an item; rows with a null doc_id go only if such a row leaks."""
-    found = leaks(docs, benchmark, share).select(F.col("doc_id").alias("__leak")).distinct()
-    return docs.join(found, F.col("doc_id").eqNullSafe(F.col("__leak")), "left_anti")
+
+def decontaminated(docs: DataFrame, benchmark: DataFrame, share: float = MIN_SHARE, most: int = MOST_BENCHMARK_BYTES) -> DataFrame:
+    """``docs`` without the rows that leak an item, nulls and repeats of doc_id told apart by their texts.
+
+    Null and empty texts stay.  All columns pass through, whatever their names; an empty benchmark removes nothing.
+    """
+    document = F.struct(F.col("doc_id").alias("id"), F.xxhash64("text").alias("tie"))
+    leaked = matches(docs.select(document.alias("doc"), "text"), benchmark, share, most).select(F.col("doc").alias("leak")).distinct()
+    return unpacked(packed(docs, doc=document).join(leaked, F.col("doc") == F.col("leak"), "left_anti"), docs.columns)
