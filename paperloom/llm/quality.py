@@ -137,7 +137,9 @@ def trained(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> Mo
             x = [features(t).tolist() for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label").cast(pa.int32()), pa.array(x, pa.list_(pa.float64()))], names=["doc_id", "label", "x"])
 
-    found = texts.select("doc_id", "text", "label").mapInArrow(run, "doc_id long, label int, x array<double>").toPandas().sort_values("doc_id", kind="stable")
+    made = texts.select("doc_id", "text", "label").mapInArrow(run, "doc_id long, label int, x array<double>")
+    # Of rows that share a doc_id one counts, so at most ``most`` rows reach the driver.
+    found = made.groupBy("doc_id").agg(F.max("label").alias("label"), F.min("x").alias("x")).toPandas().sort_values("doc_id", kind="stable")
     return learn(np.array(found["x"].tolist()), found["label"].to_numpy()) if len(found) else None
 
 
@@ -165,16 +167,16 @@ def placed(model: Model, raws: DataFrame, labels: DataFrame) -> Model:
     return replace(model, cut=float(cut))
 
 
-def with_raw(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` (doc_id, text and others) with ``raw``, the score before the threshold is placed."""
+def with_raw(docs: DataFrame, model: Model, name: str) -> DataFrame:
+    """``docs`` (doc_id, text and others) with ``name``, the score before the threshold is placed."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             raw = shared.value.raw(np.array([features(t) for t in batch.column("text").to_pylist()]))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(raw)], names=[*batch.schema.names, "__raw"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(raw)], names=[*batch.schema.names, name])
 
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("__raw", DoubleType())]))
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(name, DoubleType())]))
 
 
 def sampled(labels: DataFrame, most: int) -> bool:
@@ -195,7 +197,7 @@ def scored(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> Dat
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
     if model and sampled(labels, most):
-        raws = stage(with_raw(ids, model).select("doc_id", F.col("__raw").alias("raw")), "quality-scores")
+        raws = stage(with_raw(ids, model, "raw").select("doc_id", "raw"), "quality-scores")
         model = placed(model, raws, labels)
         z = F.greatest(F.lit(-40.0), F.least(F.lit(40.0), F.lit(model.slope) * (F.col("raw") - F.lit(model.cut)) + F.lit(float(np.log(CUT / (1 - CUT))))))
         above, score = F.col("raw") >= F.lit(model.cut), 1 / (1 + F.exp(-z))
@@ -217,13 +219,16 @@ def accepted(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> D
     """``docs`` without those scored under the threshold, scored in one pass over the texts.
 
     Where labelled documents are more than ``most``, the texts are written with their scores until the threshold is placed.
+    Null and empty texts are scored by features of zero; repeated rows are scored each; null ids learn nothing.  Without
+    labels of both kinds all documents stay.  Other columns pass through, whatever their names.
     """
     small_batches(docs.sparkSession)
     model = trained(docs, labels, most)
     if model and sampled(labels, most):
-        whole = stage(with_raw(docs, model), "quality-scored")
-        model = placed(model, whole.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("__raw").alias("raw")), labels)
-        return whole.where(F.col("__raw") >= F.lit(model.cut)).drop("__raw")
+        name = "_" * max(map(len, docs.columns)) + "raw"  # longer than any other
+        whole = stage(with_raw(docs, model, name), "quality-scored")
+        model = placed(model, whole.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(name).alias("raw")), labels)
+        return whole.where(F.col(name) >= F.lit(model.cut)).drop(name)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -14,6 +14,7 @@ import xxhash
 from paperloom.llm import bpe, cws, decontaminate, lines, maxent, quality, secrets, simhash, urls, warc
 from paperloom.llm.common import components
 from paperloom.llm.queries import tokenizer_path
+from pyspark.sql import functions as F
 
 SCHEMA = "doc_id long, text string, source string, fp string, n_removed long"
 
@@ -211,6 +212,12 @@ def test_warc_round_trip(spark):
         assert (r.payload_bytes, r.payload_digest) == (len(raw), hashlib.sha1(raw).hexdigest())
         assert (r.record_type, r.refers_to) == {1: ("revisit", 3), 2: ("revisit", 3), 8: ("revisit", 9)}.get(r.page_id, ("response", None))
         assert r.payload == (html[r.page_id] if r.record_type == "response" else None)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "700")  # records and payloads over many splits
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    split = warc.read_archives(spark, path).collect()
+    assert sorted(map(str, split)) == sorted(map(str, found)) and spark.read.text(path).rdd.getNumPartitions() > 10
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    spark.conf.unset("spark.sql.files.openCostInBytes")
     light = warc.read_archives(spark, path, payloads=False)
     assert sorted(map(str, light.collect())) == sorted(str(r).replace(f", payload={r.payload!r}", "") for r in found)
     old = spark.conf.get("spark.sql.files.maxPartitionBytes")
@@ -222,6 +229,18 @@ def test_warc_round_trip(spark):
     assert warc.read_archives(spark, warc.write_archives(pages.limit(0))).count() == 0
 
 
+def test_damaged_archives(spark, tmp_path):
+    record = lambda i, body: f"WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:{i}>\r\nContent-Length: {len(body)}\r\n\r\n{body}\r\n\r\n"
+    whole = "".join(record(i, f"body {i} WARC/1.0\r\nContent-Length: 1\r\n\r\nx\r\n\r\n") for i in range(20))
+    third = whole.index("urn:page:3>")
+    for name, text in {"cut": whole[:-30], "noise": "x" + whole, "hole": whole[:third] + whole[third + 40 :], "empty": "", "whole": whole}.items():
+        (tmp_path / f"{name}.warc").write_text(text, newline="")
+    read = lambda name: warc.read_archives(spark, f"file://{tmp_path}/{name}.warc").collect()
+    assert sorted(r.page_id for r in read("whole")) == sorted(r.page_id for r in read("cut")) == list(range(20))
+    assert {r.page_id for r in read("cut") if r.payload_digest is None} == {19} and len(read("noise")) == len(read("empty")) == 0
+    assert {0, 1, 2} <= {r.page_id for r in read("hole")} and not set(range(4, 20)) & {r.page_id for r in read("hole")}
+
+
 def test_weighted_fingerprints(docs, spark):
     for parts in (1, 7):
         found = cws.fingerprints(docs, parts=parts).collect()
@@ -245,6 +264,24 @@ def test_weighted_fingerprints(docs, spark):
     near = [r.near_next for r in cws.fingerprints(texts, parts=3).collect() if r.doc_id]
     assert abs(np.mean(near) - 90 / 110) < 0.04  # the collision rate is the generalised Jaccard similarity
     assert cws.fingerprints(docs.limit(0)).count() == 0
+    # Words that occur up to nine times: the likeness is that of the weights, not of the sets, which are all alike.
+    rng = random.Random(15)
+    bags = [Counter({f"w{j}": rng.randint(1, 9) for j in range(40)})]
+    for _ in range(79):
+        bags.append(Counter({w: rng.randint(1, 9) if rng.random() < 0.4 else n for w, n in bags[-1].items()}))
+    texts = spark.createDataFrame([(i, " ".join(rng.sample(list(b.elements()), b.total()))) for i, b in enumerate(bags)], "doc_id long, text string")
+    found = {r.doc_id: r.near_next for r in cws.fingerprints(texts, parts=3).collect()}
+    true = [(bags[i] & bags[i - 1]).total() / (bags[i] | bags[i - 1]).total() for i in range(1, 80)]
+    assert max(true) < 0.95 and abs(np.mean([found[i] - t for i, t in enumerate(true, 1)])) < 0.03
+    assert np.mean([abs(found[i] - t) for i, t in enumerate(true, 1)]) < 0.1
+
+
+def test_ranges_of_ids_are_balanced_and_in_order(spark):
+    frame = spark.range(20000).selectExpr("if(id % 7 = 0, id * id, id) as doc_id").unionByName(spark.createDataFrame([(None,)], "doc_id long"))
+    for parts in (1, 3, 50, 300, 5000):
+        rows = frame.withColumn("part", cws.range_of_id(frame, parts)).orderBy(F.col("doc_id").desc_nulls_first()).collect()
+        numbers = [r.part for r in rows[1:]]
+        assert numbers == sorted(numbers) and rows[0].part > numbers[-1] and max(Counter(numbers).values()) <= 2.5 * 20000 / min(parts, cws.BOUNDS) + 2
 
 
 def test_line_dedup(docs):
@@ -294,9 +331,11 @@ def test_secrets_of_every_kind_of_characters():
     lower, upper, digits = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
     before = "Keep calm, everybody said, and never lose the private key "
     reported = lambda x: any(s[0] == "novel" for s in secrets.scan(f"{before}{x} in the prose"))
-    for letters, n in ((lower + upper, 20), (lower, 24), (upper, 20), (digits, 20), (lower + upper + digits, 16), (lower + upper + digits, 20)):
-        assert sum(reported("".join(rng.choices(letters, k=n))) for _ in range(100)) >= 95, (letters, n)
-    for word in ("responsibilities", "counterproductive", "misunderstandings", "Geschwindigkeitsbegrenzung", "desafortunadamente", "constitutionnellement", "authentication_handler", "configuration-manager"):
+    every = lower + upper + digits
+    for letters, n in ((lower + upper, 20), (lower, 24), (lower, 32), (upper, 20), (digits, 20), (every, 12), (every, 16), (every, 20), (every + "!@#$%^&*", 14)):
+        assert sum(reported("".join(rng.choices(letters, k=n))) for _ in range(100)) >= 90, (letters, n)
+    assert sum(reported(".".join("".join(rng.choices(every + "-_", k=n)) for n in (18, 24, 30))) for _ in range(100)) >= 90
+    for word in ("responsibilities", "counterproductive", "misunderstandings", "Geschwindigkeitsbegrenzung", "desafortunadamente", "constitutionnellement", "authentication_handler", "configuration-manager", "2024-05-31T10:15", "555-123-4567", "www.example.com/index.html", "self-evident", "and/or"):
         assert not reported(word), word
 
 
@@ -349,6 +388,18 @@ def test_urls(spark):
     assert np.mean([blocked[i] == bool(y) for i, (_, y) in enumerate(urls.LABELLED)]) > 0.95
 
 
+def test_urls_of_hosts_not_learned_from():
+    """Each labelled URL, all of different hosts, judged by weights learned from the other five sixths."""
+    right = []
+    for fold in range(6):
+        weights = urls.train([x for i, x in enumerate(urls.LABELLED) if i % 6 != fold])
+        for i, (url, label) in enumerate(urls.LABELLED):
+            if i % 6 == fold:
+                host, _, path = url.partition("://")[2].partition("/")
+                right.append((urls.probability(weights, [host], [f"/{path}"])[0] >= 0.5) == bool(label))
+    assert np.mean(right) > 0.75
+
+
 def test_decontamination(docs, spark):
     rng = random.Random(9)
     vocabulary = ["".join(rng.choices("abcdefghij", k=rng.randint(2, 7))) for _ in range(300)]
@@ -365,6 +416,35 @@ def test_decontamination(docs, spark):
     kept = decontaminate.decontaminated(spark.createDataFrame([*texts, (None, "fine"), (99, None)], "doc_id long, text string"), bench)
     assert {r.doc_id for r in kept.collect()} == {i for i in range(60) if i % 3} | {None, 99}
     assert decontaminate.decontaminated(docs, bench.limit(0)).count() == len(ROWS)
+    # Several passes, one long item, clashing names and rows without an id.
+    long_item = (200, " ".join(rng.choices(vocabulary, k=3000)) + ".")
+    more = spark.createDataFrame([*texts, (None, f"x {items[1][1]} y"), (None, "fine"), (300, f"before {long_item[1]} after")], "doc_id long, text string").selectExpr("*", "1 as leak", "2 as doc", "3 as `row`")
+    wide = spark.createDataFrame([*items, long_item], "item_id long, text string")
+    for most in (decontaminate.MOST_BENCHMARK_BYTES, 2000):
+        got = {(r.doc_id, r.item_id) for r in decontaminate.leaks(more, wide, most=most).collect()}
+        assert got == {(i, i % 50) for i in range(0, 60, 3)} | {(None, 1), (300, 200)}
+    kept = decontaminate.decontaminated(more, wide)
+    assert kept.columns == more.columns and Counter(r.doc_id for r in kept.collect()) == Counter([i for i in range(60) if i % 3] + [None])
+
+
+def test_leaks_of_changed_copies(spark):
+    """Recall by the share of an item's words that a passage keeps; what is found meets the overlaps that are asked for."""
+    rng = random.Random(14)
+    vocabulary = ["".join(rng.choices("abcdefghij", k=rng.randint(3, 7))) for _ in range(2000)]
+    items = [(i, " ".join(rng.choices(vocabulary, k=60)) + ". " + " ".join(rng.choices(vocabulary, k=5)) + ".") for i in range(60)]
+    rows, wanted = [], set()
+    for i, text in items:
+        for k, changed in enumerate((0, 1, 2, 3, 6)):
+            own = text.split()
+            for at in rng.sample(range(60), changed):
+                own[at] = "other"
+            q, _ = decontaminate.question_and_answer(text)
+            shingles = decontaminate.shingles(decontaminate.words(q))
+            rows.append((10 * i + k, " ".join([*rng.choices(vocabulary, k=50), *own, *rng.choices(vocabulary, k=50)])))
+            if len(shingles & decontaminate.shingles(decontaminate.words(" ".join(own)))) >= 0.8 * len(shingles):
+                wanted.add((10 * i + k, i))
+    found = decontaminate.leaks(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert {(r.doc_id, r.item_id) for r in found.collect()} == wanted and 120 < len(wanted) < 240
 
 
 def test_block_max_search_is_exhaustive():
