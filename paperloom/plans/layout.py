@@ -162,12 +162,6 @@ def m20_first_tag(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.coalesce(first, F.lit("N")).alias("tag"))
 
 
-@query(with_archive("SELECT doc_id, arg_max(pos, (x1 > 300, -pos)) AS signer FROM (SELECT *, max(pos) OVER (PARTITION BY doc_id) AS last FROM lines) WHERE pos >= 0.6::DOUBLE * last GROUP BY doc_id"))
-def m16_signer_line(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A line of the document's last part, those on the right first."""
-    own = lines(spark, sf_dir).withColumn("last", F.max("pos").over(Window.partitionBy("doc_id"))).where("pos >= 0.6d * last")
-    return own.groupBy("doc_id").agg(F.max_by("pos", F.struct((F.col("x1") > 300).alias("right"), (-F.col("pos")).alias("p"))).alias("signer"))
-
 
 @query("SELECT l_orderkey, l_returnflag, page FROM (SELECT l_orderkey, l_returnflag, l_linestatus AS page, row_number() OVER (PARTITION BY l_orderkey, l_returnflag ORDER BY round(sum(l_tax), 6) DESC, count(*) DESC, l_linestatus) AS r FROM lineitem GROUP BY 1, 2, 3) WHERE r = 1")
 def f05_best_page(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -192,12 +192,6 @@ def l09_aggregated_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.groupBy("c_nationkey").agg(F.count("o_orderkey").alias("n"), F.coalesce(F.round(F.sum("o_totalprice"), 2), F.lit(0.0)).alias("total"))
 
 
-@query(with_archive("SELECT doc_id, arg_min(regexp_extract(line, '[0-9]{1,4}[/.-][0-9]{1,4}'), pos) AS found FROM lines WHERE regexp_matches(line, '[0-9]{1,4}[/.-][0-9]{1,4}') GROUP BY doc_id"))
-def m15_date_line(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first line with a dated number."""
-    p = "([0-9]{1,4}[/.-][0-9]{1,4})"
-    return lines(spark, sf_dir).where(F.col("line").rlike(p)).groupBy("doc_id").agg(F.min_by(F.regexp_extract("line", p, 1), "pos").alias("found"))
-
 
 @query(with_archive("SELECT doc_id, page, string_agg(split_part(line, ' ', 1), ' ' ORDER BY pos) AS tokens, string_agg(CASE WHEN contains(line, 'the') THEN 'B-X' ELSE 'O' END, ' ' ORDER BY pos) AS tags FROM lines GROUP BY doc_id, page"))
 def m01_token_rows(spark: SparkSession, sf_dir: str) -> DataFrame:

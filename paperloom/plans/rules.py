@@ -260,18 +260,3 @@ def m05_training_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parallel sequences of a page's tokens and labels."""
     row = F.array_sort(F.collect_list(F.struct("turn", "role", (F.length("text") % 3).cast("string").alias("label"))))
     return table(spark, sf_dir, "conversations").groupBy("conv_id").agg(row.alias("x")).select("conv_id", F.array_join("x.role", " ").alias("tokens"), F.array_join("x.label", " ").alias("labels"))
-
-
-@query(with_archive("SELECT doc_id, arg_min(CASE WHEN contains(line, 'the') THEN 'party' ELSE 'state' END, pos) AS kind FROM lines WHERE contains(line, 'the') OR contains(line, 'of') GROUP BY doc_id"))
-def m13_first_keyword(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The kind by the first line with any keyword."""
-    hits = lines(spark, sf_dir).where(F.contains("line", F.lit("the")) | F.contains("line", F.lit("of")))
-    return hits.groupBy("doc_id").agg(F.min_by(F.when(F.contains("line", F.lit("the")), "party").otherwise("state"), "pos").alias("kind"))
-
-
-@query(with_archive("SELECT doc_id, arg_min(v, (r, pos)) AS number FROM (SELECT doc_id, pos, CASE WHEN regexp_extract(line, '[0-9]{5,}') <> '' THEN regexp_extract(line, '[0-9]{5,}') ELSE regexp_extract(line, '[0-9]+') END AS v, CASE WHEN regexp_extract(line, '[0-9]{5,}') <> '' THEN 0 ELSE 1 END AS r FROM lines) WHERE v <> '' GROUP BY doc_id"))
-def m14_by_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The match of the best pattern, of the first line."""
-    long, any_ = F.regexp_extract("line", "([0-9]{5,})", 1), F.regexp_extract("line", "([0-9]+)", 1)
-    hits = lines(spark, sf_dir).select("doc_id", "pos", F.when(long != "", long).otherwise(any_).alias("v"), F.when(long != "", 0).otherwise(1).alias("r")).where("v <> ''")
-    return hits.groupBy("doc_id").agg(F.min_by("v", F.struct("r", "pos")).alias("number"))
