@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -60,6 +60,20 @@ def range_of_id(df: DataFrame, parts: int) -> Column:
     return F.when(F.col("doc_id").isNull(), F.lit(len(found) * finer + 1)).otherwise(F.lit(len(found) * finer) - at).cast("long")
 
 
+def spread(spark: SparkSession, parts: int, count: int) -> list[int]:
+    """Rising numbers, each ``parts`` of which hash partitioning deals to a partition each."""
+    out: list[int] = []
+    used: set[int] = set()
+    at, step = 0, 16 * parts
+    while len(out) < count:
+        for k, p in spark.range(at, at + step, 1, 1).select("id", F.pmod(F.hash("id"), F.lit(parts))).collect():
+            if p not in used and len(out) < count:
+                out.append(k)
+                used = used | {p} if len(used) + 1 < parts else set()
+        at += step
+    return out
+
+
 def led(df: DataFrame, value: str, name: str, firsts: DataFrame) -> DataFrame:
     """``df`` (part, at, ...) with ``name``: ``value`` of the row with the next ``at``, of the next part's first, of the very first.
 
@@ -84,10 +98,13 @@ def first_texts(texts: DataFrame, ranges: int) -> DataFrame:
 def edited_texts(docs: DataFrame, parts: int) -> DataFrame:
     """(part, at, doc_id, text, edited): the last third of each text replaced by the start of the next document's."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    dealt = texts.withColumn("part", range_of_id(texts, parts))
+    number = range_of_id(texts, parts)
+    if parts <= BOUNDS:
+        number = F.element_at(F.from_json(F.lit(json.dumps(spread(docs.sparkSession, parts, parts + 3))), "array<bigint>"), (number + 1).cast("int"))
+    dealt = texts.withColumn("part", number)
     firsts = first_texts(dealt, parts)
     order = Window.partitionBy("part").orderBy(F.col("doc_id").desc_nulls_last(), F.xxhash64("text"))
-    both = led(dealt.repartitionByRange(parts, "part").withColumn("at", F.row_number().over(order)), "text", "following", firsts)
+    both = led(dealt.repartition(parts, "part").withColumn("at", F.row_number().over(order)), "text", "following", firsts)
     third = "int(length(text) div 3)"
     return both.select("part", "at", "doc_id", "text", F.expr(f"concat(left(text, length(text) - {third}), left(following, {third}))").alias("edited"))
 

@@ -277,6 +277,10 @@ def test_weighted_fingerprints(docs, spark):
 
 
 def test_ranges_of_ids_are_balanced_and_in_order(spark):
+    numbers = cws.spread(spark, 37, 80)
+    assert numbers == sorted(set(numbers)) and len(numbers) == 80
+    sizes = [len(x) for x in spark.createDataFrame([(k,) for k in numbers[:74]], "part long").repartition(37, "part").rdd.glom().collect()]
+    assert sizes == [2] * 37
     frame = spark.range(20000).selectExpr("if(id % 7 = 0, id * id, id) as doc_id").unionByName(spark.createDataFrame([(None,)], "doc_id long"))
     for parts in (1, 3, 50, 300, 5000):
         rows = frame.withColumn("part", cws.range_of_id(frame, parts)).orderBy(F.col("doc_id").desc_nulls_first()).collect()
