@@ -11,9 +11,13 @@ import pandas as pd
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import BooleanType, DoubleType, MapType, StringType
 
-#: Letters of other scripts that look like Latin ones.
-LOOKALIKES = str.maketrans("АВСЕНІЈКМОРЅТХаеіјорсухΑΒΕΖΗΙΚΜΝΟΡΤΥΧ", "ABCEHIJKMOPSTXaeijopcyxABEZHIKMNOPTYX")
-_LATIN = re.compile(r"[A-Za-z]")
+#: Letters of other scripts that look like Latin ones, Cyrillic and then Greek.
+LOOKALIKES = str.maketrans(
+    "\u0410\u0430\u0412\u0432\u0421\u0441\u0415\u0435\u041d\u043d\u0406\u0456\u0408\u0458\u041a\u043a\u041c\u043c\u041e\u043e\u0420\u0440\u0405\u0455\u0422\u0442\u0423\u0443\u0425\u0445"
+    "\u0391\u03b1\u0392\u0395\u03b5\u0397\u03b7\u0399\u03b9\u039a\u03ba\u039c\u039d\u039f\u03bf\u03a1\u03c1\u03a4\u03a5\u03c5\u03a7\u03c7\u0396",
+    "AaBbCcEeHhIiJjKkMmOoPpSsTtYyXx" "AaBEeHnIiKkMNOoPpTYyXxZ",
+)
+_LATIN = re.compile(r"[A-Za-zÀ-ỹĐđ]")
 _FOREIGN = ("CYRILLIC", "GREEK", "ARABIC")
 
 

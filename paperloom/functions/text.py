@@ -52,6 +52,11 @@ def squeeze(c: Column | str) -> Column:
     return F.trim(F.regexp_replace(c, r"(?U)[\s\xA0]+", " "))
 
 
+def squeeze_ends(c: Column | str) -> Column:
+    """White space trimmed at both ends."""
+    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+
+
 def word_count(c: Column | str) -> Column:
     return F.size(F.filter(F.split(c, r"(?U)\s+"), lambda w: w != "")).cast("long")
 

@@ -116,20 +116,26 @@ def words_in_region(words: Column, region: Column, margin: float = 0.10) -> Colu
     return F.transform(F.array_sort(keyed), lambda k: k.word)
 
 
-def word_windows(words: Column, most: int = MOST_WORDS) -> Column:
-    """Every run of up to ``most`` of the words (text, id, box): its joined text, box and word ids; runs without text are left out.
+def word_windows(df: DataFrame, words: str, most: int = MOST_WORDS) -> DataFrame:
+    """``df`` with ``windows``: every run of up to ``most`` of the words (text, id, box), its joined text, box and word ids.
 
-    The words must be a column of their own: an expression would be computed anew for each window.
+    Runs without text are left out.
     """
-    n = F.size(words)
-    spans = F.flatten(F.transform(F.sequence(F.lit(1), n), lambda a: F.transform(F.sequence(F.lit(1), F.least(F.lit(most), n - a + 1)), lambda k: F.struct(a.alias("a"), k.alias("k")))))
 
-    def window(s: Column) -> Column:
-        own = F.slice(words, s.a, s.k)
-        texts = F.filter(F.transform(own, lambda w: F.trim(F.coalesce(w.text, F.lit("")))), lambda t: t != "")
-        return F.struct(F.array_join(texts, " ").alias("text"), union(F.transform(own, lambda w: w.box)).alias("box"), F.transform(own, lambda w: w.id).alias("word_ids"))
-
-    return F.when(n > 0, F.filter(F.transform(spans, window), lambda c: c.text != ""))
+    def of(own: list[dict] | None) -> tuple:
+        out, own = [], own or []
+        for a in range(len(own)):
+            texts, box = [], None
+            for b in range(a, min(a + most, len(own))):
+                w = own[b]
+                box = list(w["box"]) if box is None else [*map(min, box[:2], w["box"][:2]), *map(max, box[2:], w["box"][2:])]
+                if (w["text"] or "").strip():
+                    texts.append(w["text"].strip())
+                if texts:
+                    out.append({"text": " ".join(texts), "box": box, "word_ids": [x["id"] for x in own[a : b + 1]]})
+        return (out,)
+
+    return per_row(df, of, f"windows array<struct<text:string,box:{BOX},word_ids:array<string>>>", words)
 
 
 def visual_lines(words: list[dict]) -> list[list[dict]]:

@@ -53,10 +53,6 @@ TITLE = r"(?iU)^\s*(" + "|".join(TITLES) + r")\s*$"
 NAME = r"(?U)^[A-ZÀ-Ỹ][a-zà-ỹ]+(?:\s+[A-ZÀ-Ỹ][a-zà-ỹ]+){1,4}$"
 
 
-def strip(c: Column | str) -> Column:
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
-
-
 def _capitals(c: Column) -> Column:
     return F.upper(T.strip_accents(c))
 
@@ -104,7 +100,7 @@ def number_and_symbol(lines: Column, height: Column, state: bool) -> Column:
     top = F.filter(lines, lambda l: l.y < height * 0.35)
     patterns = (NUMBER_STATE, NUMBER_PARTY, NUMBER_OTHER) if state else (NUMBER_PARTY, NUMBER_STATE, NUMBER_OTHER)
     raw = F.coalesce(*[_first_match(top, p) for p in patterns])
-    return F.concat(F.lit("Số "), F.regexp_replace(strip(raw), r"(?U)\s*([/\-–—])\s*", "$1"))
+    return F.concat(F.lit("Số "), F.regexp_replace(T.squeeze_ends(raw), r"(?U)\s*([/\-–—])\s*", "$1"))
 
 
 def split_number(whole: Column) -> tuple[Column, Column]:
@@ -117,14 +113,14 @@ def split_number(whole: Column) -> tuple[Column, Column]:
 def issue_date(lines: Column, height: Column) -> Column:
     """The line up to its date in the top 35 %; of a line whose date shows without accents only, the whole line."""
     top = F.filter(lines, lambda l: l.y < height * 0.35)
-    dated = F.transform(top, lambda l: F.when(l.text.rlike(DATE), strip(F.regexp_extract(l.text, DATE_LINE, 1))))
-    plain = F.transform(top, lambda l: F.when(T.strip_accents(l.text).rlike(DATE_PLAIN), strip(l.text)))
+    dated = F.transform(top, lambda l: F.when(l.text.rlike(DATE), T.squeeze_ends(F.regexp_extract(l.text, DATE_LINE, 1))))
+    plain = F.transform(top, lambda l: F.when(T.strip_accents(l.text).rlike(DATE_PLAIN), T.squeeze_ends(l.text)))
     return F.coalesce(_first(dated), _first(plain))
 
 
 def excluded_line(text: Column) -> Column:
     """Lines that name the state, its motto or the party, and lines of address."""
-    plain = strip(_capitals(text))
+    plain = T.squeeze_ends(_capitals(text))
     return _any(F.replace(plain, F.lit(" "), F.lit("")), tuple(w.replace(" ", "") for w in NO_ISSUER)) | reduce(lambda a, b: a | b, [F.startswith(plain, F.lit(w)) for w in ADDRESSED])
 
 
@@ -141,11 +137,11 @@ def issuer_lines(lines: Column, width: Column, height: Column, regions: Column)
     """Lines of the top left that may name the issuer, above a separator if there is one, from top to bottom."""
     may = F.filter(
         lines,
-        lambda l: (l.y <= height * 0.22) & (_centre(l) < width * 0.55) & ~excluded_line(l.text) & (F.length(strip(l.text)) > 2) & ~strip(l.text).rlike(TITLE) & ~strip(l.text).rlike(r"(?iU)^S[oố]\s*[\d\-–—/]") & ~strip(l.text).rlike(r"(?iU)^V[eề]\s+vi[eệ]c"),
+        lambda l: (l.y <= height * 0.22) & (_centre(l) < width * 0.55) & ~excluded_line(l.text) & (F.length(T.squeeze_ends(l.text)) > 2) & ~T.squeeze_ends(l.text).rlike(TITLE) & ~T.squeeze_ends(l.text).rlike(r"(?iU)^S[oố]\s*[\d\-–—/]") & ~T.squeeze_ends(l.text).rlike(r"(?iU)^V[eề]\s+vi[eệ]c"),
     )
     heads = F.filter(F.coalesce(regions, F.array().cast(f"array<{REGION}>")), lambda r: r.type.isin("title", "abandon") & (r.bbox[3] < height * 0.22))
     near = by_height(_or_all(F.filter(may, lambda l: F.exists(heads, lambda r: in_region(l, r))), may))
-    bars = F.filter(lines, lambda l: (l.y <= height * 0.22) & (_centre(l) < width * 0.55) & (F.coalesce(l.content_type == SEPARATOR, F.lit(False)) | strip(l.text).isin("*", "＊")))
+    bars = F.filter(lines, lambda l: (l.y <= height * 0.22) & (_centre(l) < width * 0.55) & (F.coalesce(l.content_type == SEPARATOR, F.lit(False)) | T.squeeze_ends(l.text).isin("*", "＊")))
     bar = F.get(bars, F.lit(0)).y
     return F.when(bar.isNull(), near).otherwise(_or_all(F.filter(near, lambda l: l.y < bar - 1), near))
 
@@ -156,19 +152,19 @@ def issuer(heads: Column) -> Column:
     boldest = F.array_min(F.transform(heads, lambda l, i: F.struct(grey(l).alias("g"), i.alias("i"))))
     last = F.get(heads, F.size(heads) - 1)
     best = F.when(grey(last) <= boldest.g + 20, last).otherwise(F.get(heads, boldest.i))
-    joined = F.array_join(F.transform(F.filter(heads, lambda l: l.block_id.eqNullSafe(best.block_id)), lambda l: strip(l.text)), " ")
+    joined = F.array_join(F.transform(F.filter(heads, lambda l: l.block_id.eqNullSafe(best.block_id)), lambda l: T.squeeze_ends(l.text)), " ")
     return F.when(F.size(heads) > 0, joined)
 
 
 def continuations(anchor: Column, lines: Column, height: Column, most: int) -> Column:
     """Texts of the lines that carry on under ``anchor``: close to each other, up to the body, a separator or ``most``."""
-    body = F.transform(F.filter(lines, lambda l: strip(l.text).rlike(BODY)), lambda l: l.y)
+    body = F.transform(F.filter(lines, lambda l: T.squeeze_ends(l.text).rlike(BODY)), lambda l: l.y)
     room = F.greatest(F.coalesce(anchor.h, F.lit(14.0)), F.lit(8.0)) * 2.5
     after = by_height(F.filter(lines, lambda l: l.y > anchor.y))
     start = F.struct(F.lit(False).alias("done"), anchor.y.cast("double").alias("y"), F.array().cast("array<string>").alias("parts"))
 
     def step(s: Column, l: Column) -> Column:
-        text = strip(l.text)
+        text = T.squeeze_ends(l.text)
         far = l.y - s.y > room
         beside = F.exists(body, lambda y: F.abs(l.y - y) < 8)
         bar = text.rlike(r"^[\-–—\.]{3,}$") | F.coalesce(l.content_type == SEPARATOR, F.lit(False)) | (l.y > height * 0.55)
@@ -185,49 +181,49 @@ def subject(lines: Column, height: Column, regions: Column) -> Column:
     """What a document is about: after V/v or Về, else its title and the lines under it, else the text of title regions."""
 
     def about(l: Column) -> Column:
-        text = F.when(l.text.rlike(ABOUT), F.regexp_extract(l.text, ABOUT, 1)).otherwise(F.regexp_extract(strip(l.text), ABOUT_PLAIN, 1))
-        return F.when(F.length(strip(text)) > 4, F.struct(strip(text).alias("text"), l.alias("line")))
+        text = F.when(l.text.rlike(ABOUT), F.regexp_extract(l.text, ABOUT, 1)).otherwise(F.regexp_extract(T.squeeze_ends(l.text), ABOUT_PLAIN, 1))
+        return F.when(F.length(T.squeeze_ends(text)) > 4, F.struct(T.squeeze_ends(text).alias("text"), l.alias("line")))
 
     named = _first(F.transform(by_height(F.filter(lines, lambda l: l.y < height * 0.55)), about))
-    by_word = strip(F.array_join(F.concat(F.array(named.text), continuations(named.line, lines, height, 3)), " "))
+    by_word = T.squeeze_ends(F.array_join(F.concat(F.array(named.text), continuations(named.line, lines, height, 3)), " "))
     zone = by_height(F.filter(lines, lambda l: (l.y > height * 0.05) & (l.y < height * 0.60)))
-    plain = lambda l: F.translate(strip(l.text), *LOOKALIKES)
+    plain = lambda l: F.translate(T.squeeze_ends(l.text), *LOOKALIKES)
     title = _first(F.transform(zone, lambda l: F.when(plain(l).rlike(TITLE), l)))
     under = F.filter(continuations(title, lines, height, 5), lambda t: ~t.rlike(TITLE))
-    by_title = strip(F.array_join(F.concat(F.array(plain(title)), under), " "))
+    by_title = T.squeeze_ends(F.array_join(F.concat(F.array(plain(title)), under), " "))
     titled = F.filter(zone, lambda l: F.exists(F.coalesce(regions, F.array().cast(f"array<{REGION}>")), lambda r: (r.type == "title") & in_region(l, r)))
     start = F.struct(F.lit(False).alias("done"), F.array().cast("array<string>").alias("parts"))
 
     def step(s: Column, l: Column) -> Column:
-        text = strip(l.text)
+        text = T.squeeze_ends(l.text)
         title_line = text.rlike(TITLE)
         stop = text.rlike(r"^[\-–—]{3,}") | (~title_line & text.rlike(BODY))
         skip = s.done | (text == "") | title_line | (~stop & text.rlike(r"(?U)^[\d\s\:\.\-]+$"))
         return F.when(~stop & skip, s).when(s.done, s).when(stop, F.struct(F.lit(True).alias("done"), s.parts.alias("parts"))).otherwise(F.struct(F.lit(False).alias("done"), F.concat(s.parts, F.array(text)).alias("parts")))
 
-    by_region = strip(F.array_join(F.aggregate(titled, start, step).parts, " "))
+    by_region = T.squeeze_ends(F.array_join(F.aggregate(titled, start, step).parts, " "))
     return F.when(named.isNotNull(), by_word).when(title.isNotNull(), by_title).otherwise(F.nullif(by_region, F.lit("")))
 
 
 def has_role(text: Column) -> Column:
-    return _any(strip(F.upper(text)), ROLES)
+    return _any(T.squeeze_ends(F.upper(text)), ROLES)
 
 
 def signer(lines: Column, width: Column, height: Column) -> Column:
     """The name under a signature in the bottom 40 %, else the lowest line that looks like a name, those on the right first."""
     bottom = by_height(F.filter(lines, lambda l: l.y > height * 0.60), downwards=False)
     signed = F.array_min(F.transform(F.filter(bottom, lambda l: F.coalesce(l.content_type == SIGNATURE, F.lit(False))), lambda l: l.y))
-    under = F.filter(by_height(bottom), lambda l: (l.y > signed) & (l.y - signed < 50) & strip(l.text).rlike(NAME) & ~has_role(strip(l.text)))
+    under = F.filter(by_height(bottom), lambda l: (l.y > signed) & (l.y - signed < 50) & T.squeeze_ends(l.text).rlike(NAME) & ~has_role(T.squeeze_ends(l.text)))
 
     def name(l: Column) -> Column:
-        text = strip(l.text)
+        text = T.squeeze_ends(l.text)
         words = T.words(text)
         capitals = ~text.rlike(r"[0-9\.\,\:\;\!\?\(\)\[\]/\\]") & F.size(words).between(2, 5) & F.forall(words, lambda w: w.rlike(r"^\p{Lu}")) & ~_any(F.upper(text), NO_NAME)
         return (F.length(text) >= 4) & ~has_role(text) & (text.rlike(NAME) | capitals)
 
     may = F.filter(bottom, name)
     right = F.filter(may, lambda l: _centre(l) > width * 0.45)
-    return F.coalesce(*[strip(F.get(x, F.lit(0)).text) for x in (under, right, may)])
+    return F.coalesce(*[T.squeeze_ends(F.get(x, F.lit(0)).text) for x in (under, right, may)])
 
 
 def type_of_document(number: Column, about: Column) -> Column:
@@ -239,7 +235,7 @@ def type_of_document(number: Column, about: Column) -> Column:
     letters = r"([A-Za-zĐđÀ-ỹ]+)"
     codes = [_found(number, p) for p in (rf"(?U)[\-–—]\s*{letters}\s*/", rf"(?U)/\s*{letters}\s*[\-–—]", rf"(?U)/\s*{letters}\s*$")]
     titles = F.create_map(*[F.lit(x) for pair in by_name.items() for x in pair])
-    return F.coalesce(*[names[c] for c in codes], titles[F.upper(_found(strip(about), TITLE))])
+    return F.coalesce(*[names[c] for c in codes], titles[F.upper(_found(T.squeeze_ends(about), TITLE))])
 
 
 def appendix(lines: Column) -> Column:

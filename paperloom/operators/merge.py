@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -36,3 +38,31 @@ def soft_field(c: Column | str, most: int) -> Column:
 def violations(rules: dict[str, DataFrame]) -> DataFrame:
     """The rows that each rule rejects, with the rule's name."""
     return reduce(DataFrame.unionByName, [rows.withColumn("rule", F.lit(name)) for name, rows in rules.items()])
+
+
+def begun(history: DataFrame, source: str, now: int) -> DataFrame:
+    """``history`` (import_id, source, started_at, status) with a running import of the next number."""
+    number = history.agg((F.coalesce(F.max("import_id"), F.lit(0)) + 1).cast("long").alias("import_id"))
+    return history.unionByName(number.select("import_id", F.lit(source).alias("source"), F.lit(now).cast("long").alias("started_at"), F.lit("running").alias("status")))
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder that all executors see, below ``spark.checkpoint.dir``; a local one only on a single machine without that."""
+    top = spark.conf.get("spark.checkpoint.dir", None)
+    if not top:
+        if not spark.conf.get("spark.master", "local").startswith("local") or spark.conf.get("spark.master").startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        top = f"file://{tempfile.gettempdir()}"
+    return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def committed(df: DataFrame, path: str) -> DataFrame:
+    """Writes ``df`` as the next version below ``path`` and returns the last version; readers of older ones aren't disturbed."""
+    spark = df.sparkSession
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    store = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    known = [f.getPath().getName() for f in store.listStatus(folder)] if store.exists(folder) else []
+    last = max((int(n[8:]) for n in known if n.startswith("version=")), default=0)
+    target = f"{path}/version={last + 1}"
+    df.write.parquet(target)
+    return spark.read.schema(df.schema).parquet(target)

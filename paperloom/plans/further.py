@@ -114,12 +114,6 @@ def b32_export_row(spark: SparkSession, sf_dir: str) -> DataFrame:
 _WORDS = "(SELECT doc_id, page, pos, x0 AS wx0, y0 AS wy0, x1 AS wx1, y1 AS wy1 FROM lines)"
 
 
-@query(with_archive(f"SELECT w.doc_id, w.pos, r.band FROM {_WORDS} w JOIN (SELECT unnest(range(4))::INT AS band) r ON least(wx1, 400.0) > greatest(wx0, 50.0) AND least(wy1, r.band * 140 + 100.0) > greatest(wy0, r.band * 140.0)"))
-def c05_words_in_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines and the fixed regions that they overlap; each line lists its own regions, so nothing is joined."""
-    bands = F.filter(F.sequence(F.lit(0), F.lit(3)), lambda b: (F.least(F.col("y1"), b * 140 + 100.0) > F.greatest(F.col("y0"), b * 140.0)) & (F.least(F.col("x1"), F.lit(400.0)) > F.greatest(F.col("x0"), F.lit(50.0))))
-    return lines(spark, sf_dir).select("doc_id", "pos", F.explode(bands).alias("band"))
-
 
 @query("SELECT a.doc_id, min(b.doc_id) AS twin FROM documents a JOIN documents b ON a.text = b.text AND a.doc_id <> b.doc_id GROUP BY a.doc_id")
 def c10_resolved(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -38,17 +38,6 @@ def _score() -> Column:
 _SCORED = f"(SELECT doc_id, pos, r, c, round(3 * CASE WHEN {_AREA} > 0 THEN {_CUT} / ({_AREA}) ELSE 0 END + {_CUT} / ({_AREA} + (bx1 - bx0) * (by1 - by0) - {_CUT}) + CASE WHEN (x0 + x1) / 2 BETWEEN bx0 AND bx1 AND (y0 + y1) / 2 BETWEEN by0 AND by1 THEN 0.5::DOUBLE ELSE 0 END, 6) AS score FROM lines, {_CELLS})"
 
 
-@query(with_archive(f"SELECT doc_id, max(score) AS best, round(sum(score), 4) AS total FROM {_SCORED} GROUP BY doc_id"))
-def c08_cell_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _cells(spark, sf_dir).withColumn("score", _score()).groupBy("doc_id").agg(F.max("score").alias("best"), F.round(F.sum("score"), 4).alias("total"))
-
-
-@query(with_archive(f"SELECT doc_id, r, c, string_agg(pos::VARCHAR, ' ' ORDER BY pos) AS held FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, pos ORDER BY score DESC, r, c) AS k FROM {_SCORED}) WHERE k = 1 AND score >= 0.2 GROUP BY doc_id, r, c"))
-def c07_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each line goes to its best cell; a cell holds its lines in order."""
-    best = _cells(spark, sf_dir).groupBy("doc_id", "pos").agg(F.max_by(F.struct("r", "c", _score().alias("s")), F.struct(_score().alias("s"), (-F.col("r")).alias("r"), (-F.col("c")).alias("c"))).alias("x"))
-    own = best.where(F.col("x.s") >= 0.2).select("doc_id", F.col("x.r").alias("r"), F.col("x.c").alias("c"), "pos")
-    return own.groupBy("doc_id", "r", "c").agg(F.array_join(F.transform(F.array_sort(F.collect_list("pos")), lambda p: p.cast("string")), " ").alias("held"))
 
 
 @query(with_archive("SELECT a.doc_id, a.pos FROM lines a WHERE a.pos % 2 = 1 AND NOT EXISTS (SELECT 1 FROM lines b WHERE b.doc_id = a.doc_id AND b.pos = a.pos - 1 AND least(a.x1, b.x1 + 9) - greatest(a.x0, b.x0) >= 0.55::DOUBLE * (a.x1 - a.x0))"))
@@ -148,12 +137,6 @@ def i37_paragraph_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return own.select("doc_id", "pos", (points(F.col("gap") > 14, 2) + points(F.col("before") < 300, 1) - points(F.col("line").rlike("^[a-z]"), 2) + points(F.col("line").rlike("^[A-Z]"), 1)).alias("score"))
 
 
-@query(with_archive("SELECT doc_id, round(6 * least(1.0::DOUBLE, covered / 40.0::DOUBLE) - 1.5::DOUBLE * weak / n, 6) AS score FROM (SELECT doc_id, count(*) AS n, count(*) FILTER (WHERE x1 > 200) AS covered, count(*) FILTER (WHERE x1 <= 100) AS weak FROM lines GROUP BY doc_id)"))
-def i33_fit_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Coverage against weak parts."""
-    n = lines(spark, sf_dir).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("x1") > 200).alias("covered"), F.count_if(F.col("x1") <= 100).alias("weak"))
-    return n.select("doc_id", F.round(6 * F.least(F.lit(1.0), F.col("covered") / 40.0) - 1.5 * F.col("weak") / F.col("n"), 6).alias("score"))
-
 
 @query("SELECT l_orderkey, coalesce(arg_min(l_returnflag, l_linenumber * 1000000 + l_partkey) FILTER (WHERE l_returnflag <> 'N'), 'N') AS tag FROM lineitem GROUP BY l_orderkey")
 def m20_first_tag(spark: SparkSession, sf_dir: str) -> DataFrame:

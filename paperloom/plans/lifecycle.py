@@ -108,11 +108,6 @@ def g27_pruned(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", record.dropFields("extra").alias("r")).select("event_id", "r.k")
 
 
-@query("SELECT c_custkey, c_name AS text FROM customer")
-def h18_lookalikes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Letters of other scripts put in place of Latin ones, and resolved."""
-    return table(spark, sf_dir, "customer").select("c_custkey", repair.normalize_lookalikes(F.translate("c_name", "CeoHKM", "СеоНКМ")).alias("text"))
-
 
 @query("SELECT c_custkey, c_name || ', ' || c_mktsegment || ' - x' AS text FROM customer")
 def h21_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -148,13 +143,6 @@ def i31_candidate_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.length("text").cast("long").alias("chars"), F.size(F.split("text", " ")).cast("long").alias("words"), (F.col("turn") / last).alias("place"), (F.col("role") == "user").cast("int").alias("is_user"))
 
 
-@query("SELECT source, CASE WHEN a >= b THEN 'first' ELSE 'second' END AS chosen, greatest(a, b) AS score FROM (SELECT source, round(sum(n_chars % 13) / count(*)::DOUBLE, 6) AS a, round(sum(n_chars % 17) / count(*)::DOUBLE, 6) AS b FROM documents GROUP BY source)")
-def i36_chosen_set(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of two candidate sets the better one."""
-    mean = lambda k: F.round(F.sum(F.col("n_chars") % k) / F.count(F.lit(1)), 6)
-    s = table(spark, sf_dir, "documents").groupBy("source").agg(mean(13).alias("a"), mean(17).alias("b"))
-    return s.select("source", F.when(F.col("a") >= F.col("b"), "first").otherwise("second").alias("chosen"), F.greatest("a", "b").alias("score"))
-
 
 @query(with_archive(f"SELECT doc_id, field, token, count(*)::BIGINT AS tf FROM (SELECT doc_id, 'subject' AS field, unnest({sql_tokens('subject')}) AS token FROM docs UNION ALL SELECT doc_id, 'file', unnest({sql_tokens('file_name')}) FROM docs) GROUP BY ALL"))
 def j01_field_postings(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -143,12 +143,6 @@ def h16_subject(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents(spark, sf_dir).select("doc_id", T.squeeze("subject").alias("subject"))
 
 
-@query("SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN '' ELSE c_name END AS text FROM customer")
-def h19_surface(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Blank where letters of a foreign script remain."""
-    mixed = F.when(F.col("c_custkey") % 2 == 0, F.lit("Живот")).otherwise(F.col("c_name"))
-    return table(spark, sf_dir, "customer").select("c_custkey", repair.sanitize_surface(mixed).alias("text"))
-
 
 @query("SELECT c_custkey, greatest(0.0, 1.0 - levenshtein(c_name, c_mktsegment) / greatest(length(c_name), 1)::DOUBLE) AS score FROM customer")
 def h22_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -186,13 +180,6 @@ def i09_style_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.size(F.split("text", " ")).cast("long").alias("words"), F.least(F.lit(15), F.floor(F.length("text") / 20)).cast("int").alias("bucket"))
 
 
-@query(with_archive("SELECT doc_id, round(sum(cells)::DOUBLE / count(*) + least(5, count(*)) - 0.5::DOUBLE * sum((cells = 1)::INT), 6) AS score FROM (SELECT doc_id, len(string_split(line, ' | ')) AS cells FROM lines WHERE contains(line, ' |')) GROUP BY doc_id"))
-def i34_table_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A table's structure: cells a row, rows, and rows of one cell."""
-    rows = lines(spark, sf_dir).where(F.contains("line", F.lit(" |"))).select("doc_id", F.size(F.split("line", r" \| ")).alias("cells"))
-    n = F.count(F.lit(1))
-    return rows.groupBy("doc_id").agg(F.round(F.sum("cells") / n + F.least(F.lit(5), n) - 0.5 * F.count_if(F.col("cells") == 1), 6).alias("score"))
-
 
 @query(f"SELECT item_id, array_to_string(list_filter({sql_tokens('text')}, lambda t: length(t) >= 3 AND NOT regexp_matches(t, '^[0-9]+$')), ' ') AS tokens FROM benchmark")
 def j07_query_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:

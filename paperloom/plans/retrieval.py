@@ -55,10 +55,6 @@ def i38_row_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").select("c_custkey", fuzzy.similarity("c_mktsegment", "c_name").alias("ratio"))
 
 
-@query()
-def h12_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return greedy.chunked(lines(spark, sf_dir))
-
 
 @query()
 def e17_suppressed_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:

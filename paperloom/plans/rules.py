@@ -14,29 +14,8 @@ from .bindings import documents, lines, sql_fold, table, with_archive
 from .registry import query
 
 
-@query("SELECT doc_id, sum(n) AS words, count(*)::BIGINT AS parts FROM (SELECT doc_id, unnest(list_transform(regexp_split_to_array(replace(text, chr(10), ' '), '[.?!;]\\s+'), lambda s: len(list_filter(regexp_split_to_array(s, '\\s+'), lambda w: w <> '')))) AS n FROM documents) WHERE n > 0 GROUP BY doc_id")
-def h10_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sentences of each document, and their words."""
-    parts = F.split(F.replace("text", F.lit("\n"), F.lit(" ")), r"[.?!;]\s+")
-    n = F.transform(parts, lambda s: F.size(F.filter(F.split(s, r"\s+"), lambda w: w != "")))
-    return table(spark, sf_dir, "documents").select("doc_id", F.explode(n).alias("n")).where("n > 0").groupBy("doc_id").agg(F.sum("n").alias("words"), F.count(F.lit(1)).alias("parts"))
 
 
-@query(with_archive("SELECT doc_id, max(packed)::BIGINT + 1 AS packs, sum(n)::BIGINT AS words FROM (SELECT doc_id, n, (sum(n) OVER (PARTITION BY doc_id ORDER BY pos) - n) // 250 AS packed FROM (SELECT doc_id, pos, len(list_filter(string_split(line, ' '), lambda w: w <> '')) AS n FROM lines)) GROUP BY doc_id"))
-def h46_packs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines dealt to packs by the words before them."""
-    n = F.size(F.filter(F.split("line", " "), lambda w: w != ""))
-    w = Window.partitionBy("doc_id").orderBy("pos")
-    own = lines(spark, sf_dir).select("doc_id", "pos", n.alias("n")).withColumn("packed", F.floor((F.sum("n").over(w) - F.col("n")) / 250))
-    return own.groupBy("doc_id").agg((F.max("packed") + 1).alias("packs"), F.sum("n").alias("words"))
-
-
-@query(with_archive("SELECT doc_id, pos, unnest(CASE WHEN length(line) > 80 THEN list_filter(regexp_split_to_array(line, '[.]\\s+'), lambda s: s <> '') ELSE [line] END) AS part FROM lines"))
-def h47_prepared_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Long lines are split by sentence."""
-    parts = F.when(F.length("line") > 80, F.filter(F.split("line", r"[.]\s+"), lambda s: s != "")).otherwise(F.array("line"))
-    return lines(spark, sf_dir).select("doc_id", "pos", F.explode(parts).alias("part"))
-
 
 @query("SELECT conv_id, turn, CASE WHEN contains(t, 'the') AND contains(t, 'and') THEN 'party' WHEN contains(t, 'the') THEN 'state' ELSE 'other' END AS kind FROM (SELECT conv_id, turn, " + sql_fold("text") + " AS t FROM conversations)")
 def h29_header_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -190,12 +169,6 @@ def d32_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.withColumn("verdict", F.when(gap < -0.03, "worse").when(gap > 0.03, "better").otherwise("same"))
 
 
-@query("SELECT field, count(*) FILTER (WHERE g = p)::BIGINT AS tp, count(*) FILTER (WHERE g <> p)::BIGINT AS wrong FROM (SELECT unnest(['flag', 'status']) AS field, unnest([l_returnflag, l_linestatus]) AS g, unnest([l_linestatus, l_linestatus]) AS p FROM lineitem) GROUP BY field")
-def d19_word_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Right and wrong labels of each field, from parallel arrays."""
-    row = F.arrays_zip(F.array(F.lit("flag"), F.lit("status")).alias("field"), F.array("l_returnflag", "l_linestatus").alias("g"), F.array("l_linestatus", "l_linestatus").alias("p"))
-    return table(spark, sf_dir, "lineitem").select(F.inline(row)).toDF("field", "g", "p").groupBy("field").agg(F.count_if(F.col("g") == F.col("p")).alias("tp"), F.count_if(F.col("g") != F.col("p")).alias("wrong"))
-
 
 @query(with_archive("SELECT doc_id, pos, least(x1, 300.0) - greatest(x0, 10.0) > 0 AND least(y1, 200.0) - greatest(y0, 0.0) > 0 AS inside FROM lines"))
 def b21_intersects(spark: SparkSession, sf_dir: str) -> DataFrame:

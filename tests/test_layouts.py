@@ -41,7 +41,7 @@ def test_windows_of_words_in_a_region(spark):
     words = [("b", "w2", [30.0, 0.0, 40.0, 10.0]), ("a", "w1", [0.0, 1.0, 10.0, 9.0]), (" ", "w3", [50.0, 0.0, 60.0, 10.0]), ("far", "w4", [0.0, 100.0, 10.0, 110.0])]
     frame = spark.createDataFrame([(words,)], "words array<struct<text:string,id:string,box:array<double>>>")
     inside = frame.select(B.words_in_region(F.col("words"), F.array(*map(F.lit, (0.0, 0.0, 48.0, 10.0)))).alias("w"))
-    found = inside.select("w", B.word_windows(F.col("w"), 2).alias("c")).first()
+    found = B.word_windows(inside, "w", 2).withColumnRenamed("windows", "c").first()
     assert [w.id for w in found.w] == ["w1", "w2", "w3"]
     assert [(c.text, c.box, c.word_ids) for c in found.c] == [("a", [0.0, 1.0, 10.0, 9.0], ["w1"]), ("a b", [0.0, 0.0, 40.0, 10.0], ["w1", "w2"]), ("b", [30.0, 0.0, 40.0, 10.0], ["w2"]), ("b", [30.0, 0.0, 60.0, 10.0], ["w2", "w3"])]
 
