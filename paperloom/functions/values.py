@@ -49,3 +49,29 @@ def explicit_type(c: Column | str) -> Column:
 def is_active(filters: dict | None) -> bool:
     """Whether any filter is set to something."""
     return any(v not in (None, "", [], ()) for v in (filters or {}).values())
+
+
+#: Fixed patterns of dates in folded text: written out, and in numbers.
+WRITTEN = r"\bngay\s*([0-9]{1,2})\s*thang\s*([0-9]{1,2})\s*(?:nam)?\s*([0-9]{2,4})(?![0-9])"
+NUMBERS = r"(?<![0-9])([0-9]{1,2})\s*[/. -]\s*([0-9]{1,2})\s*[/. -]\s*([0-9]{2,4})(?![0-9])"
+
+
+def _shown(text: Column, pattern: str) -> Column:
+    """dd/mm/yyyy of a pattern's three numbers; two-digit years under 50 are of this century."""
+    day, month, year = (F.regexp_extract(text, pattern, g) for g in (1, 2, 3))
+    short = F.concat(F.when(year.cast("int") < 50, "20").otherwise("19"), year)
+    return F.when(text.rlike(pattern), F.concat_ws("/", F.lpad(day, 2, "0"), F.lpad(month, 2, "0"), F.when(F.length(year) == 2, short).otherwise(F.lpad(year, 4, "0"))))
+
+
+def issue_date(c: Column | str) -> Column:
+    """dd/mm/yyyy of a date in a fixed form, of a date written out or in numbers; text without one stays, null is blank."""
+    text = T.squeeze(F.coalesce(c if isinstance(c, Column) else F.col(c), F.lit("")))
+    whole = {"d/M/yyyy": r"^[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}$", "d-M-yyyy": r"^[0-9]{1,2}-[0-9]{1,2}-[0-9]{4}$", "d.M.yyyy": r"^[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4}$", "yyyy-M-d": r"^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}$", "yyyy/M/d": r"^[0-9]{4}/[0-9]{1,2}/[0-9]{1,2}$"}
+    formed = [F.when(text.rlike(p), F.date_format(F.try_to_timestamp(text, F.lit(f)), "dd/MM/yyyy")) for f, p in whole.items()]
+    folded = T.fold(text)
+    return F.coalesce(*formed, _shown(folded, WRITTEN), _shown(folded, NUMBERS), _shown(text, r"([0-9]{1,2})[/.\-]([0-9]{1,2})[/.\-]([0-9]{2,4})"), text)
+
+
+def pages_to_read(signer: Column, pages: Column) -> Column:
+    """The first page and the signer's; the first alone without one, none of a document without pages."""
+    return F.when(signer.isNotNull(), F.array_sort(F.array_distinct(F.array(F.lit(0), signer)))).when(pages > 0, F.array(F.lit(0)))

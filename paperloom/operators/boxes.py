@@ -183,3 +183,41 @@ def grouped_lines(pages: DataFrame, words: str) -> DataFrame:
         return ([{"ord": o, "line": i, "word": k} for o, i, k in sorted(found)],)
 
     return per_row(pages, of, "places array<struct<ord:bigint,line:int,word:int>>", words)
+
+
+def fields_in_order(df: DataFrame, word_ids: str, words: str, line_order: str) -> DataFrame:
+    """``df`` with ``field``: a field's words by line, then from left to right, their lines, least box, and text by lines.
+
+    ``words`` is the page's array of struct (id, line_id, text, box), ``line_order`` its line ids from top to bottom.  Ids that
+    the page hasn't, and repeats, are left out.
+    """
+
+    def of(ids: list[str] | None, own: list[dict] | None, order: list[str] | None) -> tuple:
+        known, rank = {w["id"]: w for w in own or []}, {x: i for i, x in enumerate(order or [])}
+        found = sorted((known[i] for i in dict.fromkeys(ids or []) if i in known), key=lambda w: (rank.get(w["line_id"], len(rank)), w["box"][0] if w["line_id"] in rank else w["box"][1], w["box"][0]))
+        lines = list(dict.fromkeys(w["line_id"] for w in found if w["line_id"] is not None))
+        text: dict[str | None, list[str]] = {}
+        for w in found:
+            if (w["text"] or "").strip():
+                text.setdefault(w["line_id"], []).append(w["text"].strip())
+        box = [f(w["box"][i] for w in found) for i, f in enumerate((min, min, max, max))] if found else None
+        return ({"word_ids": [w["id"] for w in found], "line_ids": lines, "box": box, "text": "\n".join(" ".join(t) for t in text.values())},)
+
+    return per_row(df, of, f"field struct<word_ids:array<string>,line_ids:array<string>,box:{BOX},text:string>", word_ids, words, line_order)
+
+
+def grid_similarity(rows: DataFrame, key: str, gold: str, found: str, normalized) -> DataFrame:
+    """(key, exact_rate, text_accuracy, same, cells) of two grids of cells, place by place over the larger of both.
+
+    Cells are compared as ``normalized`` makes them; a blank gold cell is like a blank one only.  Two empty grids are the same.
+    """
+    width = lambda c: F.coalesce(F.array_max(F.transform(c, lambda r: F.size(r))), F.lit(0))
+    sized = rows.select(key, gold, found, F.greatest(F.size(gold), F.size(found)).alias("rows__"), F.greatest(width(gold), width(found)).alias("cols__"), ((F.size(gold) == F.size(found)) & (width(gold) == width(found))).alias("shape__"))
+    places = sized.withColumn("r__", F.explode_outer(F.when(F.col("rows__") > 0, F.sequence(F.lit(0), F.col("rows__") - 1)))).withColumn("c__", F.explode_outer(F.when(F.col("cols__") > 0, F.sequence(F.lit(0), F.col("cols__") - 1))))
+    cell = lambda c: normalized(F.coalesce(F.get(F.get(c, F.col("r__")), F.col("c__")), F.lit("")))
+    both = places.select(key, "shape__", F.col("c__").isNotNull().alias("is__"), cell(gold).alias("g__"), cell(found).alias("p__"))
+    n = F.length("g__")
+    like = F.when(n == 0, (F.length("p__") == 0).cast("double")).otherwise(F.greatest(F.lit(0.0), 1 - F.levenshtein("g__", "p__") / n))
+    cells, same = F.count_if("is__"), F.count_if(F.col("is__") & (F.col("g__") == F.col("p__")))
+    ratio = lambda x: F.when(cells > 0, x / cells).otherwise(F.lit(1.0))
+    return both.groupBy(key).agg(ratio(same).alias("exact_rate"), ratio(F.sum(F.when(F.col("is__"), like))).alias("text_accuracy"), (F.first("shape__") & (same == cells)).alias("same"), cells.alias("cells"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import archive, canonical, extraction, further, layout, lifecycle, measures, pagequeries, records, retrieval, rules, texts  # noqa: F401  they register their queries
+from . import annotations, archive, canonical, extraction, further, layout, lifecycle, measures, pagequeries, records, retrieval, rules, texts  # noqa: F401  they register their queries
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -75,10 +75,6 @@ def b12_page_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return own.where(~((F.length("line") < 3) | ((F.length("line") < 12) & ((F.col("a") == 1) | (F.col("z") == 1))))).select("doc_id", "pos")
 
 
-@query(with_archive("SELECT doc_id, pos, regexp_matches(line, '^\\s*([0-9]+(\\.[0-9]+)*[.)]|[IVXLC]+\\.|[a-z]\\)|\\([0-9]+\\)|[-+•])\\s') AS bullet FROM lines"))
-def b14_bullets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lines(spark, sf_dir).select("doc_id", "pos", F.col("line").rlike(r"^\s*([0-9]+(\.[0-9]+)*[.)]|[IVXLC]+\.|[a-z]\)|\([0-9]+\)|[-+•])\s").alias("bullet"))
-
 
 @query(with_archive(f"SELECT doc_id, pos FROM lines WHERE {sql_tokens('line')} = {sql_tokens(chr(39) + 'Anble  ANES.' + chr(39))}"))
 def b16_stamp_keyword(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -96,12 +92,6 @@ def b17_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.top_k(hits, ["doc_id"], [F.col("pos"), F.length("mark").desc(), F.col("mark")], 1).select("doc_id", "mark")
 
 
-@query("SELECT c_custkey, coalesce(nullif(trim(CASE WHEN c_custkey % 2 = 0 THEN '  ' ELSE 'override' END), ''), c_name) AS value FROM customer")
-def b30_overrides(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An override wins unless it is blank."""
-    override = F.when(F.col("c_custkey") % 2 == 0, "  ").otherwise("override")
-    return table(spark, sf_dir, "customer").select("c_custkey", F.coalesce(F.nullif(F.trim(override), F.lit("")), "c_name").alias("value"))
-
 
 @query("SELECT conv_id, max(CASE WHEN role = 'user' THEN text END) AS user_text, max(CASE WHEN role = 'assistant' THEN text END) AS assistant_text FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, role ORDER BY turn) AS r FROM conversations) WHERE r = 1 GROUP BY conv_id")
 def b32_export_row(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -152,15 +142,6 @@ def d16_oracle_candidate(spark: SparkSession, sf_dir: str) -> DataFrame:
 _GRIDS = "(SELECT doc_id, pos AS r, unnest(range(len(string_split(line, ' | '))))::INT AS c, unnest(string_split(line, ' | ')) AS cell FROM lines WHERE contains(line, ' | '))"
 
 
-@query(with_archive(f"SELECT a.doc_id, round(avg((coalesce(a.cell, '') = coalesce(b.cell, ''))::INT), 9)::DOUBLE AS exact FROM {_GRIDS} a FULL JOIN {_GRIDS} b ON a.doc_id = b.doc_id AND a.r = b.r AND a.c = b.c + 1 WHERE a.doc_id IS NOT NULL GROUP BY a.doc_id"))
-def d28_cell_grids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Equal cells of two grids, one shifted by a column."""
-    rows = lines(spark, sf_dir).where(F.contains("line", F.lit(" | ")))
-    cells = rows.select("doc_id", F.col("pos").alias("r"), F.posexplode(F.split("line", r" \| ")).alias("c", "cell"))
-    other = cells.select("doc_id", "r", (F.col("c") + 1).alias("c"), F.col("cell").alias("theirs"))
-    both = cells.join(other, ["doc_id", "r", "c"], "left")
-    return both.groupBy("doc_id").agg(F.round(F.avg((F.coalesce("cell", F.lit("")) == F.coalesce("theirs", F.lit(""))).cast("int")), 9).alias("exact"))
-
 
 @query("SELECT source, count(*)::BIGINT AS n, count(DISTINCT lang)::BIGINT AS labels, min(n_chars) AS least, max(n_chars) AS most, round(avg(n_chars), 6)::DOUBLE AS mean FROM documents GROUP BY source")
 def d37_dataset_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -174,12 +155,6 @@ def d36_status_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").withColumn("kind", kind).groupBy("lang").pivot("kind", ["short", "middle", "long"]).agg(F.count(F.lit(1))).na.fill(0)
 
 
-@query("SELECT conv_id, turn FROM (SELECT *, bool_or(turn = 0) OVER (PARTITION BY conv_id) AS begun FROM conversations) WHERE NOT begun OR turn = 0 OR role = 'assistant'")
-def e10_primary_page(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Where a group has its first page, others keep only trailing kinds."""
-    begun = F.max(F.col("turn") == 0).over(Window.partitionBy("conv_id"))
-    return table(spark, sf_dir, "conversations").withColumn("begun", begun).where("not begun or turn = 0 or role = 'assistant'").select("conv_id", "turn")
-
 
 @query("SELECT l_orderkey, l_returnflag, any_value(pages) AS pages, arg_max(l_linestatus, (total, l_linestatus)) AS best FROM (SELECT l_orderkey, l_returnflag, l_linestatus, sum(l_quantity) AS total, count(*) OVER (PARTITION BY l_orderkey, l_returnflag)::BIGINT AS pages FROM lineitem GROUP BY 1, 2, 3) GROUP BY 1, 2")
 def e14_cardinality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -326,17 +301,6 @@ def k02_matched_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey").join(meta, "o_custkey", "left").select("o_orderkey", F.coalesce("m", F.lit(False)).alias("matched"))
 
 
-@query("SELECT user_id, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id) AS r, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS f FROM events) WHERE r = 1 OR f = 1")
-def l08_selected_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first page and the best one."""
-    w = Window.partitionBy("user_id")
-    own = table(spark, sf_dir, "events").withColumn("r", F.row_number().over(w.orderBy(F.col("value").desc(), "event_id"))).withColumn("f", F.row_number().over(w.orderBy("ts", "event_id")))
-    return own.where("r = 1 or f = 1").select("user_id", "event_id")
-
-
-@query("SELECT label, round(avg(embedding[1]::DOUBLE), 6) AS mean FROM embeddings GROUP BY label")
-def m21_mean_logits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "embeddings").groupBy("label").agg(F.round(F.avg(F.element_at("embedding", 1).cast("double")), 6).alias("mean"))
 
 
 @query("SELECT source, CASE WHEN share > 0.7 THEN 'digital' WHEN share > 0.3 THEN 'scan_low' ELSE 'scan_no_text' END AS kind FROM (SELECT source, avg((n_chars > 800)::INT) AS share FROM documents GROUP BY source)")

@@ -76,12 +76,6 @@ def c15_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines(spark, sf_dir).select("doc_id", "pos", how.alias("how"))
 
 
-@query("SELECT conv_id, array_to_string(list_transform(list_sort(list((turn % 2, length(text), turn))), lambda x: x[3]::VARCHAR), ' ') AS ids FROM conversations GROUP BY conv_id")
-def e23_reading_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ids in the order of their rows and columns."""
-    keyed = F.array_sort(F.collect_list(F.struct((F.col("turn") % 2).alias("r"), F.length("text").alias("c"), "turn")))
-    return table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_join(F.transform(keyed.getField("turn"), lambda t: t.cast("string")), " ").alias("ids"))
-
 
 @query(with_archive("SELECT doc_id, page, round_even(min(x0), 2) AS x0, round_even(min(y0), 2) AS y0, round_even(max(x1) / 3, 2) AS x1, round_even(max(y1) / 3, 2) AS y1 FROM lines GROUP BY doc_id, page"))
 def g16_merged_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -119,14 +113,6 @@ def h27_prefix_stripped(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select("o_orderkey", F.regexp_replace(text, r"(?iu)^\s*s[ốoô][\s:.]*", "").alias("symbol"))
 
 
-@query("SELECT o_orderkey, strftime(o_orderdate, '%d/%m/%Y') AS shown FROM orders")
-def h36_formatted_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Dates given in one of three formats."""
-    turn = F.col("o_orderkey") % 3
-    given = F.when(turn == 0, F.date_format("o_orderdate", "yyyy-MM-dd")).when(turn == 1, F.date_format("o_orderdate", "dd/MM/yyyy")).otherwise(F.date_format("o_orderdate", "dd-MM-yyyy"))
-    parsed = F.coalesce(*[F.try_to_timestamp(F.col("given"), F.lit(f)) for f in ("yyyy-MM-dd", "dd/MM/yyyy", "dd-MM-yyyy")])
-    return table(spark, sf_dir, "orders").select("o_orderkey", given.alias("given")).select("o_orderkey", F.date_format(parsed, "dd/MM/yyyy").alias("shown"))
-
 
 @query(with_archive("SELECT doc_id, pos, (CASE WHEN gap > 14 THEN 2 ELSE 0 END + CASE WHEN before < 300 THEN 1 ELSE 0 END - CASE WHEN regexp_matches(line, '^[a-z]') THEN 2 ELSE 0 END + CASE WHEN regexp_matches(line, '^[A-Z]') THEN 1 ELSE 0 END)::INT AS score FROM (SELECT *, coalesce(y0 - lag(y0) OVER w, 0) AS gap, coalesce(lag(x1) OVER w, 0) AS before FROM lines WINDOW w AS (PARTITION BY doc_id, page ORDER BY pos))"))
 def i37_paragraph_edges(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -89,17 +89,6 @@ def d29_padded_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.join(b, ["s", "i"], "full").groupBy("s").agg(F.round(F.avg(score), 9).alias("score"))
 
 
-@query("SELECT doc, i, CASE WHEN tag = 'O' AND score < 0.3 AND before = after AND before <> '' THEN 'I-' || before ELSE tag END AS repaired FROM (SELECT *, lag(field, 1, '') OVER w AS before, lead(field, 1, '') OVER w AS after FROM (SELECT conv_id AS doc, turn AS i, (length(text) % 100) / 100.0::DOUBLE AS score, (['O', 'B-A', 'I-A', 'I-B'])[length(text) % 4 + 1] AS tag, substr((['O', 'B-A', 'I-A', 'I-B'])[length(text) % 4 + 1], 3) AS field FROM conversations) WINDOW w AS (PARTITION BY doc ORDER BY i))")
-def g11_bridged_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An empty tag of low score between two of one field joins them."""
-    from .measures import _tags
-
-    w = Window.partitionBy("doc").orderBy("i")
-    t = _tags(spark, sf_dir).withColumn("field", F.substring("tag", 3, 100))
-    both = t.withColumn("before", F.lag("field", 1, "").over(w)).withColumn("after", F.lead("field", 1, "").over(w))
-    gap = (F.col("tag") == "O") & (F.col("score") < 0.3) & (F.col("before") == F.col("after")) & (F.col("before") != "")
-    return both.select("doc", "i", F.when(gap, F.concat(F.lit("I-"), "before")).otherwise(F.col("tag")).alias("repaired"))
-
 
 @query("SELECT event_id, json_extract_string(props, '$.k')::BIGINT AS k FROM events")
 def g27_pruned(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -44,24 +44,12 @@ def a22_relevance_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("l_orderkey").agg(F.array_join(F.array_sort(F.collect_set(F.col("l_partkey").cast("string"))), ",").alias("parts"))
 
 
-@query(with_archive("SELECT doc_id, pos FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, page ORDER BY pos) AS a, row_number() OVER (PARTITION BY doc_id, page ORDER BY pos DESC) AS z FROM lines) WHERE regexp_matches(line, '[0-9]') AND (length(line) < 3 OR a = 1 OR z = 1)"))
-def b11_page_number_places(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines with digits where a page number stands."""
-    w = Window.partitionBy("doc_id", "page")
-    own = lines(spark, sf_dir).withColumn("a", F.row_number().over(w.orderBy("pos"))).withColumn("z", F.row_number().over(w.orderBy(F.col("pos").desc())))
-    return own.where(F.col("line").rlike("[0-9]") & ((F.length("line") < 3) | (F.col("a") == 1) | (F.col("z") == 1))).select("doc_id", "pos")
-
 
 @query(with_archive(f"SELECT doc_id, pos FROM lines WHERE NOT regexp_matches({sql_fold('line')}, '^(licensed|this work|the |in )')"))
 def b20_not_boilerplate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines(spark, sf_dir).where(~T.fold("line").rlike("^(licensed|this work|the |in )")).select("doc_id", "pos")
 
 
-@query("SELECT o_orderkey, concat_ws('/', nullif(o_orderpriority, ''), o_orderstatus) AS symbol, coalesce(nullif(o_orderstatus, 'O'), 'open') AS status FROM orders")
-def b31_lossy_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Columns folded into fewer."""
-    return table(spark, sf_dir, "orders").select("o_orderkey", F.concat_ws("/", F.nullif("o_orderpriority", F.lit("")), "o_orderstatus").alias("symbol"), F.coalesce(F.nullif("o_orderstatus", F.lit("O")), F.lit("open")).alias("status"))
-
 
 @query("SELECT source, coalesce(tp / nullif(tp + fp, 0), 0)::DOUBLE AS p, coalesce(tp / nullif(tp + fn, 0), 0)::DOUBLE AS r, coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0)::DOUBLE AS f1 FROM (SELECT source, count(*) FILTER (WHERE n_chars > 900 AND lang = 'en') AS tp, count(*) FILTER (WHERE n_chars > 900 AND lang <> 'en') AS fp, count(*) FILTER (WHERE n_chars <= 900 AND lang = 'en') AS fn FROM documents GROUP BY source)")
 def d20_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:

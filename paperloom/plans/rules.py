@@ -78,25 +78,8 @@ def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", (points + end).alias("score"))
 
 
-@query(f"SELECT * FROM {_VOTES}")
-def e05_page_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _candidates(spark, sf_dir)
 
 
-@query(f"SELECT conv_id, min(turn) AS first, max(turn) AS last, arg_max(turn, (score, -turn)) AS best, CASE WHEN count(*) = 1 THEN 'single' WHEN count(*) <= 3 THEN 'few' ELSE 'many' END AS strategy FROM {_VOTES} GROUP BY conv_id")
-def e06_page_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """First, last and best page, and the strategy by their number."""
-    n = F.count(F.lit(1))
-    best = F.max_by("turn", F.struct("score", (-F.col("turn")).alias("t")))
-    return _candidates(spark, sf_dir).groupBy("conv_id").agg(F.min("turn").alias("first"), F.max("turn").alias("last"), best.alias("best"), F.when(n == 1, "single").when(n <= 3, "few").otherwise("many").alias("strategy"))
-
-
-@query(f"SELECT conv_id, turn, least(1.0, score / 11.0 + CASE WHEN contains(text, 'thin') THEN 0.2 ELSE 0 END)::DOUBLE AS confidence FROM {_VOTES} JOIN conversations USING (conv_id, turn)")
-def e07_boosted_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    named = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.contains("text", F.lit("thin")).alias("named"))
-    both = _candidates(spark, sf_dir).join(named, ["conv_id", "turn"])
-    return both.select("conv_id", "turn", F.least(F.lit(1.0), F.col("score") / 11.0 + F.when(F.col("named"), 0.2).otherwise(0.0)).alias("confidence"))
-
 
 @query("SELECT user_id, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id, g ORDER BY value DESC, event_id) AS r FROM (SELECT *, sum(far) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS g FROM (SELECT *, coalesce((ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) > INTERVAL 1 HOUR)::INT, 1) AS far FROM events))) WHERE r = 1")
 def e12_merged_islands(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -108,11 +91,6 @@ def e12_merged_islands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.top_k(S.islands(ordered, ["user_id"], "o", F.col("far")), ["user_id", "island"], [F.col("value").desc(), F.col("event_id")], 1).select("user_id", "event_id")
 
 
-@query("SELECT event_id, round(value * 2 + CASE event_type WHEN 'click' THEN 5 WHEN 'view' THEN 1 ELSE 0 END - 0.01::DOUBLE * (user_id % 10), 6)::DOUBLE AS score FROM events")
-def e13_instance_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kind = F.when(F.col("event_type") == "click", 5).when(F.col("event_type") == "view", 1).otherwise(0)
-    return table(spark, sf_dir, "events").select("event_id", F.round(F.col("value") * 2 + kind - 0.01 * (F.col("user_id") % 10), 6).alias("score"))
-
 
 @query("SELECT event_id, user_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY value DESC, event_id) AS d FROM (SELECT * FROM events WHERE value >= 5 ORDER BY value DESC, event_id LIMIT 300)) WHERE d = 1 ORDER BY value DESC, event_id LIMIT 100")
 def f02_fuzzy_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -121,29 +99,7 @@ def f02_fuzzy_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.top_k(best, ["user_id", "event_type"], [F.col("value").desc(), F.col("event_id")], 1).orderBy(F.col("value").desc(), "event_id").limit(100).select("event_id", "user_id")
 
 
-@query("WITH g AS (SELECT doc_id, list_sort(list_distinct(string_split(text, ' '))) AS w FROM documents) SELECT a.doc_id, len(list_intersect(a.w, b.w)) > len(a.w) * 0.2 AS target FROM g a JOIN g b ON b.doc_id = a.doc_id + 1")
-def g09_candidate_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Candidates that share enough words with their gold value."""
-    g = table(spark, sf_dir, "documents").select("doc_id", F.array_distinct(F.split("text", " ")).alias("w"))
-    gold = g.select((F.col("doc_id") - 1).alias("doc_id"), F.col("w").alias("v"))
-    return g.join(gold, "doc_id").select("doc_id", (F.size(F.array_intersect("w", "v")) > F.size("w") * 0.2).alias("target"))
-
-
-@query("SELECT conv_id, turn, i::INT AS i, token, (sum(length(token)) OVER (PARTITION BY conv_id, turn ORDER BY i) - length(token))::BIGINT AS start FROM (SELECT conv_id, turn, unnest(range(len(t))) AS i, unnest(t) AS token FROM (SELECT conv_id, turn, regexp_extract_all(text, '[\\p{L}\\p{N}_]+|[^\\p{L}\\p{N}_\\s]') AS t FROM conversations))")
-def g15_split_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Words and marks with the characters before them."""
-    t = F.regexp_extract_all("text", F.lit(r"([\p{L}\p{N}_]+|[^\p{L}\p{N}_\s])"), F.lit(1))
-    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.posexplode(t).alias("i", "token"))
-    w = Window.partitionBy("conv_id", "turn").orderBy("i")
-    return rows.select("conv_id", "turn", "i", "token", (F.sum(F.length("token")).over(w) - F.length("token")).alias("start"))
-
 
-@query("SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem WHERE l_quantity <= 40 UNION ALL SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem x WHERE l_quantity > 30 AND NOT EXISTS (SELECT 1 FROM lineitem y WHERE y.l_quantity <= 40 AND y.l_partkey = x.l_partkey)")
-def g25_auxiliary_union(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All of the first, and of the second what the first has no equal to."""
-    items = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity")
-    first, second = items.where("l_quantity <= 40"), items.where("l_quantity > 30")
-    return first.unionByName(second.join(first.select("l_partkey").distinct(), "l_partkey", "left_anti")).drop("l_quantity")
 
 
 @query("SELECT event_id, coalesce(json_extract_string(props, '$.k')::BIGINT, 0) AS k, 1 AS version, 'none' AS engine FROM events")
