@@ -66,3 +66,28 @@ def committed(df: DataFrame, path: str) -> DataFrame:
     target = f"{path}/version={last + 1}"
     df.write.parquet(target)
     return spark.read.schema(df.schema).parquet(target)
+
+
+def edited(docs: DataFrame, edits: DataFrame, columns: list[str], key: str, annotation: str = "annotation") -> DataFrame:
+    """``docs`` with the columns of ``edits`` in place of their own, and the same texts in their annotation; ``edited`` says where.
+
+    The annotation is JSON with field_instances: those of an edited label keep all but their text, labels without an instance
+    get one if the text isn't blank.  Broken or missing annotations begin anew.  Subjects lose a repeated type at their front
+    elsewhere; here texts come as they are to be stored.
+    """
+    kind = "array<struct<label:string,text:string,page_index:int,bbox:array<double>,field_id:string,score:double,source:string>>"
+    new = edits.select(key, *[F.coalesce(c, F.lit("")).alias(f"{c}__") for c in columns], F.lit(True).alias("edited__"))
+    both = docs.join(new, key, "left")
+    label = lambda c: c.upper()
+    texts = F.create_map(*[x for c in columns for x in (F.lit(label(c)), F.col(f"{c}__"))])
+    own = F.coalesce(F.from_json(F.get_json_object(annotation, "$.field_instances"), kind), F.array().cast(kind))
+    changed = F.transform(own, lambda f: F.when(texts[f.label].isNotNull(), f.withField("text", texts[f.label])).otherwise(f))
+    made = F.array(*[
+        F.struct(F.lit(label(c)).alias("label"), F.col(f"{c}__").alias("text"), F.lit(0).alias("page_index"), F.array(*[F.lit(0.0)] * 4).alias("bbox"), F.lit(f"{c}_user_edit").alias("field_id"), F.lit(1.0).alias("score"), F.lit("user_edit").alias("source"))
+        for c in columns
+    ])
+    added = F.filter(made, lambda f: (f.text != "") & ~F.exists(own, lambda o: o.label == f.label))
+    is_new = F.coalesce("edited__", F.lit(False))
+    json = F.to_json(F.struct(F.concat(changed, added.cast(kind)).alias("field_instances")))
+    value = {**{c: F.when(is_new, F.col(f"{c}__")).otherwise(F.col(c)) for c in columns}, annotation: F.when(is_new, json).otherwise(F.col(annotation))}
+    return both.select(*[value.get(c, F.col(c)).alias(c) for c in docs.columns], is_new.alias("edited"))

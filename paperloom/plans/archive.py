@@ -18,12 +18,6 @@ def a07_sha256(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("sha256"))
 
 
-@query("""SELECT doc_id, substr(sha1(source || '/' || doc_id), 1, 16) AS key, source AS subdir FROM documents""")
-def a19_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Inventory rows with a stable key of the path."""
-    path = F.concat("source", F.lit("/"), F.col("doc_id").cast("string"))
-    return table(spark, sf_dir, "documents").select("doc_id", F.substring(F.sha1(path), 1, 16).alias("key"), F.substring_index(path, "/", 1).alias("subdir"))
-
 
 @query("WITH m AS (SELECT user_id, event_type AS k, value, ts, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events) SELECT user_id, k, value FROM m WHERE r = 1")
 def a05_latest_value(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -94,12 +88,6 @@ def b24_foreign_script(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.col("text").rlike(r"[\p{IsCyrillic}\p{IsGreek}\p{IsArabic}]").alias("foreign_script"))
 
 
-@query(with_archive("""SELECT l.doc_id, l.pos, l.line, d.file_name, d.dossier_id FROM lines l JOIN docs d USING (doc_id) WHERE d.status <> 'deleted' AND length(l.line) >= 12"""))
-def c01_results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hits with the attributes of their documents; short lines are left out."""
-    hits = lines(spark, sf_dir).where(F.length("line") >= 12).select("doc_id", "pos", "line")
-    return hits.join(documents(spark, sf_dir).where("status <> 'deleted'").select("doc_id", "file_name", "dossier_id"), "doc_id")
-
 
 @query(with_archive("""SELECT s.dossier_id, count(d.doc_id)::BIGINT AS n_documents, coalesce(sum(d.page_count), 0)::BIGINT AS n_pages
 FROM (SELECT DISTINCT dossier_id FROM docs) s LEFT JOIN docs d ON d.dossier_id = s.dossier_id AND d.status <> 'deleted' GROUP BY s.dossier_id"""))
@@ -233,15 +221,6 @@ def k10_soft_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("c_custkey", merge.soft_field("c_name", 12).alias("title"), merge.soft_field(F.when(F.col("c_custkey") % 4 == 0, F.lit("  ")).otherwise(F.col("c_mktsegment")), 1000).alias("topic"))
 
 
-@query("SELECT l_orderkey, l_linenumber, rule FROM (SELECT l_orderkey, l_linenumber, 'range' AS rule FROM lineitem WHERE l_quantity > 45 UNION ALL SELECT l_orderkey, l_linenumber, 'domain' FROM lineitem WHERE l_returnflag NOT IN ('A', 'N') UNION ALL SELECT l_orderkey, l_linenumber, 'reference' FROM lineitem WHERE l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_size > 5))")
-def k14_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Range, domain and reference rules, each giving its violations."""
-    items = table(spark, sf_dir, "lineitem")
-    key = ["l_orderkey", "l_linenumber"]
-    parts = table(spark, sf_dir, "part").where("p_size > 5").select(F.col("p_partkey").alias("l_partkey"))
-    found = {"range": items.where("l_quantity > 45"), "domain": items.where("l_returnflag not in ('A', 'N')"), "reference": items.join(parts, "l_partkey", "left_anti")}
-    return merge.violations({name: rows.select(*key) for name, rows in found.items()})
-
 
 @query(with_archive(f"""SELECT doc_id, n::BIGINT AS match_total FROM (SELECT doc_id, (length(t) - length(replace(t, q, ''))) // length(q) AS n FROM (SELECT doc_id, {sql_padded('text')} AS t, {sql_padded("'of the'")} AS q FROM documents)) WHERE n > 0"""))
 def h03_phrase_count(spark: SparkSession, sf_dir: str) -> DataFrame:

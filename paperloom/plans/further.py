@@ -113,12 +113,6 @@ def c10_resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.join(firsts.where("a <> b"), "sha").select("doc_id", F.when(F.col("doc_id") == F.col("a"), F.col("b")).otherwise(F.col("a")).alias("twin"))
 
 
-@query("SELECT item_id, doc_id FROM (SELECT item_id, d.doc_id, row_number() OVER (PARTITION BY item_id ORDER BY d.doc_id) AS r FROM benchmark b JOIN documents d ON d.doc_id % 40 = b.item_id % 40) WHERE r = 1")
-def c17_first_relevant(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each query's first relevant document."""
-    first = table(spark, sf_dir, "documents").groupBy((F.col("doc_id") % 40).alias("k")).agg(F.min("doc_id").alias("doc_id"))
-    return table(spark, sf_dir, "benchmark").select("item_id", (F.col("item_id") % 40).alias("k")).join(first, "k").select("item_id", "doc_id")
-
 
 @query("SELECT event_type, count(*) FILTER (WHERE value < 20)::BIGINT AS early, count(*) FILTER (WHERE value >= 20)::BIGINT AS late FROM events GROUP BY event_type")
 def d14_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:

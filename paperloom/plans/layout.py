@@ -69,12 +69,6 @@ def c12_linked_signers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return greedy.matched(pairs.withColumn("near", 1.0 / (1.0 + F.col("distance"))).select("sheet", F.col("role_ord").cast("long").alias("role_ord"), F.col("name_ord").cast("long").alias("name_ord"), "near"), "sheet", "role_ord", "name_ord", "near")
 
 
-@query(with_archive("SELECT doc_id, pos, CASE WHEN regexp_matches(line, '[0-9]') THEN 'id' WHEN length(line) > 50 THEN 'line' ELSE 'box' END AS how FROM lines"))
-def c15_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """By id, else by line, else by box."""
-    how = F.coalesce(F.when(F.col("line").rlike("[0-9]"), F.lit("id")), F.when(F.length("line") > 50, F.lit("line")), F.lit("box"))
-    return lines(spark, sf_dir).select("doc_id", "pos", how.alias("how"))
-
 
 
 @query(with_archive("SELECT doc_id, page, round_even(min(x0), 2) AS x0, round_even(min(y0), 2) AS y0, round_even(max(x1) / 3, 2) AS x1, round_even(max(y1) / 3, 2) AS y1 FROM lines GROUP BY doc_id, page"))

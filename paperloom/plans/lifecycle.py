@@ -19,19 +19,6 @@ def a20_by_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents(spark, sf_dir).where("fonds = 'en' and dossier_id in ('src1', 'src2')").select("doc_id", "file_name")
 
 
-@query("SELECT conv_id, count(*)::BIGINT AS turns, sum(length(text))::BIGINT AS chars FROM conversations GROUP BY conv_id")
-def a25_enriched(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An annotation put into nested documents as JSON, and read back."""
-    nested = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.to_json(F.struct(F.struct(F.count(F.lit(1)).alias("turns"), F.sum(F.length("text")).alias("chars")).alias("annotations"))).alias("doc"))
-    read = F.from_json("doc", "annotations struct<turns: long, chars: long>")
-    return nested.select("conv_id", read["annotations"]["turns"].alias("turns"), read["annotations"]["chars"].alias("chars"))
-
-
-@query("SELECT conv_id, text AS first FROM conversations WHERE turn = (SELECT min(turn) FROM conversations c WHERE c.conv_id = conversations.conv_id) AND text IS NOT NULL")
-def a27_first_of_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first element of list columns; rows without one go."""
-    lists = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("l"))
-    return lists.select("conv_id", F.get("l", F.lit(0))["text"].alias("first")).dropna()
 
 
 @query(with_archive("SELECT doc_id, mark FROM (SELECT DISTINCT l.doc_id, m.mark FROM lines l, (SELECT unnest(['the', 'and', 'with']) AS mark) m WHERE contains(' ' || line || ' ', ' ' || mark || ' ')) x WHERE NOT EXISTS (SELECT 1 FROM labels b WHERE b.doc_id = x.doc_id AND b.quality = 0)"))

@@ -190,13 +190,6 @@ def g17_page_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines(spark, sf_dir).groupBy("doc_id", "page").agg(F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"), text.alias("text"))
 
 
-@query("SELECT doc_id, source FROM (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY md5(doc_id::VARCHAR), doc_id) AS r FROM documents) WHERE r <= CASE WHEN source < 'src10' THEN 20 WHEN source < 'src15' THEN 45 ELSE 35 END")
-def g20_quota_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A sample by quotas in hash order; the quotas are the feature."""
-    quota = F.when(F.col("source") < "src10", 20).when(F.col("source") < "src15", 45).otherwise(35)
-    order = Window.partitionBy("source").orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id")
-    return table(spark, sf_dir, "documents").select("doc_id", "source", F.row_number().over(order).alias("r")).where(F.col("r") <= quota).drop("r")
-
 
 @query("SELECT l_orderkey, l_linenumber FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_returnflag ORDER BY l_extendedprice DESC, l_linenumber) AS r FROM lineitem) WHERE r <= CASE l_returnflag WHEN 'A' THEN 1 WHEN 'N' THEN 2 ELSE 3 END")
 def f04_pruned(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -212,12 +205,6 @@ def f07_best_candidate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.max_by("l_linenumber", F.struct("l_quantity", "l_extendedprice", (-F.col("l_linenumber")).alias("n"))).alias("best"))
 
 
-@query("SELECT user_id, props, count(*)::BIGINT AS votes, count(DISTINCT event_type)::BIGINT AS models FROM events GROUP BY user_id, props HAVING count(DISTINCT event_type) >= 2")
-def c11_consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Values that several voters agree on."""
-    votes = table(spark, sf_dir, "events").groupBy("user_id", "props").agg(F.count(F.lit(1)).alias("votes"), F.count_distinct("event_type").alias("models"))
-    return votes.where("models >= 2")
-
 
 @query("SELECT user_id, count(*)::BIGINT AS n, count(*) FILTER (WHERE value > 20) = 3 AS complete FROM events GROUP BY user_id")
 def l02_completion(spark: SparkSession, sf_dir: str) -> DataFrame:

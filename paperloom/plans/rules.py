@@ -158,14 +158,6 @@ def b29_body_starts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines(spark, sf_dir).select("doc_id", "pos", (F.startswith(t, F.lit("the ")) | F.startswith(t, F.lit("of "))).alias("body"))
 
 
-@query("SELECT * EXCLUDE (r) FROM (SELECT o_orderkey, o_orderstatus, row_number() OVER (PARTITION BY o_orderkey ORDER BY src DESC) AS r FROM (SELECT o_orderkey, o_orderstatus, 0 AS src FROM orders UNION ALL SELECT o_orderkey, 'X', 1 FROM orders WHERE o_orderkey % 5 = 0)) WHERE r = 1")
-def k09_updated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows after an update of some of them."""
-    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus")
-    new = o.where("o_orderkey % 5 = 0").withColumn("o_orderstatus", F.lit("X"))
-    both = o.withColumn("src", F.lit(0)).unionByName(new.withColumn("src", F.lit(1)))
-    return merge.latest(both, ["o_orderkey"], [F.col("src").desc()]).drop("src")
-
 
 @query(with_archive("SELECT doc_id FROM docs WHERE status <> 'deleted' AND doc_id NOT IN (SELECT doc_id FROM docs WHERE dossier_id = 'src3')"))
 def k05_delete_document(spark: SparkSession, sf_dir: str) -> DataFrame:
