@@ -32,7 +32,7 @@ BAND_ROWS = 5
 #: Least hashes, of all 120, that a pair must share before its sets are compared within a bucket: five standard deviations under 0.8.
 SHARED = 74
 #: Members of one bucket whose sets one task holds, and as many others; larger buckets are compared in pairs of such parts.
-MOST_IN_PART = 2048
+MOST_IN_PART = 256
 #: Members of one part that are compared with as many others at once.
 BLOCK = 256
 #: Hashes whose bits are counted at once.
