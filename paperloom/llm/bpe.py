@@ -27,6 +27,8 @@ _LATIN = "A-Za-zÀ-ÖØ-öø-ÿ"
 _WORD = re.compile(rf"([{_LATIN}]+)([.,;:!?]*)")
 #: Chunks whose ids a task remembers between slices.
 MEMORY = 1 << 17
+#: Bytes of text whose ids and pieces a task holds at once.
+SLICE_BYTES = 4 << 20
 
 
 def split_chunk(chunk: str) -> tuple[str, ...]:
@@ -118,7 +120,7 @@ def _encoded(docs: DataFrame, path: str, head_words: int, schema: str, made) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(shared.value, path)
-        for batch in slices(batches):
+        for batch in slices(batches, most=SLICE_BYTES):
             ids, bounds = encoder.encode(batch.column("text"))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *made(ids, bounds, encoder.decode(ids, bounds))], names=names)
 
