@@ -10,7 +10,6 @@ for the table are encoded by the task, once for all their places in a slice of t
 from __future__ import annotations
 
 import hashlib
-import re
 from collections.abc import Iterator
 from itertools import chain
 
@@ -24,15 +23,17 @@ from .common import slices, small_batches, stage
 from .words import HEAD_WORDS, chunks, head, word_counts
 
 _LATIN = "A-Za-zÀ-ÖØ-öø-ÿ"
-_WORD = re.compile(rf"([{_LATIN}]+)([.,;:!?]*)")
-#: Chunks whose ids a task remembers between slices.
-MEMORY = 1 << 17
+_WORD = rf"^[{_LATIN}]+[.,;:!?]*$"
+_MARKS = ".,;:!?"
+_LETTERS = "".join(map(chr, [*range(65, 91), *range(97, 123), *range(0xC0, 0xD7), *range(0xD8, 0xF7), *range(0xF8, 0x100)]))
 
 
-def split_chunk(chunk: str) -> tuple[str, ...]:
-    """A chunk of Latin-1 letters and closing punctuation is a lower-case word and that punctuation; any other stays whole."""
-    m = _WORD.fullmatch(chunk)
-    return (chunk,) if not m else (m[1].lower(), m[2]) if m[2] else (m[1].lower(),)
+def split_chunks(found: pa.Array) -> list[pa.Array]:
+    """The words of each chunk, place by place: of Latin-1 letters and closing punctuation the word in lower case and the
+    punctuation, of any other the whole chunk and nothing."""
+    plain = pc.match_substring_regex(found, _WORD)
+    word, marks = pc.utf8_lower(pc.utf8_rtrim(found, characters=_MARKS)), pc.utf8_ltrim(found, characters=_LETTERS)
+    return [pc.if_else(plain, word, found), pc.if_else(plain, marks, "")]
 
 
 _LOADED: dict[str, object] = {}
@@ -68,13 +69,29 @@ def encoded_words(counts: DataFrame, path: str) -> DataFrame:
     return counts.mapInArrow(run, "word string, n long, ids array<int>")
 
 
+def runs(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The numbers of all runs, each from its start on, one after another."""
+    ends = np.cumsum(sizes)
+    return np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(starts - (ends - sizes), sizes)
+
+
 class Encoder:
     """Encodes texts by a table of words (word, ids)."""
 
     def __init__(self, table: pa.Table, path: str) -> None:
-        self.ids = dict(zip(table["word"].to_pylist(), map(tuple, table["ids"].to_pylist()), strict=True))
+        lists = table["ids"].combine_chunks()
+        self.words, self.ids = table["word"].combine_chunks(), lists.flatten().to_numpy()
+        self.offsets = lists.offsets.to_numpy().astype(np.int64) - (lists.offsets[0].as_py() if len(lists) else 0)
         self.tokenizer, self.pieces = tokenizer(path), pieces(path)
-        self.seen: dict[str, tuple] = {}
+
+    def rows(self, words: pa.Array) -> tuple[np.ndarray, list[str]]:
+        """The place of each word in the table, and the words that it lacks, whose places follow the table's and an empty one's."""
+        found = pc.index_in(words, value_set=self.words)
+        at = pc.fill_null(found, -1).to_numpy(zero_copy_only=False).astype(np.int64)
+        at[pc.equal(words, "").to_numpy(zero_copy_only=False)] = len(self.words)
+        rare = words.filter(pa.array(at < 0)).dictionary_encode()
+        at[at < 0] = len(self.words) + 1 + rare.indices.to_numpy()
+        return at, rare.dictionary.to_pylist()
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in one array, and where each text's begin and end."""
@@ -82,22 +99,20 @@ class Encoder:
         if not len(flat):
             return np.zeros(0, np.int32), np.zeros(len(texts) + 1, np.int64)
         coded = flat.dictionary_encode()
-        distinct = coded.dictionary.to_pylist()
-        if len(self.seen) > MEMORY:
-            self.seen.clear()
-        new = {c: split_chunk(c) for c in distinct if c not in self.seen}
-        rare = list({w: None for words in new.values() for w in words if w not in self.ids})
-        own = {w: tuple(e.ids) for w, e in zip(rare, self.tokenizer.encode_batch(rare, add_special_tokens=False), strict=True)}
-        known = self.ids
-        self.seen.update((c, tuple(chain.from_iterable(known.get(w) or own.get(w, ()) for w in words))) for c, words in new.items())
-        lists = [self.seen[c] for c in distinct]
-        sizes = np.fromiter(map(len, lists), np.int64, len(lists))
-        ids = np.fromiter(chain.from_iterable(lists), np.int32, int(sizes.sum()))
-        at = coded.indices.to_numpy()
-        each = sizes[at]
+        distinct = coded.dictionary
+        # Two words for each chunk, the second often empty.
+        at, rare = self.rows(pa.concat_arrays(split_chunks(distinct)))
+        own = [e.ids for e in self.tokenizer.encode_batch(rare, add_special_tokens=False)]
+        sizes = np.concatenate([np.diff(self.offsets), [0], np.fromiter(map(len, own), np.int64, len(own))]).astype(np.int64)
+        starts = np.cumsum(sizes) - sizes
+        every = np.concatenate([self.ids, np.fromiter(chain.from_iterable(own), np.int32, int(sizes[len(self.words) + 1 :].sum()))])
+        pairs = at.reshape(2, -1).T.ravel()
+        ids = every[runs(starts[pairs], sizes[pairs])]
+        own_sizes = sizes[pairs].reshape(-1, 2).sum(axis=1)
+        place = coded.indices.to_numpy()
+        each = own_sizes[place]
         ends = np.concatenate([[0], np.cumsum(each)])
-        shift = np.repeat((np.cumsum(sizes) - sizes)[at] - ends[:-1], each)
-        return ids[np.arange(int(ends[-1])) + shift], ends[bounds]
+        return ids[runs((np.cumsum(own_sizes) - own_sizes)[place], each)], ends[bounds]
 
     def decode(self, ids: np.ndarray, bounds: np.ndarray) -> list[str]:
         """The pieces of each text's ids, joined by spaces as the library does for a tokenizer without a decoder."""
@@ -110,7 +125,7 @@ def _encoded(docs: DataFrame, path: str, head_words: int, schema: str, made) ->
     small_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     # Only words that can get into the table are encoded for it.
-    counts = stage(word_counts(docs, split_chunk), "bpe-counts")
+    counts = stage(word_counts(docs, split_chunks), "bpe-counts")
     chosen = head(counts, ["word", "n"], head_words)
     table = encoded_words(spark.createDataFrame(chosen), path).select("word", "ids").toArrow()
     shared = spark.sparkContext.broadcast(table)

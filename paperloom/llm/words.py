@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-from collections import Counter
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -16,8 +15,8 @@ from .common import slices, small_batches
 #: The head has at most so many words of at most so many bytes each: under 40 MB with their values, at any corpus size.
 HEAD_WORDS = 1 << 18
 HEAD_BYTES = 64
-#: Distinct words that a counting task holds before it passes them on.
-HELD = 1 << 18
+#: Words with counts that a counting task holds before it passes them on.
+HELD = 1 << 19
 
 
 def chunks(texts: pa.Array, lower: bool = False) -> tuple[pa.Array, np.ndarray]:
@@ -33,25 +32,27 @@ def chunks(texts: pa.Array, lower: bool = False) -> tuple[pa.Array, np.ndarray]:
     return flat.filter(full), before[offsets - offsets[0]] if len(offsets) else np.zeros(1, np.int64)
 
 
-def word_counts(docs: DataFrame, words_of: Callable[[str], Iterable[str]] = lambda chunk: (chunk,), lower: bool = False) -> DataFrame:
-    """(word string, n long) over all words of all chunks of all texts; counted in each task first, then by one shuffle."""
+def word_counts(docs: DataFrame, words_of: Callable[[pa.Array], list[pa.Array]] = lambda found: [found], lower: bool = False) -> DataFrame:
+    """(word string, n long) over all words of all chunks of all texts; counted in each task first, then by one shuffle.
+
+    ``words_of`` makes arrays of words of an array of chunks, place by place; an empty string is none.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: Counter = Counter()
+        held: list[pa.Table] = []
 
         def out() -> Iterator[pa.RecordBatch]:
-            words = list(held)
-            for i in range(0, len(words), 1 << 16):
-                part = words[i : i + (1 << 16)]
-                yield pa.RecordBatch.from_arrays([pa.array(part, pa.string()), pa.array([held[w] for w in part], pa.int64())], names=["word", "n"])
-            held.clear()
+            if held:
+                summed = pa.concat_tables(held).group_by("word").aggregate([("n", "sum")])
+                yield from summed.rename_columns({"n_sum": "n"}).select(["word", "n"]).to_batches(max_chunksize=1 << 16)
+                held.clear()
 
         for batch in slices(batches):
             counted = pc.value_counts(chunks(batch.column("text"), lower)[0])
-            for chunk, n in zip(counted.field(0).to_pylist(), counted.field(1).to_pylist(), strict=True):
-                for word in words_of(chunk):
-                    held[word] += n
-            if len(held) > HELD:
+            for words in words_of(counted.field(0)):
+                own = pa.table({"word": words, "n": counted.field(1)})
+                held.append(own.filter(pc.not_equal(own["word"], "")))
+            if sum(x.num_rows for x in held) > HELD:
                 yield from out()
         yield from out()
 
