@@ -49,6 +49,8 @@ _WORD = re.compile(r"\w+")
 
 
 def folded_tokens(text: str | None) -> list[str]:
+    if text and text.isascii():
+        return _WORD.findall(text.lower())
     marks = unicodedata.normalize("NFD", text or "")
     return _WORD.findall("".join(c for c in marks if unicodedata.category(c) != "Mn").replace("đ", "d").replace("Đ", "D").lower())
 

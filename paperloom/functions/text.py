@@ -34,8 +34,9 @@ _FROM, _TO = _fold_pairs()
 
 
 def strip_accents(c: Column | str) -> Column:
-    """Canonical decomposition without marks, and plain d for its stroked form; case is kept."""
-    return F.regexp_replace(F.translate(c, _FROM, _TO), r"\p{Mn}", "")
+    """Canonical decomposition without marks, and plain d for its stroked form; case is kept.  ASCII text has nothing to strip."""
+    text = c if isinstance(c, Column) else F.col(c)
+    return F.when(text.rlike(r"[^\x00-\x7F]"), F.regexp_replace(F.translate(text, _FROM, _TO), r"\p{Mn}", "")).otherwise(text)
 
 
 def fold(c: Column | str) -> Column:

@@ -245,18 +245,6 @@ def h20_mojibake(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.withColumn("again", again).select("doc_id", F.when(F.col("again").isNotNull() & (marks("again") < marks("t")), F.col("again")).otherwise(F.col("t")).alias("repaired"))
 
 
-@query(with_archive("SELECT doc_id, pos, CASE WHEN length(line) > m * 1.5 THEN 2 WHEN length(line) > m THEN 1 ELSE 0 END AS emphasis FROM (SELECT *, median(length(line)) OVER (PARTITION BY doc_id, page) AS m FROM lines)"))
-def i08_emphasis(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Flags relative to the page's median."""
-    size = lines(spark, sf_dir).groupBy("doc_id", "page").agg(F.median(F.length("line")).alias("m"))
-    n = F.length("line")
-    return lines(spark, sf_dir).join(size, ["doc_id", "page"]).select("doc_id", "pos", F.when(n > F.col("m") * 1.5, 2).when(n > F.col("m"), 1).otherwise(0).alias("emphasis"))
-
-
-@query(with_archive("SELECT doc_id, pos, least(15, 1 + (dense_rank() OVER (PARTITION BY doc_id, page ORDER BY y0) - 1) // 3)::INT AS bucket FROM lines"))
-def i11_line_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = F.dense_rank().over(Window.partitionBy("doc_id", "page").orderBy("y0"))
-    return lines(spark, sf_dir).select("doc_id", "pos", F.least(F.lit(15), 1 + F.floor((r - 1) / 3)).cast("int").alias("bucket"))
 
 
 @query("SELECT vec_id, round(list_avg(list_transform(embedding[1:32], lambda x: x::DOUBLE)), 6) AS pooled FROM embeddings")

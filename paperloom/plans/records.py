@@ -101,12 +101,6 @@ def g12_field_instances(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.decoded_spans(_tags(spark, sf_dir), ["doc"], "i", "tag", "word", "score").select("doc", "field", "first", "last")
 
 
-@query("SELECT conv_id, turn, i::INT AS i, token FROM (SELECT conv_id, turn, unnest(range(len(t))) AS i, unnest(t) AS token FROM (SELECT conv_id, turn, regexp_extract_all(text, '[\\p{L}\\p{N}_]+|[^\\p{L}\\p{N}_\\s]') AS t FROM conversations))")
-def g14_page_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sub-tokens of all words of a page."""
-    t = F.regexp_extract_all("text", F.lit(r"([\p{L}\p{N}_]+|[^\p{L}\p{N}_\s])"), F.lit(1))
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.posexplode(t).alias("i", "token"))
-
 
 @query("SELECT c_custkey, damerau_levenshtein('building', lower(c_mktsegment)) <= 2 AS near FROM customer")
 def h06_token_match(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -163,10 +157,6 @@ def h33_place_date(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select("o_orderkey", F.concat_ws("/", F.substring(key, 7, 2), F.substring(key, 5, 2), F.substring(key, 1, 4)).alias("parsed"))
 
 
-@query("SELECT conv_id, turn, len(string_split(text, ' '))::BIGINT AS words, least(15, length(text) // 20)::INT AS bucket FROM conversations")
-def i09_style_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.size(F.split("text", " ")).cast("long").alias("words"), F.least(F.lit(15), F.floor(F.length("text") / 20)).cast("int").alias("bucket"))
-
 
 
 @query(f"SELECT item_id, array_to_string(list_filter({sql_tokens('text')}, lambda t: length(t) >= 3 AND NOT regexp_matches(t, '^[0-9]+$')), ' ') AS tokens FROM benchmark")

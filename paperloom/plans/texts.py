@@ -182,12 +182,6 @@ def i17_normalized_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("vec_id", F.round(norm, 6).alias("norm"), F.round(F.element_at("embedding", 1).cast("double") / norm, 6).alias("first"))
 
 
-@query("""SELECT doc_id, length(text)::BIGINT AS chars, length(regexp_replace(text, '[^0-9]', '', 'g'))::BIGINT AS digits, length(regexp_replace(text, '\\P{Lu}', '', 'g'))::BIGINT AS capitals,
-length(regexp_replace(text, '[^,;:.]', '', 'g'))::BIGINT AS stops, (length(text) - length(replace(text, chr(10), '')) + 1)::BIGINT AS n_lines FROM documents""")
-def i32_text_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    left = lambda p: F.length(F.regexp_replace("text", p, "")).cast("long")
-    return table(spark, sf_dir, "documents").select("doc_id", F.length("text").cast("long").alias("chars"), left("[^0-9]").alias("digits"), left(r"\P{Lu}").alias("capitals"), left("[^,;:.]").alias("stops"), (left(r"[^\n]") + 1).alias("n_lines"))
-
 
 @query("SELECT doc_id, CASE WHEN doc_id % 20 < 6 THEN (['find ', 'look for ', 'documents on ', 'search ', 'where is ', 'show '])[doc_id % 20 + 1] || s ELSE s END AS query FROM (SELECT doc_id, string_split(text, chr(10))[1] AS s FROM documents)")
 def m08_query_templates(spark: SparkSession, sf_dir: str) -> DataFrame:

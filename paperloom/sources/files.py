@@ -18,8 +18,26 @@ def write_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
+def read_json_or(spark: SparkSession, path: str, schema: str, default: DataFrame) -> DataFrame:
+    """The records at ``path``, or ``default`` if there is nothing."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    there = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
+    return read_json(spark, path, schema) if there else default
+
+
+#: Begins a CSV file, so that spreadsheets take it for UTF-8.
+MARK = "\ufeff"
+
+
 def write_csv(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").option("header", True).option("encoding", "UTF-8").csv(path)
+    """CSV files with a header and the mark of UTF-8 at their begin; quotes are doubled."""
+    marked = df.withColumnRenamed(df.columns[0], MARK + df.columns[0])
+    marked.write.mode("overwrite").option("header", True).option("encoding", "UTF-8").option("escape", '"').csv(path)
+
+
+def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The rows of CSV files with a header, which isn't compared with the schema's names."""
+    return spark.read.schema(schema).option("header", True).option("enforceSchema", True).option("escape", '"').option("multiLine", True).csv(path)
 
 
 def read_qrels(spark: SparkSession, path: str) -> DataFrame:
