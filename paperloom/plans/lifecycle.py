@@ -21,14 +21,6 @@ def a20_by_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 
-@query(with_archive("SELECT doc_id, mark FROM (SELECT DISTINCT l.doc_id, m.mark FROM lines l, (SELECT unnest(['the', 'and', 'with']) AS mark) m WHERE contains(' ' || line || ' ', ' ' || mark || ' ')) x WHERE NOT EXISTS (SELECT 1 FROM labels b WHERE b.doc_id = x.doc_id AND b.quality = 0)"))
-def b18_rule_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Marks by rule, one of each kind, for documents without an own one."""
-    padded = F.concat(F.lit(" "), "line", F.lit(" "))
-    found = F.filter(F.array(*map(F.lit, ("the", "and", "with"))), lambda m: F.contains(padded, F.concat(F.lit(" "), m, F.lit(" "))))
-    marks = lines(spark, sf_dir).select("doc_id", F.explode(found).alias("mark")).distinct()
-    return marks.join(table(spark, sf_dir, "labels").where("quality = 0").select("doc_id"), "doc_id", "left_anti")
-
 
 @query(with_archive("SELECT doc_id, pos, regexp_matches(line, '[0-9]') OR regexp_matches(line, '[/_\\\\-]') OR regexp_matches(line, '^[A-Z]{2,6}$') AS code FROM lines"))
 def b27_code_like(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -110,19 +110,6 @@ def g26_upgraded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", filled.alias("r")).select("event_id", "r.k", "r.version", "r.engine")
 
 
-@query("SELECT a.l_orderkey, greatest(0.0, 1.0 - abs(coalesce(a.n, 0) - coalesce(b.n, 0)) / greatest(a.n, 1)::DOUBLE) AS score FROM (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1) a LEFT JOIN (SELECT l_orderkey, count(*) AS n FROM lineitem WHERE l_tax > 0.02 GROUP BY 1) b USING (l_orderkey)")
-def d34_table_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Shares of rows that both versions have."""
-    n = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("a"), F.count_if(F.col("l_tax") > 0.02).alias("b"))
-    return n.select("l_orderkey", F.greatest(F.lit(0.0), 1.0 - F.abs(F.col("a") - F.col("b")) / F.greatest("a", F.lit(1))).alias("score"))
-
-
-@query("SELECT lang, a, b, CASE WHEN b - a < -0.03 THEN 'worse' WHEN b - a > 0.03 THEN 'better' ELSE 'same' END AS verdict FROM (SELECT lang, avg((n_chars > 1000)::INT)::DOUBLE AS a, avg((n_chars > 1200)::INT)::DOUBLE AS b FROM documents GROUP BY lang)")
-def d32_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two measures and their difference by a band."""
-    m = table(spark, sf_dir, "documents").groupBy("lang").agg(F.avg((F.col("n_chars") > 1000).cast("int")).alias("a"), F.avg((F.col("n_chars") > 1200).cast("int")).alias("b"))
-    gap = F.col("b") - F.col("a")
-    return m.withColumn("verdict", F.when(gap < -0.03, "worse").when(gap > 0.03, "better").otherwise("same"))
 
 
 
@@ -170,11 +157,6 @@ def k15_no_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").where("l_discount < 0 or l_discount > 0.1 or l_quantity < 1").agg(F.count(F.lit(1)).alias("errors"))
 
 
-@query("SELECT user_id, count(*)::BIGINT AS n, count(*) FILTER (WHERE json_extract_string(props, '$.k') IS NULL)::BIGINT AS failed FROM events GROUP BY user_id")
-def l03_isolated_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows that can't be parsed are counted, not raised."""
-    return table(spark, sf_dir, "events").groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.from_json("props", "k long")["k"].isNull()).alias("failed"))
-
 
 @query("SELECT conv_id, string_agg(role, ' ' ORDER BY turn) AS tokens, string_agg((length(text) % 3)::VARCHAR, ' ' ORDER BY turn) AS labels FROM conversations GROUP BY conv_id")
 def m05_training_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
