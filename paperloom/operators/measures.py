@@ -58,3 +58,20 @@ def retrieval(hits: DataFrame, cuts: tuple[int, ...] = (1, 3, 5, 10), most: int
     """Hit rates at each cut and MRR over queries; ``hits`` (query, rank or null) has each query's first relevant rank."""
     rates = [F.avg(F.when(F.col("rank") <= k, 1.0).otherwise(0.0)).alias(f"recall_at_{k}") for k in cuts]
     return hits.agg(*rates, F.avg(F.when(F.col("rank") <= most, 1.0 / F.col("rank")).otherwise(0.0)).alias("mrr"))
+
+
+def first_relevant(vectors: DataFrame, queries: DataFrame, most: int = 20, block: int = 2048) -> DataFrame:
+    """(q, rank): the rank of each query's first vector of its label among its ``most`` nearest, null if none is.
+
+    ``vectors``: vec_id, embedding, label; ``queries``: q, qe, ql.  Nearest by the dot product to six digits, ties by id; a query isn't its
+    own neighbour.  Queries meet all vectors in blocks that are broadcast, and each task passes on ``most`` of a query.
+    """
+    dot = F.round(F.aggregate(F.zip_with("qe", "embedding", lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda a, x: a + x), 6)
+    blocks = -(-queries.count() // block)
+    found = None
+    for turn in range(max(1, blocks)):
+        own = queries if blocks < 2 else queries.where(F.pmod(F.xxhash64("q"), F.lit(blocks)) == turn)
+        pairs = vectors.crossJoin(F.broadcast(own)).where("vec_id <> q").select("q", "vec_id", (F.col("label") == F.col("ql")).alias("same"), dot.alias("dot"))
+        near = top_k(pairs, ["q"], [F.desc("dot"), F.col("vec_id")], most).where("same").groupBy("q").agg(F.min("rank").alias("rank"))
+        found = near if found is None else found.unionByName(near)
+    return queries.select("q").join(found, "q", "left")

@@ -7,11 +7,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import repair
-from ..functions import text as T
 from ..functions import values
 from ..operators import annotation as A
 from ..operators import boxes as B
-from ..operators.batches import per_row
+from ..operators import candidates as C
 from .bindings import lines, sql_fold, table, with_archive
 from .canonical import line_words
 from .pagequeries import PAGES, planted
@@ -217,3 +216,29 @@ def e23_reading_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     page = rows.select("doc_id", F.transform("x", lambda k: k.w).alias("words"), F.array_distinct(F.transform("x", lambda k: k.pos.cast("string"))).alias("line_order"))
     made = page.withColumn("word_ids", F.reverse(F.transform(F.slice("words", 1, 30), lambda w: w.id)))
     return B.fields_in_order(made, "word_ids", "words", "line_order").select("doc_id", "field.text", F.size("field.line_ids").alias("lines"), F.col("field.box")[2].alias("x1"))
+
+
+def _candidate_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages of planted lines with their words, on 595 by 842 points; a document's last page may be signed."""
+    rows = planted(spark, sf_dir).where("page < 2").withColumn("id", F.concat(F.lit("l"), "ord"))
+    top = F.col("y0") * 842.0
+    box = F.array(F.col("x0") * 595.0, top, F.col("x1") * 595.0, top + 12.0)
+    parts = F.slice(F.filter(F.split("text", " "), lambda w: w != ""), 1, 20)
+    word = lambda w, i: F.struct(F.concat(F.col("id"), F.lit("_"), i).alias("id"), F.col("id").alias("line_id"), i.alias("order"), w.alias("text"), F.lit(True).alias("has_space_after"), F.array(F.col("x0") * 595.0 + i * 30.0, top, F.col("x0") * 595.0 + i * 30.0 + 28.0, top + 12.0).alias("box"))
+    own = rows.withColumn("words", F.transform(parts, word)).withColumn("line", F.struct("id", F.col("ord").alias("order"), "text", box.alias("box"), F.transform("words", lambda w: w.id).alias("word_ids")))
+    pages_ = own.groupBy("doc_id", "page").agg(F.array_sort(F.collect_list(F.struct("ord", "line", "words"))).alias("x"))
+    role = F.when(F.col("page") > 0, "signature").otherwise("primary")
+    return pages_.select("doc_id", "page", F.transform("x", lambda k: k.line).alias("lines"), F.flatten(F.transform("x", lambda k: k.words)).alias("words"), F.lit(595.0).alias("width"), F.lit(842.0).alias("height"), role.alias("role"))
+
+
+@query()
+def g06_line_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of lines where each field may stand."""
+    found = C.candidates(_candidate_pages(spark, sf_dir), sources=("line_span",))
+    return found.groupBy("doc_id", "page", "field").agg(F.count(F.lit(1)).alias("n"), F.max(F.size("line_ids")).alias("longest"))
+
+
+@query()
+def g07_word_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows of words around numbers and dates, and of words like names."""
+    return C.candidates(_candidate_pages(spark, sf_dir), sources=("word_window",)).select("doc_id", "page", "field", "text")

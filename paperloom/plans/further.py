@@ -170,13 +170,6 @@ def f03_top_n(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.top_k(table(spark, sf_dir, "embeddings"), ["label"], [F.element_at("embedding", 1).desc(), F.col("vec_id")], 5).select("vec_id", "label")
 
 
-@query(with_archive("SELECT doc_id, page, first, last FROM (SELECT doc_id, page, pos AS first, unnest(range(pos, least(pos + 2, max(pos) OVER (PARTITION BY doc_id, page)) + 1))::INT AS last FROM lines)"))
-def g06_line_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Spans of one to three lines of a page."""
-    last = F.max("pos").over(Window.partitionBy("doc_id", "page"))
-    own = lines(spark, sf_dir).withColumn("end", F.least(F.col("pos") + 2, last))
-    return own.select("doc_id", "page", F.col("pos").alias("first"), F.explode(F.sequence("pos", "end")).alias("last"))
-
 
 @query("SELECT doc_id, array_to_string(list_sort(list_distinct(regexp_extract_all(text, '[A-Za-z]+'))), ' ') AS words FROM documents")
 def g18_ordered_unique(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -295,5 +288,6 @@ def m22_classified(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT doc_id FROM (SELECT doc_id, quality, row_number() OVER (PARTITION BY quality ORDER BY md5(doc_id::VARCHAR), doc_id) AS r FROM labels) WHERE quality = 1 OR r <= 20")
 def m06_kept_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All positives, and as many negatives as are asked for, in hash order."""
-    r = F.row_number().over(Window.partitionBy("quality").orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id"))
-    return table(spark, sf_dir, "labels").withColumn("r", r).where("quality = 1 or r <= 20").select("doc_id")
+    labels = table(spark, sf_dir, "labels")
+    others = labels.where("quality <> 1").orderBy("quality", F.md5(F.col("doc_id").cast("string")), "doc_id").limit(20)
+    return labels.where("quality = 1").select("doc_id").unionByName(others.select("doc_id"))

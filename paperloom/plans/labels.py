@@ -11,7 +11,7 @@ from ..operators import dataset as D
 from ..operators import labelling as L
 from ..operators import merge
 from ..operators import results as R
-from .bindings import documents, lines, sql_fold, sql_padded, table, with_archive
+from .bindings import documents, sql_fold, sql_padded, table, with_archive
 from .canonical import line_words
 from .registry import query
 

@@ -101,13 +101,10 @@ FROM embeddings q JOIN embeddings d ON q.vec_id % 50 = 0 AND d.vec_id <> q.vec_i
 
 @query(f"SELECT avg((coalesce(rank, 99) <= 1)::INT)::DOUBLE AS recall_at_1, avg((coalesce(rank, 99) <= 3)::INT)::DOUBLE AS recall_at_3, avg((coalesce(rank, 99) <= 5)::INT)::DOUBLE AS recall_at_5, avg((coalesce(rank, 99) <= 10)::INT)::DOUBLE AS recall_at_10, round(avg(CASE WHEN rank <= 20 THEN 1.0::DOUBLE / rank ELSE 0 END), 9) AS mrr FROM ({_NEAREST})")
 def d27_retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Queries are the vectors whose id is divisible by 50, against all vectors; they are few and known beforehand."""
+    """Queries are the vectors whose id is divisible by 50, against all vectors, in blocks."""
     e = table(spark, sf_dir, "embeddings")
     q = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("q"), F.col("embedding").alias("qe"), F.col("label").alias("ql"))
-    pairs = e.crossJoin(F.broadcast(q)).where("vec_id <> q")
-    dot = F.round(F.aggregate(F.zip_with("qe", "embedding", lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda a, x: a + x), 6)
-    ranked = pairs.select("q", "vec_id", (F.col("label") == F.col("ql")).alias("same"), F.row_number().over(Window.partitionBy("q").orderBy(dot.desc(), "vec_id")).alias("r"))
-    first = ranked.where("same").groupBy("q").agg(F.min("r").alias("rank"))
+    first = M.first_relevant(e, q)
     return M.retrieval(first).withColumn("mrr", F.round("mrr", 9))
 
 
@@ -174,14 +171,6 @@ def g13_repaired_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.repaired(_tags(spark, sf_dir), ["doc"], "i").select("doc", "i", "repaired")
 
 
-@query("WITH w AS (SELECT item_id, regexp_extract_all(text, '[A-Za-z]+') AS w FROM benchmark) SELECT item_id, i::INT AS at, n::INT AS n, array_to_string(w[i + 1 : i + n], ' ') AS span FROM (SELECT item_id, w, unnest(range(len(w))) AS i FROM w), (SELECT unnest(range(1, 5)) AS n) WHERE i + n <= len(w)")
-def g07_word_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All windows of one to four words."""
-    w = table(spark, sf_dir, "benchmark").select("item_id", F.regexp_extract_all("text", F.lit("([A-Za-z]+)"), F.lit(1)).alias("w")).where(F.size("w") > 0)
-    at = w.select("item_id", "w", F.explode(F.sequence(F.lit(0), F.size("w") - 1)).alias("at"))
-    n = at.select("item_id", "w", "at", F.explode(F.sequence(F.lit(1), F.least(F.lit(4), F.size("w") - F.col("at")))).alias("n"))
-    return n.select("item_id", "at", "n", F.array_join(F.slice("w", F.col("at") + 1, F.col("n")), " ").alias("span"))
-
 
 @query(with_archive("SELECT doc_id, page, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1, string_agg(line, ' ' ORDER BY pos) AS text FROM lines GROUP BY doc_id, page"))
 def g17_page_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import fuzzy
@@ -56,10 +56,15 @@ def i38_row_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 
+def _sheet() -> Column:
+    """A page of a document."""
+    return F.concat(F.col("doc_id").cast("string"), F.lit("/"), F.col("page").cast("string")).alias("sheet")
+
+
 @query()
 def e17_suppressed_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = lines(spark, sf_dir).select("doc_id", F.col("pos").cast("long").alias("pos"), F.length("line").alias("score"), "x0", "y0", "x1", "y1")
-    return greedy.suppressed(own, "doc_id", "pos", "score", 0.5)
+    own = lines(spark, sf_dir).select(_sheet(), F.col("pos").cast("long").alias("pos"), F.length("line").alias("score"), "x0", "y0", "x1", "y1")
+    return greedy.suppressed(own, "sheet", "pos", "score", 0.5)
 
 
 @query()
@@ -116,8 +121,8 @@ def g19_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def e16_suppressed_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = lines(spark, sf_dir).select("doc_id", F.col("pos").cast("long").alias("pos"), F.length("line").alias("score"), F.col("y0").alias("a"), F.col("y1").alias("b"))
-    return greedy.suppressed_intervals(own, "doc_id", "pos", "score", 0.5)
+    own = lines(spark, sf_dir).select(_sheet(), F.col("pos").cast("long").alias("pos"), F.length("line").alias("score"), F.col("y0").alias("a"), F.col("y1").alias("b"))
+    return greedy.suppressed_intervals(own, "sheet", "pos", "score", 0.5)
 
 
 def _boxes(spark: SparkSession, sf_dir: str) -> DataFrame:

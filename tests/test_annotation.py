@@ -6,6 +6,7 @@ import pytest
 from paperloom.functions import repair, values
 from paperloom.operators import annotation as A
 from paperloom.operators import boxes as B
+from paperloom.operators import candidates as C
 from pyspark.sql import functions as F
 
 PAGES = [
@@ -136,3 +137,27 @@ def test_grid_similarity(spark):
     found = {r.k: r for r in B.grid_similarity(spark.createDataFrame(rows, "k int, g array<array<string>>, p array<array<string>>"), "k", "g", "p", repair.normalize_cell).collect()}
     assert (found[1].exact_rate, found[1].cells, found[1].same) == (0.5, 4, False) and found[1].text_accuracy == pytest.approx((1 + 2 / 3 + 0 + 1) / 4)
     assert (found[2].exact_rate, found[2].text_accuracy, found[2].cells) == (1.0, 1.0, 0) and found[3].same
+
+
+def _page():
+    texts = [("l1", 20.0, 300.0, "CỘNG HÒA XÃ HỘI"), ("l2", 40.0, 20.0, "Số: 12/QĐ ngày"), ("l3", 60.0, 20.0, "Kính gửi: Sở"), ("l4", 600.0, 20.0, "Nơi nhận:"), ("l5", 620.0, 20.0, "- Như trên"), ("l6", 640.0, 300.0, "Nguyễn Văn An"), ("l7", 10.0, 0.0, " ")]
+    words = [{"id": f"{i}_{k}", "line_id": i, "order": k, "text": w, "has_space_after": True, "box": [x + 40.0 * k, y, x + 40.0 * k + 38, y + 12]} for i, y, x, t in texts for k, w in enumerate(t.split())]
+    lines = [{"id": i, "order": n, "text": t, "box": [x, y, x + 40.0 * len(t.split()), y + 12], "word_ids": [f"{i}_{k}" for k in range(len(t.split()))]} for n, (i, y, x, t) in enumerate(texts)]
+    return lines, words
+
+
+def test_field_candidates(spark):
+    lines, words = _page()
+    find = lambda field, source: [c["text"] for c in C.page_candidates((field,), (source,), lines, words, 595.0, 842.0, "primary")]
+    assert find("REGIME_HEADER", "line_span") == ["CỘNG HÒA XÃ HỘI"]  # the next line's centre is too far left
+    assert find("RECIPIENTS", "line_span") == ["Nơi nhận:", "Nơi nhận:\n- Như trên", "Nơi nhận:\n- Như trên\nNguyễn Văn An"]
+    assert find("ADDRESSEE", "line_span") and all("Kính gửi" in t for t in find("ADDRESSEE", "line_span"))
+    assert find("SIGNER_NAME", "word_window") == ["Nguyễn Văn", "Nguyễn Văn An", "Văn An"]
+    assert find("DOC_NUMBER_SYMBOL", "word_window") == []  # the word and its number would have to be one
+    assert find("PLACE_DATE", "word_window") == ["Số:", "Số: 12/QĐ", "Số: 12/QĐ ngày", "12/QĐ", "12/QĐ ngày", "ngày"]
+    assert [C.like_name(t) for t in ("Nguyễn Văn An", "nguyễn văn an", "Nguyễn", "A B C D E F G", "Trần 2 An", "NGUYỄN VĂN an")] == [True, False, False, False, False, True]
+    line = "array<struct<id:string,order:int,text:string,box:array<double>,word_ids:array<string>>>"
+    word = "array<struct<id:string,line_id:string,order:int,text:string,has_space_after:boolean,box:array<double>>>"
+    frame = spark.createDataFrame([(1, lines, words, 595.0, 842.0, "primary"), (2, None, None, 595.0, 842.0, "signature")], f"doc_id int, lines {line}, words {word}, width double, height double, role string")
+    found = C.candidates(frame, ("SIGNER_NAME",))
+    assert found.columns[0] == "doc_id" and {r.source for r in found.collect()} == {"line_span", "word_window"} and {r.doc_id for r in found.collect()} == {1}
