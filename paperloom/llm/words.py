@@ -16,7 +16,7 @@ from .common import slices, small_batches
 HEAD_WORDS = 1 << 18
 HEAD_BYTES = 64
 #: Words with counts that a counting task holds before it passes them on.
-HELD = 1 << 19
+HELD = 1 << 18
 
 
 def chunks(texts: pa.Array, lower: bool = False) -> tuple[pa.Array, np.ndarray]:
@@ -43,7 +43,7 @@ def word_counts(docs: DataFrame, words_of: Callable[[pa.Array], list[pa.Array]]
 
         def out() -> Iterator[pa.RecordBatch]:
             if held:
-                summed = pa.concat_tables(held).group_by("word").aggregate([("n", "sum")])
+                summed = pa.concat_tables(held).group_by("word", use_threads=False).aggregate([("n", "sum")])
                 yield from summed.rename_columns({"n_sum": "n"}).select(["word", "n"]).to_batches(max_chunksize=1 << 16)
                 held.clear()
 
