@@ -18,6 +18,18 @@ def windowed_counts(events: DataFrame, late: str = "10 minutes", size: str = "1
     return counted.agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total")).select(F.col("w.start").alias("begin"), "event_type", "n", "total")
 
 
+def sliding_counts(events: DataFrame, late: str = "10 minutes", size: str = "1 hour", step: str = "20 minutes") -> DataFrame:
+    """Events of windows that overlap, one begun each ``step``; batch and stream alike."""
+    timed = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
+    return timed.groupBy(F.window("ts", size, step).alias("w")).agg(F.count(F.lit(1)).alias("n")).select(F.col("w.start").alias("begin"), "n")
+
+
+def session_counts(events: DataFrame, key: str = "user_id", late: str = "10 minutes", gap: str = "30 minutes") -> DataFrame:
+    """(key, begin, end, n): sessions of events no further apart than ``gap``; batch and stream alike."""
+    timed = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
+    return timed.groupBy(key, F.session_window("ts", gap).alias("w")).agg(F.count(F.lit(1)).alias("n")).select(key, F.col("w.start").alias("begin"), F.col("w.end").alias("end"), "n")
+
+
 def completed(pages: DataFrame, late: str = "1 day") -> DataFrame:
     """Files all of whose ``num_pages`` pages have come, each page once."""
     arrived = pages.withWatermark("ts", late).groupBy("file_id", "num_pages").agg(F.approx_count_distinct("page", 0.01).alias("pages")) if pages.isStreaming else pages.groupBy("file_id", "num_pages").agg(F.count_distinct("page").alias("pages"))
