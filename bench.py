@@ -12,7 +12,7 @@ from paperloom.plans import catalog
 
 HEADLINE = (
     "h03_phrase_count", "j06_bm25", "j10_exact", "j02_postings", "c02_dossiers", "d02_dashboard", "d07_dossier_rollup", "d10_threshold_sweep", "d27_retrieval", "e01_segments",
-    "e03_starts", "g01_instance_ids", "g10_label_spans", "g17_page_boxes", "h02_tokens", "h11_sliding_words", "h12_chunks", "i14_split", "k07_cascade_delete", "k14_violations",
+    "e03_starts", "g01_instance_ids", "g10_label_spans", "g17_page_boxes", "h02_tokens", "h11_sliding_words", "h12_chunks", "i14_split", "k07_cascade_delete", "k14_validated",
 )
 
 
