@@ -6,10 +6,13 @@ import re
 import unicodedata
 from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from .batches import per_row
+from .batches import arrow_types, parts
 
 #: For each field the most lines and words of a candidate; no words, no windows.
 MOST = {
@@ -22,7 +25,10 @@ ANCHOR = {"DOC_NUMBER_SYMBOL": re.compile(r"\bso\s*[:.]?\s*[\w/-]+"), "PLACE_DAT
 SIGNATURE = "signature"
 NAME_WORDS = (2, 6)
 
-CANDIDATE = "struct<field:string,source:string,line_ids:array<string>,word_ids:array<string>,text:string,box:array<double>>"
+TYPES = {"field": "string", "source": "string", "line_ids": "array<string>", "word_ids": "array<string>", "text": "string", "box": "array<double>", "n_lines": "int"}
+COLUMNS = ("field", "source", "line_ids", "word_ids", "text", "box")
+#: Short candidates in one batch; of whole ones a 64th.
+AT_ONCE = 1 << 16
 
 
 def folded(text: str) -> str:
@@ -30,15 +36,29 @@ def folded(text: str) -> str:
     return " ".join("".join(c for c in marks if unicodedata.category(c) != "Mn").lower().split())
 
 
-def may_stand(field: str, box: list[float], width: float, height: float, role: str, text: str) -> bool:
-    """Whether a field may stand in a box of a page of such a role; ``text`` is folded."""
-    w, h = max(width, 1.0), max(height, 1.0)
+def may_stand(field: str, box: list, width: float | np.ndarray, height: float | np.ndarray, signature: bool | np.ndarray, recipients: bool | np.ndarray) -> bool | np.ndarray:
+    """Whether a field may stand in a box, on a page for signatures or not, whose text has the recipients' word or not; of arrays, each."""
+    w, h = np.maximum(width, 1.0), np.maximum(height, 1.0)
     left, middle, top, bottom, centre = box[0] / w, (box[0] + box[2]) / 2 / w, box[1] / h, box[3] / h, (box[1] + box[3]) / 2 / h
-    late = (bottom > 0.40 or role == SIGNATURE) and (middle > 0.15 or left > 0.08)
-    return {
-        "REGIME_HEADER": top < 0.32 and middle > 0.42, "ISSUE_ORG_SUPERIOR": top < 0.36 and middle < 0.72, "ISSUE_ORG_NAME": top < 0.36 and middle < 0.72, "DOC_NUMBER_SYMBOL": top < 0.45, "PLACE_DATE": top < 0.45 or role == SIGNATURE,
-        "DOC_SUBJECT": centre < 0.60, "ADDRESSEE": top < 0.75, "RECIPIENTS": bottom > 0.42 or bool(RECIPIENTS.search(text)), "SIGNER_ROLE": late, "SIGNER_NAME": late and not RECIPIENTS.search(text),
-    }.get(field, True)
+    match field:
+        case "REGIME_HEADER":
+            return (top < 0.32) & (middle > 0.42)
+        case "ISSUE_ORG_SUPERIOR" | "ISSUE_ORG_NAME":
+            return (top < 0.36) & (middle < 0.72)
+        case "DOC_NUMBER_SYMBOL":
+            return top < 0.45
+        case "PLACE_DATE":
+            return (top < 0.45) | signature
+        case "DOC_SUBJECT":
+            return centre < 0.60
+        case "ADDRESSEE":
+            return top < 0.75
+        case "RECIPIENTS":
+            return (bottom > 0.42) | recipients
+        case "SIGNER_ROLE" | "SIGNER_NAME":
+            late = ((bottom > 0.40) | signature) & ((middle > 0.15) | (left > 0.08))
+            return late if field == "SIGNER_ROLE" else late & np.logical_not(recipients)
+    return top == top
 
 
 def like_name(text: str) -> bool:
@@ -54,16 +74,59 @@ def _union(boxes: list[list[float]]) -> list[float]:
     return [f(b[i] for b in boxes) for i, f in enumerate((min, min, max, max))]
 
 
-def line_spans(field: str, lines: list[dict], width: float, height: float, role: str) -> Iterator[dict]:
-    """Runs of up to the field's most lines, from top to bottom; recipients begin with their word."""
-    for a, first in enumerate(lines):
-        if field == "RECIPIENTS" and not RECIPIENTS.search(folded(first["text"])):
-            continue
-        for b in range(a, min(len(lines), a + MOST[field][0])):
-            own = lines[a : b + 1]
-            box, text = _union([x["box"] for x in own]), "\n".join(x["text"] for x in own)
-            if may_stand(field, box, width, height, role, folded(text)):
-                yield {"field": field, "source": "line_span", "line_ids": [x["id"] for x in own], "word_ids": list(dict.fromkeys(w for x in own for w in x["word_ids"] or [])), "text": text, "box": box}
+def _ends(folded_lines: list[list[str]], pattern: re.Pattern) -> list[int]:
+    """For each line of several pages the last line, by its number over all, of the first match that begins there or later on its page; far away without one.
+
+    A run of lines has a match if that line is no later than its last.
+    """
+    out: list[int] = []
+    for page in folded_lines:
+        starts, at = [], 0
+        for x in page:  # empty lines add nothing to a run's text
+            starts.append(at)
+            at += len(x) + 1 if x else 0
+        own, base = [1 << 60] * len(page), len(out)
+        for m in pattern.finditer(" ".join(filter(None, page))):
+            first, last = (max(i for i, s in enumerate(starts) if s <= k and page[i]) for k in (m.start(), m.end() - 1))
+            own[first] = min(own[first], base + last)
+        for i in range(len(own) - 2, -1, -1):
+            own[i] = min(own[i], own[i + 1])
+        out += own
+    return out
+
+
+def line_spans(fields: tuple[str, ...], pages: list[list[dict]], width: list[float], height: list[float], role: list[str]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(field's number, first line, lines, whether they hold the word of address) of runs of up to the field's most lines, from top to bottom; recipients begin with their word.
+
+    ``pages`` are the shown lines (text, box) of several pages; a line's number counts over all of them.  All runs of one
+    length are measured at once.
+    """
+    sizes = [len(x) for x in pages]
+    if not sum(sizes):
+        return
+    end = np.repeat(np.cumsum(sizes), sizes)
+    w, h = (np.repeat(np.array(x, float), sizes) for x in (width, height))
+    signature = np.repeat(np.array([r == SIGNATURE for r in role]), sizes)
+    text = [[folded(x["text"]) for x in page] for page in pages]
+    named, to = np.array(_ends(text, RECIPIENTS)), np.array(_ends(text, re.compile(ADDRESSEE)))
+    begins = np.array([bool(RECIPIENTS.search(x)) for page in text for x in page])
+    own = np.array([x["box"] for page in pages for x in page], float).T
+    box, first = own.copy(), np.arange(len(end))
+    for n in range(1, max(MOST[f][0] for f in fields) + 1):
+        keep = first + n <= end[first]
+        first, box = first[keep], box[:, keep]
+        if not len(first):
+            break
+        last = first + n - 1
+        box = np.concatenate([np.minimum(box[:2], own[:2, last]), np.maximum(box[2:], own[2:, last])])
+        has = named[first] <= last
+        for k, field in enumerate(fields):
+            if n <= MOST[field][0]:
+                stands = may_stand(field, box, w[first], h[first], signature[first], has)
+                if field == "RECIPIENTS":
+                    stands = stands & begins[first]
+                at = first[stands]
+                yield k, at, np.full(len(at), n), to[at] <= at + n - 1
 
 
 def _starts(field: str, words: list[dict]) -> Iterator[tuple[int, int]]:
@@ -95,32 +158,101 @@ def word_windows(field: str, lines: list[dict], words: dict[str, dict], width: f
                 if name and not (NAME_WORDS[0] <= len(part) <= NAME_WORDS[1] and like_name(text)):
                     continue
                 box = _union([w["box"] for w in part])
-                if may_stand(field, box, width, height, role, folded(text)):
+                if may_stand(field, box, width, height, role == SIGNATURE, bool(RECIPIENTS.search(folded(text)))):
                     yield {"field": field, "source": "word_window", "line_ids": list(dict.fromkeys(w["line_id"] for w in part)), "word_ids": [w["id"] for w in part], "text": text, "box": box}
 
 
+def _whole(field: str, lines: list[dict]) -> dict:
+    return {"field": field, "source": "line_span", "line_ids": [x["id"] for x in lines], "word_ids": _words(lines), "text": "\n".join(x["text"] for x in lines), "box": _union([x["box"] for x in lines])}
+
+
+def _words(lines: list[dict]) -> list[str]:
+    return list(dict.fromkeys(w for x in lines for w in x["word_ids"] or []))
+
+
+def _shown(lines: list[dict] | None) -> list[dict]:
+    return sorted((x for x in lines or [] if (x["text"] or "").strip()), key=lambda x: (round(x["box"][1], 2), round(x["box"][0], 2), x["order"]))
+
+
+def _distinct(lines: list[dict]) -> bool:
+    """Whether every line has words and no word stands twice: then no two runs of lines have equal words."""
+    words = [w for x in lines for w in x["word_ids"] or []]
+    return len(set(words)) == len(words) and all(x["word_ids"] for x in lines)
+
+
+def pages_candidates(fields: tuple[str, ...], sources: tuple[str, ...], lines: list, words: list, width: list, height: list, role: list) -> tuple[list[list[dict]], list[np.ndarray], list[tuple[int, dict]]]:
+    """The shown lines of several pages, (page, field's number, first line on the page, lines) of their runs as arrays, and (page, candidate) of windows of words.
+
+    Of equal words of one field the first stays, runs before windows; with a word of address on the page, only addresses with it.
+    """
+    shown = [_shown(x) for x in lines]
+    base = np.cumsum([0, *map(len, shown)])
+    runs = [*line_spans(fields, shown, width, height, role)] if "line_span" in sources else []
+    field, first, n, told = (np.concatenate([np.zeros(0, np.int64), *x]) for x in ([np.full(len(x[1]), x[0]) for x in runs], *([x[i] for x in runs] for i in (1, 2, 3))))
+    page = np.searchsorted(base, first, "right") - 1
+    first = first - base[page]
+    repeated = [i for i, x in enumerate(shown) if not _distinct(x)]
+    windows: list[tuple[int, dict]] = []
+    seen: dict[tuple, set] = {}
+    if repeated:
+        keep = np.ones(len(page), bool)
+        for i in sorted(np.flatnonzero(np.isin(page, repeated)).tolist(), key=lambda i: (page[i], field[i], first[i], n[i])):
+            own, key = seen.setdefault((int(page[i]), int(field[i])), set()), tuple(_words(shown[page[i]][first[i] : first[i] + n[i]]))
+            keep[i] = key not in own
+            own.add(key)
+        page, field, first, n, told = page[keep], field[keep], first[keep], n[keep], told[keep]
+    address = field == (fields.index("ADDRESSEE") if "ADDRESSEE" in fields else -1)
+    keep = ~address | (told > 0) | ~np.isin(page, page[address & (told > 0)])
+    page, field, first, n = page[keep], field[keep], first[keep], n[keep]
+    if "word_window" in sources:
+        for i in np.flatnonzero(n == 1).tolist():  # where no words repeat, a window can only be like a whole line
+            seen.setdefault((int(page[i]), int(field[i])), set()).add(tuple(_words(shown[page[i]][first[i] : first[i] + 1])))
+        for p, own in enumerate(shown):
+            known = {w["id"]: w for w in words[p] or []}
+            for k, name in enumerate(fields):
+                for c in word_windows(name, own, known, width[p], height[p], role[p]) if MOST[name][1] else ():
+                    had = seen.setdefault((p, k), set())
+                    if tuple(c["word_ids"]) not in had:
+                        had.add(tuple(c["word_ids"]))
+                        windows.append((p, c))
+    return shown, [page, field, first, n], windows
+
+
 def page_candidates(fields: tuple[str, ...], sources: tuple[str, ...], lines: list[dict] | None, words: list[dict] | None, width: float, height: float, role: str) -> list[dict]:
-    """A page's candidates, of equal words of one field the first; with a word of address on the page, only addresses with it."""
-    shown = sorted((x for x in lines or [] if (x["text"] or "").strip()), key=lambda x: (round(x["box"][1], 2), round(x["box"][0], 2), x["order"]))
-    known, out = {w["id"]: w for w in words or []}, []
-    for field in fields:
-        made = [*line_spans(field, shown, width, height, role)] if "line_span" in sources else []
-        made += word_windows(field, shown, known, width, height, role) if "word_window" in sources and MOST[field][1] else []
-        first: dict[tuple, dict] = {}
-        for c in made:
-            first.setdefault(tuple(c["word_ids"]), c)
-        own = list(first.values())
-        if field == "ADDRESSEE" and any(ADDRESSEE in folded(c["text"]) for c in own):
-            own = [c for c in own if ADDRESSEE in folded(c["text"])]
-        out += own
-    return out
+    """A page's candidates by field, runs of lines before windows."""
+    shown, (_, field, first, n), windows = pages_candidates(fields, sources, [lines], [words], [width], [height], [role])
+    made = [(k, 0, a, m, _whole(fields[k], shown[0][a : a + m])) for k, a, m in zip(field.tolist(), first.tolist(), n.tolist(), strict=True)]
+    made += [(fields.index(c["field"]), 1, i, 0, c) for i, (_, c) in enumerate(windows)]
+    return [x[-1] for x in sorted(made, key=lambda x: x[:4])]
 
 
-def candidates(pages: DataFrame, fields: tuple[str, ...] = tuple(MOST), sources: tuple[str, ...] = ("line_span", "word_window")) -> DataFrame:
+def candidates(pages: DataFrame, fields: tuple[str, ...] = tuple(MOST), sources: tuple[str, ...] = ("line_span", "word_window"), columns: tuple[str, ...] = COLUMNS) -> DataFrame:
     """(pages' other columns, field, source, line_ids, word_ids, text, box) of ``pages`` (lines, words, width, height, role).
 
     ``lines``: array of struct (id, order, text, box, word_ids); ``words``: (id, line_id, order, text, has_space_after, box).  The role is primary or signature.
+    ``columns`` says which to make, ``n_lines`` too; a run's text and words are many times the page, so only who reads them should ask.
     """
     kept = [c for c in pages.columns if c not in ("lines", "words", "width", "height", "role")]
-    made = per_row(pages, lambda x, w, a, b, r: (page_candidates(fields, sources, x, w, a, b, r),), f"candidates array<{CANDIDATE}>", "lines", "words", "width", "height", "role")
-    return made.select(*kept, F.inline("candidates"))
+    needed = ["lines", *(["words"] if "word_window" in sources else []), "width", "height", "role"]
+    made = StructType.fromDDL(", ".join(f"`{c}` {TYPES[c]}" for c in columns))
+    types, slim = arrow_types(made), not {"line_ids", "word_ids", "text", "box"} & {*columns}
+    short = {"field": lambda k, n: pa.array(fields).take(pa.array(k)), "source": lambda k, n: pa.array(["line_span"] * len(k)), "n_lines": lambda k, n: pa.array(n, pa.int32())}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in parts(batches):
+            words = batch.column("words").to_pylist() if "words" in needed else []
+            shown, (page, field, first, n), windows = pages_candidates(fields, sources, batch.column("lines").to_pylist(), words, *(batch.column(c).to_pylist() for c in ("width", "height", "role")))
+            for a in range(0, len(page), AT_ONCE if slim else AT_ONCE // 64):
+                p, k, f, m = (x[a : a + (AT_ONCE if slim else AT_ONCE // 64)] for x in (page, field, first, n))
+                if slim:
+                    own = [short[c](k, m).cast(t) for c, t in zip(columns, types, strict=True)]
+                else:
+                    rows = [_whole(fields[x], shown[i][b : b + d]) | {"n_lines": d} for i, x, b, d in zip(p.tolist(), k.tolist(), f.tolist(), m.tolist(), strict=True)]
+                    own = [pa.array([r[c] for r in rows], t) for c, t in zip(columns, types, strict=True)]
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).take(pa.array(p)) for c in kept), *own], names=[*kept, *columns])
+            for a in range(0, len(windows), AT_ONCE // 64):
+                part = windows[a : a + AT_ONCE // 64]
+                own = [pa.array([len(c["line_ids"]) if x == "n_lines" else c[x] for _, c in part], t) for x, t in zip(columns, types, strict=True)]
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).take(pa.array([p for p, _ in part])) for c in kept), *own], names=[*kept, *columns])
+
+    return pages.select(*kept, *needed).mapInArrow(run, StructType([pages.schema[c] for c in kept] + made.fields))
