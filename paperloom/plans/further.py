@@ -223,8 +223,9 @@ def h34_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT doc_id, upper(left(s, 1)) || substr(s, 2) AS sentence FROM (SELECT doc_id, lower(string_split(text, chr(10))[1]) AS s FROM documents)")
 def h17_sentence_case(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = F.lower(F.element_at(F.split("text", "\n"), 1))
-    return table(spark, sf_dir, "documents").select("doc_id", F.concat(F.upper(F.left(s, F.lit(1))), F.expr("substr(lower(element_at(split(text, '\\n'), 1)), 2)")).alias("sentence"))
+    """First lines in lower case with a capital; each character by its own simple mapping, so their number stays."""
+    s = table(spark, sf_dir, "documents").select("doc_id", T.simple_lower(F.element_at(F.split("text", "\n"), 1)).alias("s"))
+    return s.select("doc_id", F.concat(T.simple_upper(F.substring("s", 1, 1)), F.expr("substr(s, 2)")).alias("sentence"))
 
 
 @query("SELECT doc_id, text AS repaired FROM documents")

@@ -62,3 +62,8 @@ def _same(spark, tmp_path, name, rows):
 
 def test_instance_ids_of_over_a_thousand_copies(spark, tmp_path):
     _same(spark, tmp_path, "g01_instance_ids", [(i, "a") for i in range(1015)] + [(2000, "b")])
+
+
+def test_sentence_case_of_characters_with_several_capitals(spark, tmp_path):
+    odd = [c for c in map(chr, range(0x100, 0x10000)) if not 0xD800 <= ord(c) < 0xE000 and (len(c.upper()) > 1 or len(c.lower()) > 1)]
+    _same(spark, tmp_path, "h17_sentence_case", list(enumerate([f"{c}aß {c}" for c in (*odd, "ß", "ẞ", "Σ", "é", "x")] + ["ΑΣ", "ΑΣ. ΒΣ\nΣ", "İİ", "", "Ssa"])))
