@@ -232,7 +232,8 @@ def h17_sentence_case(spark: SparkSession, sf_dir: str) -> DataFrame:
 def h20_mojibake(spark: SparkSession, sf_dir: str) -> DataFrame:
     """UTF-8 read as Latin-1 is read again; texts that are not such stay."""
     broken = F.when(F.col("doc_id") % 2 == 0, F.decode(F.encode("text", "UTF-8"), "ISO-8859-1")).otherwise(F.col("text"))
-    marks = lambda c: F.length(F.regexp_replace(c, "[^ÂÃÄÅ]", ""))
+    # A lead byte with a byte that continues it: in UTF-8 read as Latin-1 one for each character beyond ASCII, in what it stood for half as many at most.
+    marks = lambda c: F.regexp_count(c, F.lit("[\u00c2-\u00f4][\u0080-\u00bf]"))
     d = table(spark, sf_dir, "documents").select("doc_id", broken.alias("t"))
     fits = ~F.col("t").rlike("[^\u0000-ÿ]")
     again = F.when(fits, F.try_validate_utf8(F.expr("cast(encode(t, 'ISO-8859-1') as string)")))

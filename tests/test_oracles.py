@@ -67,3 +67,8 @@ def test_instance_ids_of_over_a_thousand_copies(spark, tmp_path):
 def test_sentence_case_of_characters_with_several_capitals(spark, tmp_path):
     odd = [c for c in map(chr, range(0x100, 0x10000)) if not 0xD800 <= ord(c) < 0xE000 and (len(c.upper()) > 1 or len(c.lower()) > 1)]
     _same(spark, tmp_path, "h17_sentence_case", list(enumerate([f"{c}aß {c}" for c in (*odd, "ß", "ẞ", "Σ", "é", "x")] + ["ΑΣ", "ΑΣ. ΒΣ\nΣ", "İİ", "", "Ssa"])))
+
+
+def test_mojibake_of_all_characters(spark, tmp_path):
+    texts = ["ÄAU, ÖL", "ÄÅÂÃ", "Äau Äau", "â Î", "Ġœ – „ß“", "ɐ 中 😀", "CAFÉ »", "plain", "é", ""]
+    _same(spark, tmp_path, "h20_mojibake", [(2 * i + k, t) for i, t in enumerate(texts) for k in range(2)])
