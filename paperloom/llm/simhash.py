@@ -29,12 +29,16 @@ SIMILAR = (4, 5)
 #: Least hashes are cut into bands; sets that agree in one band are compared.  At 0.8, (1 - 0.8 ** 5) ** 24, or 0.007 %, agree in none.
 BANDS = 24
 BAND_ROWS = 5
+#: Differing bits of fingerprints of shingle sets from which a pair is a candidate whatever its least hashes; it must share a mask.
+NEAR_BITS = 3
 #: Least hashes, of all 120, that a pair must share before its sets are compared within a bucket: five standard deviations under 0.8.
 SHARED = 74
 #: Members of one bucket whose sets one task holds, and as many others; larger buckets are compared in pairs of such parts.
 MOST_IN_PART = 256
 #: Members of one part that are compared with as many others at once.
 BLOCK = 256
+#: Bits in the map of nodes whose sets are needed; the more nodes, the more sets are made in vain.
+NODE_BITS = 1 << 24
 #: Hashes whose bits are counted at once.
 AT_ONCE = 1 << 16
 _DRAWN = np.random.default_rng(SEED).integers(0, 2**64, (2, BANDS * BAND_ROWS), np.uint64)
@@ -99,14 +103,26 @@ def shingle_set(text: str | None, hashes: dict[bytes, int]) -> tuple[int, np.nda
 
     Words are in lower case and without ASCII punctuation.  Fewer than five words are one shingle, none are no shingle.
     """
-    words = (text or "").lower().encode("utf-8", "surrogatepass").translate(_PLAIN).split()
-    whole = xxhash.xxh64_intdigest(b" ".join(words), SEED)
+    words = plain_words(text)
+    whole = whole_hash(words)
+    return whole, shingle_set_of(words, whole, hashes)
+
+
+def plain_words(text: str | None) -> list[bytes]:
+    return (text or "").lower().encode("utf-8", "surrogatepass").translate(_PLAIN).split()
+
+
+def whole_hash(words: list[bytes]) -> int:
+    return xxhash.xxh64_intdigest(b" ".join(words), SEED)
+
+
+def shingle_set_of(words: list[bytes], whole: int, hashes: dict[bytes, int]) -> np.ndarray:
     if len(words) < SHINGLE:
-        return whole, np.array([whole] if words else [], np.uint64)
+        return np.array([whole] if words else [], np.uint64)
     each = np.array([hashes[w] for w in words], np.uint64)
     n = len(each) - SHINGLE + 1
     runs = sum((each[k : n + k] * _PLACE[k] for k in range(1, SHINGLE)), each[:n] * _PLACE[0])
-    return whole, np.unique(_mixed(runs))
+    return np.unique(_mixed(runs))
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -123,11 +139,25 @@ def least_hashes(shingles: np.ndarray) -> np.ndarray:
     return out
 
 
+def set_fingerprint(shingles: np.ndarray) -> np.uint64:
+    """The fingerprint of a set of shingle hashes: bit i is 1 if it is set in over half of them."""
+    bits = np.zeros(BITS, np.int64)
+    for a in range(0, len(shingles), AT_ONCE):
+        bits += np.unpackbits(shingles[a : a + AT_ONCE].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * bits > len(shingles)).view(">u8").astype(np.uint64)[0]
+
+
+def mask_keys(fp: np.uint64) -> np.ndarray:
+    """A key for each covering mask: fingerprints within NEAR_BITS bits share at least one."""
+    return _mixed(_mixed((fp & _COVERS) + _SALTS[BANDS : BANDS + len(_COVERS)]) + _SALTS[: len(_COVERS)])
+
+
 def band_keys(least: np.ndarray) -> np.ndarray:
     """A key for each band of least hashes."""
     return _mixed((least.reshape(BANDS, BAND_ROWS) * _FACTORS[:BAND_ROWS]).sum(axis=1, dtype=np.uint64) + _SALTS[:BANDS])
 
 
+_COVERS = np.array(masks(NEAR_BITS), np.uint64)
 _PLAIN = bytes(32 if c < 128 and not chr(c).isalnum() else c for c in range(256))
 
 
@@ -235,7 +265,7 @@ def _document() -> Column:
 
 
 def _sketches(docs: DataFrame) -> DataFrame:
-    """(node, least, size, sketch, keys) of each distinct sequence of words: its first document, number of shingles, least hashes and band keys.
+    """(node, least, keys) of each distinct sequence of words: its first document, and the keys of its bands and of its fingerprint under each mask.
 
     A document is (doc_id is null, doc_id, hash of the text); the first is the least of these.
     """
@@ -244,34 +274,41 @@ def _sketches(docs: DataFrame) -> DataFrame:
         hashes = _Hashes()
         for batch in slices(batches):
             made = [shingle_set(t, hashes) for t in batch.column("text").to_pylist()]
-            drawn = [least_hashes(x) for _, x in made]
-            keys = [band_keys(d).view(np.int64) if len(x) else np.array([], np.int64) for (_, x), d in zip(made, drawn, strict=True)]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("doc"), pa.array([signed(w) for w, _ in made], pa.int64()), pa.array([len(x) for _, x in made], pa.int64()),
-                    pa.array([d.astype(np.uint32).tobytes() for d in drawn], pa.binary()), pa.array(keys, pa.list_(pa.int64())),
-                ],
-                names=["doc", "node", "size", "sketch", "keys"],
-            )
+            keys = [np.concatenate([band_keys(least_hashes(x)), mask_keys(set_fingerprint(x))]).view(np.int64) if len(x) else np.array([], np.int64) for _, x in made]
+            yield pa.RecordBatch.from_arrays([batch.column("doc"), pa.array([signed(w) for w, _ in made], pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["doc", "node", "keys"])
 
     small_batches(docs.sparkSession)
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    prints = docs.select(_document().alias("doc"), "text").mapInArrow(run, f"doc struct<none:boolean,id:{id_type},tie:bigint>, node long, size long, sketch binary, keys array<long>")
-    return stage(prints.groupBy("node").agg(F.min("doc").alias("least"), *(F.first(c).alias(c) for c in ("size", "sketch", "keys"))), "sketches")
+    prints = docs.select(_document().alias("doc"), "text").mapInArrow(run, f"doc struct<none:boolean,id:{id_type},tie:bigint>, node long, keys array<long>")
+    return stage(prints.groupBy("node").agg(F.min("doc").alias("least"), F.first("keys").alias("keys")), "sketches")
+
 
+def _shingle_sets(needed: DataFrame, docs: DataFrame) -> DataFrame:
+    """(node, size, fp, sketch, shingles) of the nodes ``needed``: the number, fingerprint, least hashes and sorted hashes of their shingles.
 
-def _shingle_sets(needed: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
-    """(node, shingles) of the nodes ``needed``, from the texts of their first documents."""
-    ids = nodes.join(needed, "node", "left_semi").select("least")
+    Texts are read where they lie.  A bitmap of the needed nodes, of a fixed size, leaves out most others; of those that pass
+    by chance the join drops the rest.
+    """
+    bits = np.zeros(NODE_BITS, bool)
+    bits[needed.select(F.pmod("node", F.lit(NODE_BITS)).cast("int").alias("bit")).distinct().toArrow().column("bit").to_numpy()] = True
+    shared = docs.sparkSession.sparkContext.broadcast(np.packbits(bits))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = _Hashes()
+        hashes, wanted = _Hashes(), np.unpackbits(shared.value).astype(bool)
         for batch in slices(batches):
-            made = [shingle_set(t, hashes) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array([signed(w) for w, _ in made], pa.int64()), pa.array([x.tobytes() for _, x in made], pa.binary())], names=["node", "shingles"])
+            words = [plain_words(t) for t in batch.column("text").to_pylist()]
+            made = [(w, shingle_set_of(x, w, hashes)) for x, w in ((x, whole_hash(x)) for x in words) if wanted[signed(w) % NODE_BITS]]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([signed(w) for w, _ in made], pa.int64()), pa.array([len(x) for _, x in made], pa.int64()), pa.array([signed(int(set_fingerprint(x))) for _, x in made], pa.int64()),
+                    pa.array([least_hashes(x).astype(np.uint32).tobytes() for _, x in made], pa.binary()), pa.array([x.tobytes() for _, x in made], pa.binary()),
+                ],
+                names=["node", "size", "fp", "sketch", "shingles"],
+            )
 
-    texts = docs.select(_document().alias("doc"), "text").join(ids, F.col("doc") == F.col("least"), "left_semi").select("text")
-    return stage(texts.mapInArrow(sets, "node long, shingles binary").join(needed, "node", "left_semi").dropDuplicates(["node"]), "shingles")
+    small_batches(docs.sparkSession)
+    found = docs.select("text").mapInArrow(sets, "node long, size long, fp long, sketch binary, shingles binary")
+    return stage(found.join(needed, "node", "left_semi").dropDuplicates(["node"]), "shingles")
 
 
 def similar(x: np.ndarray, y: np.ndarray) -> bool:
@@ -289,10 +326,10 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _cross_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Over rows (key, parts, part, band, lead, node, root, size, sketch, shingles) sorted by key and parts: verified links across a bucket's components.
+    """Over rows (key, parts, part, band, lead, node, root, size, fp, sketch, shingles) sorted by key and parts: verified links across a bucket's components.
 
     A group holds two parts of a bucket, or one of them, and its pairs are one of each.  Pairs with the bucket's lead have
-    been compared, and pairs that share an earlier band are compared there.  Components that a link connects become one at
+    been compared, and pairs that share an earlier band, or any band or an earlier mask, are compared there.  Components that a link connects become one at
     once, so a group gives fewer links than it has members.
     """
     part, whole = SIMILAR
@@ -300,7 +337,7 @@ def _cross_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def links(rows: pa.Table) -> Iterator[pa.RecordBatch]:
         lead, band = rows.column("lead")[0].as_py(), rows.column("band")[0].as_py()
         node, root, size, own = (rows.column(c).to_numpy() for c in ("node", "root", "size", "part"))
-        across = own.min() < own.max()
+        across, fp = own.min() < own.max(), rows.column("fp").to_numpy().view(np.uint64)
         sketch = np.stack([np.frombuffer(x, np.uint32) for x in rows.column("sketch").to_pylist()])
         sets = [np.frombuffer(x, np.uint64) for x in rows.column("shingles").to_pylist()]
         root, out = root.copy(), []
@@ -319,7 +356,8 @@ def _cross_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     u, v = x[k : k + 16384], y[k : k + 16384]
                     same = sketch[u] == sketch[v]
                     shared = same.sum(axis=1)
-                    first = same.reshape(-1, BANDS, BAND_ROWS).all(axis=2).argmax(axis=1)
+                    agree = np.concatenate([same.reshape(-1, BANDS, BAND_ROWS).all(axis=2), ((fp[u] ^ fp[v])[:, None] & _COVERS) == 0], axis=1)
+                    first = agree.argmax(axis=1)
                     near = np.flatnonzero((shared >= SHARED) & (first == band))
                     for at in near[np.argsort(-shared[near], kind="stable")]:
                         p, q = u[at], v[at]
@@ -344,7 +382,10 @@ def _cross_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def near_duplicate_links(docs: DataFrame, nodes: DataFrame, most: int = MOST_IN_PART) -> DataFrame:
-    """Links (a, b) of ``nodes`` with a Jaccard similarity of 0.8 or more that connect all such pairs which share a band.
+    """Links (a, b) of ``nodes`` with a Jaccard similarity of 0.8 or more that connect all such pairs within NEAR_BITS bits or which share a band.
+
+    Buckets are those of the fingerprints under the covering masks, which miss no pair within NEAR_BITS bits, and those of the
+    bands, which find similar pairs whose fingerprints are further apart.
 
     First each member of a bucket is compared with the bucket's smallest.  Buckets that still have several components are
     compared within, those of more than ``most`` members in pairs of parts, each pair a group of its own, so a group never holds
@@ -353,7 +394,7 @@ def near_duplicate_links(docs: DataFrame, nodes: DataFrame, most: int = MOST_IN_
     rows = nodes.select("node", F.posexplode("keys").alias("band", "key"))
     leads = rows.groupBy("key").agg(F.min("node").alias("lead"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "lead")
     members = stage(rows.join(leads, "key"), "buckets")
-    sets = _shingle_sets(members.select("node").distinct(), nodes, docs)
+    sets = _shingle_sets(members.select("node").distinct(), docs)
     pairs = members.where("node <> lead").select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct()
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
     links = stage(both.select("a", "b", "x", "y").mapInArrow(_verified, "a long, b long"), "near-links")
@@ -363,8 +404,7 @@ def near_duplicate_links(docs: DataFrame, nodes: DataFrame, most: int = MOST_IN_
     several = several.select("key", F.ceil(F.col("n") / most).cast("long").alias("cut"))
     left = rooted.join(several, "key").withColumn("part", F.pmod(F.xxhash64("node"), F.col("cut")))
     left = left.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("cut") - 1))).withColumn("parts", F.least("part", "other") * F.col("cut") + F.greatest("part", "other"))
-    left = left.join(nodes.select("node", "size", "sketch"), "node").join(sets, "node")
-    left = left.select("key", "parts", "part", "band", "lead", "node", "root", "size", "sketch", "shingles")
+    left = left.join(sets, "node").select("key", "parts", "part", "band", "lead", "node", "root", "size", "fp", "sketch", "shingles")
     return links.unionByName(left.repartition("key", "parts").sortWithinPartitions("key", "parts").mapInArrow(_cross_links, "a long, b long"))
 
 

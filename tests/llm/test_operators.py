@@ -574,3 +574,22 @@ def test_words_and_the_unknown_are_a_distribution():
     known = np.where(shared[v.leaf[:-1]], (counts + 1) / (tokens + types + 1)[v.leaf[:-1]], (counts + 1) / (tokens + 1)[v.leaf[:-1]])
     unknown = np.where(shared, 1 / (tokens + types + 1), 0)
     assert (leaves[v.leaf[:-1]] * known).sum() + (leaves * unknown).sum() == pytest.approx(1, abs=1e-4)
+
+
+def test_near_fingerprints_are_candidates_without_a_band(spark):
+    """Covering masks of the sets' fingerprints find each pair within three bits, whatever the bands say; before, bands alone gave candidates."""
+    rng = np.random.default_rng(3)
+    for flips in range(simhash.NEAR_BITS + 1):
+        for fp in rng.integers(0, 2**64, 200, np.uint64):
+            other = fp ^ np.bitwise_or.reduce(np.array([0, *(1 << rng.choice(64, flips, replace=False).astype(np.uint64))], np.uint64))
+            assert (simhash.mask_keys(fp) == simhash.mask_keys(other)).any()
+    words = [f"w{i}" for i in range(400)]
+    texts = [" ".join(words), " ".join([*words[:-1], "other"]), " ".join(f"v{i}" for i in range(400))]
+    prints = [int(simhash.set_fingerprint(simhash.shingle_set(t, simhash._Hashes())[1])) for t in texts]
+    assert (prints[0] ^ prints[1]).bit_count() <= simhash.NEAR_BITS < (prints[0] ^ prints[2]).bit_count()
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    nodes = simhash._sketches(docs)
+    assert {len(r.keys_) for r in nodes.select(F.col("keys").alias("keys_")).collect()} == {simhash.BANDS + 2 ** (simhash.NEAR_BITS + 1) - 1}
+    bandless = nodes.withColumn("keys", F.transform("keys", lambda k, i: F.when(i < simhash.BANDS, F.xxhash64("node", i)).otherwise(k)))
+    names = {r.node: r.least.id for r in nodes.collect()}
+    assert [{names[r.a], names[r.b]} for r in simhash.near_duplicate_links(docs, bandless).collect()] == [{0, 1}]
