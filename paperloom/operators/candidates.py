@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -32,6 +33,8 @@ AT_ONCE = 1 << 16
 
 
 def folded(text: str) -> str:
+    if text.isascii():
+        return " ".join(text.lower().split())
     marks = unicodedata.normalize("NFD", text.replace("đ", "d").replace("Đ", "D"))
     return " ".join("".join(c for c in marks if unicodedata.category(c) != "Mn").lower().split())
 
@@ -63,8 +66,10 @@ def may_stand(field: str, box: list, width: float | np.ndarray, height: float |
 
 def like_name(text: str) -> bool:
     """Two to six tokens without digits and marks that separate, all but one of them capitalised."""
+    if any(m in text for m in ":/;,"):
+        return False
     tokens = [t for t in (x.strip(".,;:()[]{}<>-") for x in text.split()) if t]
-    if not NAME_WORDS[0] <= len(tokens) <= NAME_WORDS[1] or any(c.isdigit() for t in tokens for c in t) or any(m in text for m in ":/;,"):
+    if not NAME_WORDS[0] <= len(tokens) <= NAME_WORDS[1] or any(c.isdigit() for t in tokens for c in t):
         return False
     letters = [x for x in ("".join(c for c in t if c.isalpha()) for t in tokens) if x]
     return len(letters) >= 2 and sum(x.isupper() or x[0].isupper() for x in letters) >= max(2, len(letters) - 1)
@@ -142,7 +147,7 @@ def _starts(field: str, words: list[dict]) -> Iterator[tuple[int, int]]:
 
 
 def word_windows(field: str, lines: list[dict], words: dict[str, dict], width: float, height: float, role: str) -> Iterator[dict]:
-    """Windows of a line's words around the field's anchor, or of two to six words like a name in lines like one."""
+    """Windows of a line's words around the field's anchor, or of two to six words like a name in lines like one, wherever they stand."""
     name = field == "SIGNER_NAME"
     for line in lines:
         own = sorted((words[i] for i in line["word_ids"] or [] if i in words), key=lambda w: (w["order"], w["box"][0], w["box"][1]))
@@ -152,14 +157,14 @@ def word_windows(field: str, lines: list[dict], words: dict[str, dict], width: f
         if name and (not like_name(line["text"]) or (y1 / max(height, 1.0) < 0.42 and role != SIGNATURE) or ((x0 + x1) / 2 / max(width, 1.0) < 0.12 and x0 / max(width, 1.0) < 0.05)):
             continue
         for a, end in _starts(field, own):
+            text, box = "", own[a]["box"]
             for b in range(a, min(len(own), end + 1, a + MOST[field][1])):
                 part = own[a : b + 1]
-                text = "".join(w["text"] + (" " if w["has_space_after"] in (None, True) and i < len(part) - 1 else "") for i, w in enumerate(part))
+                text += (" " if b > a and own[b - 1]["has_space_after"] in (None, True) else "") + own[b]["text"]
+                box = _union([box, own[b]["box"]])
                 if name and not (NAME_WORDS[0] <= len(part) <= NAME_WORDS[1] and like_name(text)):
                     continue
-                box = _union([w["box"] for w in part])
-                if may_stand(field, box, width, height, role == SIGNATURE, bool(RECIPIENTS.search(folded(text)))):
-                    yield {"field": field, "source": "word_window", "line_ids": list(dict.fromkeys(w["line_id"] for w in part)), "word_ids": [w["id"] for w in part], "text": text, "box": box}
+                yield {"field": field, "source": "word_window", "line_ids": list(dict.fromkeys(w["line_id"] for w in part)), "word_ids": [w["id"] for w in part], "text": text, "box": box}
 
 
 def _whole(field: str, lines: list[dict]) -> dict:
@@ -180,10 +185,24 @@ def _distinct(lines: list[dict]) -> bool:
     return len(set(words)) == len(words) and all(x["word_ids"] for x in lines)
 
 
-def pages_candidates(fields: tuple[str, ...], sources: tuple[str, ...], lines: list, words: list, width: list, height: list, role: list) -> tuple[list[list[dict]], list[np.ndarray], list[tuple[int, dict]]]:
+def _standing(fields: tuple[str, ...], windows: list[tuple[int, int, dict]], width: list, height: list, role: list) -> Iterator[tuple[int, int, dict]]:
+    """Those of windows (page, field's number, candidate) where the field may stand; a field's are measured at once."""
+    keep = np.zeros(len(windows), bool)
+    number = np.array([k for _, k, _ in windows], int)
+    for k in np.unique(number).tolist():
+        at = np.flatnonzero(number == k)
+        page, found = [windows[i][0] for i in at], [windows[i][2] for i in at]
+        w, h = (np.array([x[p] for p in page], float) for x in (width, height))
+        has = np.array([bool(RECIPIENTS.search(folded(c["text"]))) for c in found])
+        keep[at] = may_stand(fields[k], np.array([c["box"] for c in found], float).T, w, h, np.array([role[p] == SIGNATURE for p in page]), has)
+    return (x for x, y in zip(windows, keep.tolist(), strict=True) if y)
+
+
+def pages_candidates(fields: tuple[str, ...], sources: tuple[str, ...], lines: list, words: list, width: list, height: list, role: list, plain: list[bool] | None = None) -> tuple[list[list[dict]], list[np.ndarray], list[tuple[int, dict]]]:
     """The shown lines of several pages, (page, field's number, first line on the page, lines) of their runs as arrays, and (page, candidate) of windows of words.
 
     Of equal words of one field the first stays, runs before windows; with a word of address on the page, only addresses with it.
+    ``plain``: pages known to have words in every line and no word twice; their lines may come without words.
     """
     shown = [_shown(x) for x in lines]
     base = np.cumsum([0, *map(len, shown)])
@@ -191,7 +210,7 @@ def pages_candidates(fields: tuple[str, ...], sources: tuple[str, ...], lines: l
     field, first, n, told = (np.concatenate([np.zeros(0, np.int64), *x]) for x in ([np.full(len(x[1]), x[0]) for x in runs], *([x[i] for x in runs] for i in (1, 2, 3))))
     page = np.searchsorted(base, first, "right") - 1
     first = first - base[page]
-    repeated = [i for i, x in enumerate(shown) if not _distinct(x)]
+    repeated = [i for i, x in enumerate(shown) if not (plain and plain[i]) and not _distinct(x)] if runs else []
     windows: list[tuple[int, dict]] = []
     seen: dict[tuple, set] = {}
     if repeated:
@@ -207,14 +226,17 @@ def pages_candidates(fields: tuple[str, ...], sources: tuple[str, ...], lines: l
     if "word_window" in sources:
         for i in np.flatnonzero(n == 1).tolist():  # where no words repeat, a window can only be like a whole line
             seen.setdefault((int(page[i]), int(field[i])), set()).add(tuple(_words(shown[page[i]][first[i] : first[i] + 1])))
+        found = []
         for p, own in enumerate(shown):
             known = {w["id"]: w for w in words[p] or []}
             for k, name in enumerate(fields):
-                for c in word_windows(name, own, known, width[p], height[p], role[p]) if MOST[name][1] else ():
-                    had = seen.setdefault((p, k), set())
-                    if tuple(c["word_ids"]) not in had:
-                        had.add(tuple(c["word_ids"]))
-                        windows.append((p, c))
+                if known and MOST[name][1]:
+                    found += [(p, k, c) for c in word_windows(name, own, known, width[p], height[p], role[p])]
+        for p, k, c in _standing(fields, found, width, height, role):
+            had = seen.setdefault((p, k), set())
+            if tuple(c["word_ids"]) not in had:
+                had.add(tuple(c["word_ids"]))
+                windows.append((p, c))
     return shown, [page, field, first, n], windows
 
 
@@ -226,6 +248,48 @@ def page_candidates(fields: tuple[str, ...], sources: tuple[str, ...], lines: li
     return [x[-1] for x in sorted(made, key=lambda x: x[:4])]
 
 
+def _objects(batch: pa.RecordBatch, fields: tuple[str, ...], sources: tuple[str, ...], slim: bool) -> tuple[list[list[dict]], list[list[dict]], list[bool]]:
+    """The lines and words of a batch's pages, and which pages have words in every line and no word twice.
+
+    Words are most of a batch.  They are compared as arrays; made are those of lines that may have a window, and the ids of lines that
+    need them: all for whole runs, else those of pages that aren't plain.
+    """
+    n, numbers = batch.num_rows, np.arange(batch.num_rows + 1)
+    page, line = pc.list_parent_indices(batch.column("lines")).to_numpy(), batch.column("lines").flatten()
+    refs = pc.struct_field(line, "word_ids")
+    of, ids = pc.list_parent_indices(refs).to_numpy(), refs.flatten()
+    words, every = [[] for _ in range(n)], ids
+    if "word_window" in sources:
+        home, word = pc.list_parent_indices(batch.column("words")).to_numpy(), batch.column("words").flatten()
+        every = pa.concat_arrays([ids, pc.struct_field(word, "id")])
+    code = pc.fill_null(every.dictionary_encode().indices, -1).to_numpy() + np.int64(1)
+    key = page[of] * np.int64(len(every) + 1) + code[: len(ids)]
+    plain, ordered = np.ones(n, bool), np.sort(key)
+    plain[ordered[1:][ordered[1:] == ordered[:-1]] // (len(every) + 1)] = False
+    plain[page[np.bincount(of, minlength=len(line)) == 0]] = False
+    asked = np.zeros(len(line), bool)
+    if "line_span" in sources:
+        asked = ~plain[page] if slim and "word_window" not in sources else ~asked
+    if "word_window" in sources:
+        texts = pc.struct_field(word, "text").dictionary_encode()
+        patterns = [ANCHOR[f] for f in fields if f in ANCHOR]
+        told = np.array([*(any(p.search(x) for p in patterns) for x in map(folded, texts.dictionary.to_pylist())), False])
+        own = home * np.int64(len(every) + 1) + code[len(ids) :]
+        hit = np.zeros(len(line), bool)
+        hit[of[np.isin(key, own[told[pc.fill_null(texts.indices, -1).to_numpy()]])]] = True
+        if any(MOST[f][1] and f not in ANCHOR for f in fields):
+            hit |= np.array([like_name(x or "") for x in pc.struct_field(line, "text").to_pylist()], bool)
+        at = np.flatnonzero(np.isin(own, key[hit[of]]))
+        made, ends = word.take(pa.array(at)).to_pylist(), np.searchsorted(home[at], numbers)
+        words, asked = [made[a:b] for a, b in zip(ends, ends[1:])], asked | hit
+    names = [f.name for f in line.type if f.name != "word_ids"]
+    lines = [dict(zip(names, x)) | {"word_ids": None} for x in zip(*(pc.struct_field(line, c).to_pylist() for c in names))]
+    for i, x in zip(np.flatnonzero(asked).tolist(), refs.take(pa.array(np.flatnonzero(asked))).to_pylist(), strict=True):
+        lines[i]["word_ids"] = x
+    ends = np.searchsorted(page, numbers)
+    return [lines[a:b] for a, b in zip(ends, ends[1:])], words, plain.tolist()
+
+
 def candidates(pages: DataFrame, fields: tuple[str, ...] = tuple(MOST), sources: tuple[str, ...] = ("line_span", "word_window"), columns: tuple[str, ...] = COLUMNS) -> DataFrame:
     """(pages' other columns, field, source, line_ids, word_ids, text, box) of ``pages`` (lines, words, width, height, role).
 
@@ -240,8 +304,8 @@ def candidates(pages: DataFrame, fields: tuple[str, ...] = tuple(MOST), sources:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts(batches):
-            words = batch.column("words").to_pylist() if "words" in needed else []
-            shown, (page, field, first, n), windows = pages_candidates(fields, sources, batch.column("lines").to_pylist(), words, *(batch.column(c).to_pylist() for c in ("width", "height", "role")))
+            lines, words, plain = _objects(batch, fields, sources, slim)
+            shown, (page, field, first, n), windows = pages_candidates(fields, sources, lines, words, *(batch.column(c).to_pylist() for c in ("width", "height", "role")), plain)
             for a in range(0, len(page), AT_ONCE if slim else AT_ONCE // 64):
                 p, k, f, m = (x[a : a + (AT_ONCE if slim else AT_ONCE // 64)] for x in (page, field, first, n))
                 if slim:

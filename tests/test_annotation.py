@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import time
 
+import pyarrow as pa
 import pytest
 from paperloom.functions import repair, values
 from paperloom.operators import annotation as A
 from paperloom.operators import boxes as B
 from paperloom.operators import candidates as C
+from paperloom.plans import annotations
+from paperloom.plans.pagequeries import PLANTED
 from pyspark.sql import functions as F
 
 PAGES = [
@@ -184,3 +187,33 @@ def test_field_candidates(spark):
     frame = spark.createDataFrame([(1, lines, words, 595.0, 842.0, "primary"), (2, None, None, 595.0, 842.0, "signature")], f"doc_id int, lines {line}, words {word}, width double, height double, role string")
     found = C.candidates(frame, ("SIGNER_NAME",))
     assert found.columns[0] == "doc_id" and {r.source for r in found.collect()} == {"line_span", "word_window"} and {r.doc_id for r in found.collect()} == {1}
+
+
+def test_candidates_of_whole_documents(spark, tmp_path):
+    """All pages have runs, not the first two alone, and all words of a line windows, not the first twenty."""
+    text = "\n".join(["a " * 40 + "ngay x"] * 130)
+    spark.createDataFrame([(1, text)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = {(r.page, r.field): (r.n, r.longest) for r in annotations.g06_line_spans(spark, str(tmp_path)).collect()}
+    assert {page for page, _ in found} == {0, 1, 2, 3}
+    assert [found[page, "PLACE_DATE"] for page in (1, 2, 3)] == [(40 + 39 + 38, 3), (40 + 39 + 38, 3), (10 + 9 + 8, 3)]
+    ends = [r.page for r in annotations.g07_word_windows(spark, str(tmp_path)).collect() if (r.field, r.text) == ("PLACE_DATE", "ngay x")]
+    wanted = [pos // 40 for pos in range(40, 130) if (pos + 7) % 26 >= len(PLANTED)]
+    assert sorted(p for p in ends if p) == wanted
+
+
+def test_objects_of_a_batch():
+    """What is made of a batch's arrays gives what whole lines and words give: with repeated words, lines without words, words of other lines, and cut batches."""
+    lines, words = _page()
+    twice = [{**x, "word_ids": ["l1_0", "l2_0"] if n % 2 else []} for n, x in enumerate(lines)]
+    pages = [(lines, words), (None, None), (twice, words), (lines, words[::-1] + words[:2]), ([], words), (lines[:2], [])]
+    line = pa.list_(pa.struct([("id", pa.string()), ("order", pa.int32()), ("text", pa.string()), ("box", pa.list_(pa.float64())), ("word_ids", pa.list_(pa.string()))]))
+    word = pa.list_(pa.struct([("id", pa.string()), ("line_id", pa.string()), ("order", pa.int32()), ("text", pa.string()), ("has_space_after", pa.bool_()), ("box", pa.list_(pa.float64()))]))
+    whole, fields = pa.record_batch([pa.array([p[0] for p in pages], line), pa.array([p[1] for p in pages], word)], ["lines", "words"]), tuple(C.MOST)
+    for batch in (whole, whole.slice(2, 3), whole.slice(1, 1)):
+        rest = [[x] * batch.num_rows for x in (595.0, 842.0, "signature")]
+        for sources in (("line_span",), ("word_window",), ("line_span", "word_window")):
+            _, wanted, windows = C.pages_candidates(fields, sources, batch.column("lines").to_pylist(), batch.column("words").to_pylist(), *rest)
+            for slim in (True, False):
+                own, known, plain = C._objects(batch, fields, sources, slim)
+                _, found, also = C.pages_candidates(fields, sources, own, known, *rest, plain)
+                assert [x.tolist() for x in found] == [x.tolist() for x in wanted] and also == windows
