@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -30,15 +31,25 @@ TYPES = {"field": "string", "source": "string", "line_ids": "array<string>", "wo
 COLUMNS = ("field", "source", "line_ids", "word_ids", "text", "box")
 #: Short candidates in one batch; of whole ones a 64th.
 AT_ONCE = 1 << 16
+#: Characters of a text that is remembered when folded.
+SHORT = 256
 
 
 def folded(text: str) -> str:
     if text.isascii():
         return " ".join(text.lower().split())
+    return _short(text) if len(text) <= SHORT else _unmarked(text)
+
+
+def _unmarked(text: str) -> str:
     marks = unicodedata.normalize("NFD", text.replace("đ", "d").replace("Đ", "D"))
     return " ".join("".join(c for c in marks if unicodedata.category(c) != "Mn").lower().split())
 
 
+#: Windows of one line, and of lines that come again, are folded once.
+_short = lru_cache(1 << 14)(_unmarked)
+
+
 def may_stand(field: str, box: list, width: float | np.ndarray, height: float | np.ndarray, signature: bool | np.ndarray, recipients: bool | np.ndarray) -> bool | np.ndarray:
     """Whether a field may stand in a box, on a page for signatures or not, whose text has the recipients' word or not; of arrays, each."""
     w, h = np.maximum(width, 1.0), np.maximum(height, 1.0)
@@ -156,12 +167,16 @@ def word_windows(field: str, lines: list[dict], words: dict[str, dict], width: f
         x0, _, x1, y1 = line["box"]
         if name and (not like_name(line["text"]) or (y1 / max(height, 1.0) < 0.42 and role != SIGNATURE) or ((x0 + x1) / 2 / max(width, 1.0) < 0.12 and x0 / max(width, 1.0) < 0.05)):
             continue
+        upto: dict[int, tuple[int, str, list[float]]] = {}  # by start: the windows of earlier anchors are not made again
         for a, end in _starts(field, own):
-            text, box = "", own[a]["box"]
-            for b in range(a, min(len(own), end + 1, a + MOST[field][1])):
+            done, text, box = upto.get(a, (a, "", own[a]["box"]))
+            stop = min(len(own), end + 1, a + MOST[field][1])
+            for b in range(done, stop):
                 part = own[a : b + 1]
                 text += (" " if b > a and own[b - 1]["has_space_after"] in (None, True) else "") + own[b]["text"]
-                box = _union([box, own[b]["box"]])
+                (x0, y0, x1, y1), (u0, v0, u1, v1) = box, own[b]["box"]
+                box = [u0 if u0 < x0 else x0, v0 if v0 < y0 else y0, u1 if u1 > x1 else x1, v1 if v1 > y1 else y1]
+                upto[a] = b + 1, text, box
                 if name and not (NAME_WORDS[0] <= len(part) <= NAME_WORDS[1] and like_name(text)):
                     continue
                 yield {"field": field, "source": "word_window", "line_ids": list(dict.fromkeys(w["line_id"] for w in part)), "word_ids": [w["id"] for w in part], "text": text, "box": box}
@@ -248,6 +263,18 @@ def page_candidates(fields: tuple[str, ...], sources: tuple[str, ...], lines: li
     return [x[-1] for x in sorted(made, key=lambda x: x[:4])]
 
 
+def _dicts(rows: pa.StructArray, leave: str = "") -> list[dict]:
+    """Structs column by column, which is faster; ``leave`` is None in all."""
+    names, columns = [f.name for f in rows.type], []
+    for c in names:
+        x = pc.struct_field(rows, c)
+        if c == "box" and not x.null_count and not x.flatten().null_count and len(x.flatten()) == 4 * len(x) and (pc.list_value_length(x).to_numpy() == 4).all():
+            columns.append(x.flatten().to_numpy().reshape(-1, 4).tolist())
+        else:
+            columns.append([None] * len(rows) if c == leave else x.to_pylist())
+    return [dict(zip(names, x)) for x in zip(*columns)]
+
+
 def _objects(batch: pa.RecordBatch, fields: tuple[str, ...], sources: tuple[str, ...], slim: bool) -> tuple[list[list[dict]], list[list[dict]], list[bool]]:
     """The lines and words of a batch's pages, and which pages have words in every line and no word twice.
 
@@ -280,10 +307,9 @@ def _objects(batch: pa.RecordBatch, fields: tuple[str, ...], sources: tuple[str,
         if any(MOST[f][1] and f not in ANCHOR for f in fields):
             hit |= np.array([like_name(x or "") for x in pc.struct_field(line, "text").to_pylist()], bool)
         at = np.flatnonzero(np.isin(own, key[hit[of]]))
-        made, ends = word.take(pa.array(at)).to_pylist(), np.searchsorted(home[at], numbers)
+        made, ends = _dicts(word.take(pa.array(at))), np.searchsorted(home[at], numbers)
         words, asked = [made[a:b] for a, b in zip(ends, ends[1:])], asked | hit
-    names = [f.name for f in line.type if f.name != "word_ids"]
-    lines = [dict(zip(names, x)) | {"word_ids": None} for x in zip(*(pc.struct_field(line, c).to_pylist() for c in names))]
+    lines = _dicts(line, "word_ids")
     for i, x in zip(np.flatnonzero(asked).tolist(), refs.take(pa.array(np.flatnonzero(asked))).to_pylist(), strict=True):
         lines[i]["word_ids"] = x
     ends = np.searchsorted(page, numbers)
